@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm.host_rules import host_verdicts
+from strandline.llm.pii_bootstrap import KINDS, personal_data
 from strandline.plans.runtime import table
 
 
@@ -13,6 +15,15 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and a digest of the base spans, and all spans."""
+    found = personal_data(table(spark, sf_dir, "documents"))
+    joined = {c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",") for c in ("base", "spans")}
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(joined["base"], 256).alias("base_sha256"), joined["spans"].alias("spans"))
+
+
 HOST_RULES_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -45,5 +56,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """
 
-QUERIES = {"op8_host_rules": op8_host_rules}
+QUERIES = {"op7_pii_bootstrap": op7_pii_bootstrap, "op8_host_rules": op8_host_rules}
 ORACLE_SQL = {"op8_host_rules": HOST_RULES_SQL}
