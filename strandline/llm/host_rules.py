@@ -104,16 +104,35 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean_rate * strength, (1 - mean_rate) * strength
 
 
+def _host_key(host: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit(""))
+
+
+def _rates(stats: DataFrame) -> DataFrame:
+    """(host_key, shrunk failure rate) from measured rows."""
+    failed = F.count_if(base_failed() | soft_failed()).alias("k")
+    hosts = cut(stats.groupBy(_host_key(F.col("host")).alias("__host_key")).agg(F.count("*").alias("n"), failed), "hosts")
+    a, b = beta_prior(hosts)
+    return hosts.select("__host_key", ((F.col("k") + a) / (F.col("n") + a + b)).alias("rate"))
+
+
+def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.6) -> DataFrame:
+    """The rows of ``docs`` that pass, with their own columns: the verdicts of ``host_verdicts`` taken as a filter."""
+    rates = _rates(measure(docs, text_col, text_col, host_col))
+    words = words_of(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    counts = let(words, lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("again")))
+    sound = (F.col("__counts.n") >= 20) & (100 * F.col("__counts.again") <= 30 * F.col("__counts.n"))
+    rows = docs.withColumn("__counts", counts).filter(sound).drop("__counts").withColumn("__host_key", _host_key(F.col(f"`{host_col}`")))
+    good = rates.filter(F.col("rate") <= max_rate).select("__host_key")
+    return join_small(rows, good, ["__host_key"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def host_verdicts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.6
 ) -> DataFrame:
     """Counts, base_failed, the shrunk rate of the host and kept, for every row of ``docs``."""
     stats = cut(measure(docs, id_col, text_col, host_col).withColumn("base_failed", base_failed()), "quality")
-    key = F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit("")).alias("host_key")
-    hosts = cut(stats.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("base_failed") | soft_failed()).alias("k")), "hosts")
-    a, b = beta_prior(hosts)
-    rates = hosts.select("host_key", ((F.col("k") + a) / (F.col("n") + a + b)).alias("rate"))
-    joined = join_small(stats.withColumn("host_key", key), rates, ["host_key"])
+    joined = join_small(stats.withColumn("__host_key", _host_key(F.col("host"))), _rates(stats), ["__host_key"])
     return joined.select(
         "doc_id",
         "n_words",

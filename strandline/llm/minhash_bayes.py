@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandline.llm.bytetext import chunks, grouped, mix, shingle_sets
 from strandline.llm.components import connected_components
@@ -227,3 +228,17 @@ def near_duplicate_classes(
     out = signed.drop("bands").join(classes, "set_key", "left")
     component = F.coalesce("found", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+    """``docs`` with one row of each class of near duplicates, that of its least id.
+
+    Of rows that share that id one stays, the one with the least text. Rows without an id all stay.
+    """
+    own = F.col(f"`{id_col}`")
+    classes = near_duplicate_classes(docs, id_col, text_col, **options)
+    kept = classes.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.join(kept, own.cast("long") == F.col("__kept"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(own.cast("long")).orderBy(F.col(f"`{text_col}`")))
+    first = rows.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    return first.unionByName(docs.filter(own.isNull()))
