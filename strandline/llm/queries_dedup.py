@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm.minhash_bayes import near_duplicate_classes
+from strandline.llm.suffix_levels import remove_repeats
 from strandline.plans.runtime import table
 
 
@@ -13,5 +15,12 @@ def op1_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"), shingle_words=3, percent=85, rows=8)
 
 
-QUERIES = {"op1_minhash_bayes": op1_minhash_bayes}
+def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of repeated 200-byte strings."""
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+QUERIES = {"op1_minhash_bayes": op1_minhash_bayes, "op4_suffix_levels": op4_suffix_levels}
 ORACLE_SQL: dict[str, str] = {}
