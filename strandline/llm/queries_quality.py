@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.byte_gru import identify
 from strandline.llm.host_rules import host_verdicts
 from strandline.llm.pii_bootstrap import KINDS, personal_data
 from strandline.plans.runtime import table
@@ -15,6 +16,13 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a quarter of the ids, by checksum, is held out of training."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "lang", "text")
+    return identify(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
 def op7_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and a digest of the base spans, and all spans."""
     found = personal_data(table(spark, sf_dir, "documents"))
@@ -56,5 +64,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """
 
-QUERIES = {"op7_pii_bootstrap": op7_pii_bootstrap, "op8_host_rules": op8_host_rules}
+QUERIES = {"op6_byte_gru": op6_byte_gru, "op7_pii_bootstrap": op7_pii_bootstrap, "op8_host_rules": op8_host_rules}
 ORACLE_SQL = {"op8_host_rules": HOST_RULES_SQL}
