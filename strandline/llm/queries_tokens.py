@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.chat_parts import format_chat, read_back, text_part
 from strandline.llm.temperature_mix import temperature_mix
 from strandline.llm.unigram_pieces import decode_pieces, default_model, encode_pieces
 from strandline.plans.runtime import table
@@ -61,6 +62,42 @@ SELECT doc_id, source, pass::INTEGER AS mix_pass, first::BIGINT AS mix_start FRO
 """
 
 
+def op3_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation's turns and learned texts, read back from the formatted string."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(control).alias("text"))
+    rows = turns.unionByName(extra).withColumn("parts", text_part(F.col("text")))
+    read = read_back(format_chat(rows))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join("loss_texts", "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+CHAT_PARTS_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS learned,
+         sum(23 + length(regexp_replace(role, '([<\[\\])', '\1x', 'g')) + length(regexp_replace(text, '([<\[\\])', '\1x', 'g'))) AS chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(told) AS turns_sha256, length(learned)::BIGINT AS loss_chars,
+       sha256(learned) AS loss_sha256, chars::BIGINT AS formatted_chars
+FROM g
+"""
+
+
 def op9_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document, their number, the byte pieces among them, and whether they decode to the text."""
     model = default_model(spark)
@@ -77,5 +114,5 @@ def op9_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_temperature_mix": op2_temperature_mix, "op9_unigram_pieces": op9_unigram_pieces}
-ORACLE_SQL = {"op2_temperature_mix": TEMPERATURE_MIX_SQL}
+QUERIES = {"op3_chat_parts": op3_chat_parts, "op2_temperature_mix": op2_temperature_mix, "op9_unigram_pieces": op9_unigram_pieces}
+ORACLE_SQL = {"op3_chat_parts": CHAT_PARTS_SQL, "op2_temperature_mix": TEMPERATURE_MIX_SQL}
