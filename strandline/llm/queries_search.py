@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.main_text import main_text
 from strandline.llm.multi_index import top_k
 from strandline.plans.runtime import table
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten codes nearest to that of every 50th vector, against all vectors."""
     rows = table(spark, sf_dir, "embeddings")
@@ -25,5 +31,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)
 SELECT query_id, rank::INTEGER AS rank, id, distance FROM r WHERE rank <= 10
 """
 
-QUERIES = {"op10_multi_index": op10_multi_index}
+QUERIES = {"op5_main_text": op5_main_text, "op10_multi_index": op10_multi_index}
 ORACLE_SQL = {"op10_multi_index": MULTI_INDEX_SQL}
