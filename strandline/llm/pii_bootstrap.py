@@ -3,9 +3,10 @@
 The base patterns give e-mail addresses, IP addresses, card numbers and phone numbers. They are the
 seeds of a bootstrap: the two words before an identifier are its lexical pattern, and every other word
 with digits or an @ is a candidate with a pattern of its own. Spark then scores the graph of patterns and
-instances in rounds: a pattern scores by the share of its distinct instances that are believed, an
-instance by the patterns that hold it (noisy or). Patterns that reach ``min_score`` with ``min_support``
-believed instances make spans of the kind ``id`` of the candidates that follow them.
+instances in rounds: a pattern scores by the share of all its occurrences in the corpus, whatever word
+follows, that lead to a believed instance, and an instance by the patterns that hold it (noisy or). Patterns
+that reach ``min_score`` with ``min_support`` distinct believed instances make spans of the kind ``id`` of the
+candidates that follow them. So words that stand before anything, like articles, are never patterns.
 
 Null and empty texts have no spans. Texts are read whole. Spans of rows with equal texts are equal.
 Spans never overlap a base span when added. Columns besides id and text are not read. Candidate tables
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +41,9 @@ _SIGN = re.compile("[0-9@]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 _DIGIT = re.compile("[0-9]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Patterns that a task counts at once.
+COUNTED = 100_000
 
 
 def luhn(digits: str) -> bool:
@@ -83,9 +88,14 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return sorted(out)
 
 
+def _context(text: str) -> list[str]:
+    return _WORD.findall(_DIGIT.sub("0", text).lower())
+
+
 def _pattern(text: str, start: int) -> str:
-    before = _DIGIT.sub("0", text[max(0, start - 80) : start]).lower().split()
-    return " ".join(before[-2:])
+    """The two words before a place; none if there are fewer, or longer ones than identifiers have."""
+    before = _context(text[max(0, start - 80) : start])
+    return " ".join(before[-2:]) if len(before) > 1 and (start <= 80 or len(before) > 2) else ""
 
 
 def candidates(text: str, spans: list[tuple[int, int, str, int]]) -> list[dict]:
@@ -136,24 +146,46 @@ _CANDIDATES = pa.list_(
 )
 
 
-def trusted_patterns(edges: DataFrame, rounds: int = 3, min_score: float = 0.7, min_support: float = 3.0) -> DataFrame:
-    """Patterns worth trusting, from distinct (pattern, value, seed)."""
-    believed = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("belief"))
-    patterns = None
+def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
+    """(pattern, n): how often each pattern stands in the corpus before another word.
+
+    Tasks count with a bounded set of patterns at hand; if there are more, the texts are read once for each
+    part of them.
+    """
+    n_parts = max(1, -(-patterns.count() // COUNTED))
+    out = None
+    for part in range(n_parts):
+        own = {r[0] for r in patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(n_parts)) == part).select("pattern").collect()}
+
+        def count(batches: Iterator[pa.RecordBatch], own: set[str] = own) -> Iterator[pa.RecordBatch]:
+            starts = {p.split(" ")[0] for p in own}
+            for batch in batches:
+                found: Counter = Counter()
+                for text in batch.column(0).to_pylist():
+                    words = _context(text or "")
+                    found.update(k for a, b in zip(words, words[1:-1], strict=False) if a in starts and (k := f"{a} {b}") in own)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["pattern", "n"])
+
+        counted = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(count, "pattern string, n long")
+        out = counted if out is None else out.unionByName(counted)
+    return out.groupBy("pattern").agg(F.sum("n").alias("n"))
+
+
+def trusted_patterns(edges: DataFrame, totals: DataFrame, rounds: int = 3, min_score: float = 0.5, min_support: int = 3) -> DataFrame:
+    """Patterns worth trusting, from (pattern, value, seed, n) of all instances and the patterns' own totals."""
+    known = edges.join(totals.withColumnRenamed("n", "total"), "pattern")
+    seeds = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("belief"))
+    believed, patterns = seeds, None
     for _ in range(rounds):
-        scored = edges.join(believed, "value").groupBy("pattern").agg(F.sum("belief").alias("support"), F.count("*").alias("n"))
-        patterns = cut(
-            scored.withColumn("score", F.col("support") / (F.col("n") + 1)).filter((F.col("score") >= min_score) & (F.col("support") >= min_support)),
-            "patterns",
+        scored = known.join(believed, "value").groupBy("pattern").agg(
+            (F.sum(F.col("belief") * F.col("n")) / F.first("total")).alias("score"), F.count_if(F.col("belief") >= min_score).alias("support")
         )
+        patterns = cut(scored.filter((F.col("score") >= min_score) & (F.col("support") >= min_support)), "patterns")
         if patterns.isEmpty():
             break
         doubt = F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999))))
-        spread = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("heard"))
-        seeds = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("belief"))
-        believed = cut(
-            seeds.join(spread, "value", "left").select("value", F.greatest("belief", F.coalesce("heard", F.lit(0.0))).alias("belief")), "beliefs"
-        )
+        heard = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("heard"))
+        believed = cut(seeds.join(heard, "value", "left").select("value", F.greatest("belief", F.coalesce("heard", F.lit(0.0))).alias("belief")), "beliefs")
     return patterns.select("pattern")
 
 
@@ -163,11 +195,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return cut(rows.mapInArrow(_scan, f"doc_id long, text_key binary, base {SPAN}, candidates {CANDIDATE}"), "candidates")
 
 
-def discovered(found: DataFrame, **graph: float) -> DataFrame | None:
+def discovered(docs: DataFrame, found: DataFrame, text_col: str = "text", min_support: int = 3, **graph: float) -> DataFrame | None:
     """(text_key, added spans) by trusted patterns; None if no pattern is trusted."""
     all_found = found.filter("text_key is not null").select("text_key", F.explode("candidates").alias("c")).select("text_key", "c.*")
-    edges = cut(all_found.filter("pattern <> ''").groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "graph")
-    patterns = trusted_patterns(edges, **graph)
+    edges = cut(all_found.filter("pattern <> ''").groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "graph")
+    worth = cut(edges.groupBy("pattern").agg(F.count("*").alias("k")).filter(F.col("k") >= min_support).select("pattern"), "worth")
+    if worth.isEmpty():
+        return None
+    patterns = trusted_patterns(edges, cut(occurrences(docs, worth, text_col), "occurrences"), min_support=min_support, **graph)
     if patterns.isEmpty():
         return None
     new = join_small(all_found.filter("not seed").dropDuplicates(["text_key", "start"]), patterns, ["pattern"], "left_semi")
@@ -178,12 +213,13 @@ def discovered(found: DataFrame, **graph: float) -> DataFrame | None:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **graph: float) -> DataFrame:
     """doc_id, base spans, and all spans of every row of ``docs``."""
     found = scan(docs, id_col, text_col)
-    added = discovered(found, **graph)
+    added = discovered(docs, found, text_col, **graph)
     none = F.array().cast(SPAN)
     if added is None:
         return found.select("doc_id", "base", F.col("base").alias("spans"))
-    joined = found.join(added, "text_key", "left")
-    return joined.select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("added", none))).alias("spans"))
+    joined = found.filter("text_key is not null").join(added, "text_key", "left")
+    joined = joined.select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("added", none))).alias("spans"))
+    return joined.unionByName(found.filter("text_key is null").select("doc_id", "base", F.col("base").alias("spans")))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **graph: float) -> DataFrame:
@@ -191,7 +227,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **gr
 
     All columns stay, null texts too.
     """
-    added = discovered(scan(docs, id_col, text_col), **graph)
+    added = discovered(docs, scan(docs, id_col, text_col), text_col, **graph)
     schema, names = docs.schema, docs.columns
     key, extra = "__text_key", "__added"
     if added is None:
