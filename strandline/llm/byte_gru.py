@@ -151,8 +151,8 @@ def windows_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(n, WIDTH), np.minimum(len(raw) - np.arange(n) * WIDTH, WIDTH)
 
 
-def train(sample: list[tuple[str, str]], windows_per_doc: int = 4, hidden: int = 8, epochs: int = 8) -> tuple[list[str], ByteGRU | None]:
-    """Languages and network from (text, language) pairs."""
+def train(sample: list[tuple[str, str]], windows_per_doc: int = 4, hidden: int = 8, epochs: int = 8, min_steps: int = 300, batch: int = 128) -> tuple[list[str], ByteGRU | None]:
+    """Languages and network from (text, language) pairs; a small sample is gone over more often."""
     langs = sorted({lang for _, lang in sample})
     if len(langs) < 2:
         return langs, None
@@ -165,7 +165,7 @@ def train(sample: list[tuple[str, str]], windows_per_doc: int = 4, hidden: int =
             xs.append(x[0]), ns.append(n[0]), ys.append(langs.index(lang))
     mask = (np.arange(WIDTH) < np.array(ns)[:, None]).astype(np.float32)
     net = ByteGRU(len(langs), hidden)
-    net.fit(np.stack(xs), mask, np.array(ys), epochs)
+    net.fit(np.stack(xs), mask, np.array(ys), max(epochs, -(-min_steps * batch // len(xs)) if epochs > 1 else 1), batch)
     return langs, net
 
 
