@@ -181,3 +181,15 @@ def test_config(tmp_path):
     assert config.load(str(tmp_path / "c.json")) == good and config.violations(good) == []
     assert config.violations(good | {"training": good["training"] | {"dpo": {"label_smoothing": 0.5}}})
     assert config.digest(good) == config.digest(good | {"_private": 1})
+
+
+@pytest.mark.parametrize("bound", [1, 100])
+@pytest.mark.parametrize("how", ["left", "left_semi"])
+def test_checked_join(spark, bound, how):
+    from strandline.plans.runtime import join_small
+
+    big = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 99), (None, 7)], "k string, v int")
+    small = spark.createDataFrame([("hot", 1.0), ("warm", 2.0)], "k string, w double")
+    got = join_small(big, small, ["k"], how, max_rows=bound, salts=5)
+    want = big.join(small, "k", how)
+    assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
