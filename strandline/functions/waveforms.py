@@ -96,3 +96,8 @@ def strength(text: Column) -> Column:
     named = F.when(F.contains(text, F.lit("重度谱减")), 1.6).when(F.contains(text, F.lit("轻度谱减")), 0.8).otherwise(1.0)
     db = F.regexp_extract(text, r"衰减\s*(\d+)\s*dB", 1)
     return F.when(db != "", F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.nullif(db, F.lit("")).cast("double") / 15.0))).otherwise(named)
+
+
+def tone(frequency: Column, seconds: float, rate: int = 16000, volume: float = 0.08) -> Column:
+    """A sine wave."""
+    return F.transform(F.sequence(F.lit(0), F.lit(int(seconds * rate) - 1)), lambda i: (volume * F.sin(2 * F.pi() * frequency * i / rate)).cast("float"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 NOISES = ("white", "pink", "hvac", "cafe")
 
@@ -42,11 +41,14 @@ def feature_text(noise: Column, snr: Column, rt60: Column, bandlimit: Column) ->
 
 
 def group_advantages(rows: DataFrame, group_col: str, reward_col: str = "total", epsilon: float = 1e-4) -> DataFrame:
-    """Rewards relative to their group: less its mean, over its deviation."""
-    w = Window.partitionBy(group_col)
-    r = F.col(reward_col)
-    deviation = F.coalesce(F.stddev_samp(r).over(w), F.lit(0.0))
-    return rows.withColumn("advantage", (r - F.avg(r).over(w)) / (deviation + epsilon))
+    """Rewards relative to their group: less its mean, over its deviation.
+
+    Groups are aggregated with map-side combination and joined back, so no task holds a whole group.
+    """
+    own = F.col(group_col)
+    stats = rows.groupBy(own.alias("__group")).agg(F.avg(reward_col).alias("__mean"), F.coalesce(F.stddev_samp(reward_col), F.lit(0.0)).alias("__deviation"))
+    joined = rows.join(stats, own.eqNullSafe(F.col("__group")))
+    return joined.withColumn("advantage", (F.col(reward_col) - F.col("__mean")) / (F.col("__deviation") + epsilon)).drop("__group", "__mean", "__deviation")
 
 
 def preference_loss(chosen: Column, rejected: Column, ref_chosen: Column, ref_rejected: Column, beta: float, smoothing: float = 0.0) -> Column:

@@ -208,3 +208,17 @@ def ablation_totals() -> list[Column]:
     """For each component the total without it, from the scored columns; no answer is parsed again."""
     parts = {k: F.col(k) for k in COMPONENTS}
     return [weighted_total(parts, {k: 0.0}).alias(f"without_{k}") for k in COMPONENTS]
+
+
+def score_batches(batches: DataFrame, completions_col: str = "completions", contexts_col: str = "contexts", key: str = "batch") -> DataFrame:
+    """(key, rewards) for rows with arrays of completions and of as many contexts; other lengths raise in the job.
+
+    One context serves all completions of its batch.
+    """
+    texts, contexts = F.col(completions_col), F.col(contexts_col)
+    spread = F.when(F.size(contexts) == 1, F.transform(texts, lambda _: contexts[0])).otherwise(contexts)
+    fault = F.when(F.size(spread) != F.size(texts), F.raise_error(F.lit("contexts and completions must have the same length")).cast("int"))
+    pairs = F.transform(texts, lambda t, i: F.struct(t.alias("response"), F.get(spread, i + F.coalesce(fault, F.lit(0))).alias("context")))
+    rows = batches.select(key, F.posexplode(pairs).alias("at", "pair")).select(key, "at", "pair.response", "pair.context.*")
+    totals = F.array_sort(F.collect_list(F.struct("at", "total")))
+    return score(rows).groupBy(key).agg(F.transform(totals, lambda x: x["total"]).alias("rewards"))

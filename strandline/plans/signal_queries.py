@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import dsp, waveforms
-from strandline.operators import closed_loop, degradation
+from strandline.operators import closed_loop, degradation, runs
 from strandline.plans.bridge import bridge
 from strandline.plans.runtime import table
 
@@ -139,11 +139,27 @@ def degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", dsp.degrade(F.col("embedding"), F.col("vec_id"), kind, F.lit(12.0), F.when(F.col("vec_id") % 2 == 0, 0.001), none, none).alias("y"))
 
 
+def loss_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as losses, users as runs."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    return runs.loss_series(rows).withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+def tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = waveforms.tone(200.0 + F.col("n_nationkey") * 10, 0.01)
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.size(y).alias("n"), (F.round(waveforms.total(y), 4) + 0.0).alias("total"))
+
+
+def audio_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = waveforms.tone(200.0 + F.col("n_nationkey") * 100, 0.2)
+    return table(spark, sf_dir, "nation").select("n_nationkey", dsp.describe(y).alias("description"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         wave_rms, wave_zcr, wave_dc_remove, wave_gain_clip, wave_frame_energy, wave_pool, snr_estimate, snr_mix_power, utility_score, closed_loop_decision, parse_strength,
-        degradation_config, feature_text, latest_checkpoint, preference_loss, spectral_gate, pink_noise, bandlimit, wave_features, spectral_subtraction, degraded,
+        degradation_config, feature_text, latest_checkpoint, preference_loss, spectral_gate, pink_noise, bandlimit, wave_features, spectral_subtraction, degraded, loss_series, tones, audio_descriptions,
     )
 }
 
@@ -194,6 +210,8 @@ ORACLE_SQL = {
         "SELECT sample_id, 'noise_type=' || noise_type || '; snr_db=' || coalesce(snr_db::VARCHAR, 'unknown') || '; reverb_rt60=' || coalesce(reverb_rt60::VARCHAR, 'none') || '; bandlimit_hz=' || CASE WHEN banded THEN '[300, 3400]' ELSE 'none' END AS features FROM b"
     ),
     "latest_checkpoint": "SELECT 'run/checkpoint-' || max(o_orderkey) AS path FROM orders WHERE o_orderkey % 7 <> 0",
+    "loss_series": "SELECT user_id AS run, count(*) AS optimizer_steps, arg_min(value, event_id) AS initial_loss, arg_max(value, event_id) AS final_loss, round(avg(value), 6) AS mean_loss, true AS all_losses_finite FROM events GROUP BY user_id",
+    "tones": "SELECT n_nationkey, 160 AS n, round(list_sum(list_transform(range(0, 160), lambda i: 0.08 * sin(2 * pi() * (200.0 + n_nationkey * 10) * i / 16000))), 4) + 0.0 AS total FROM nation",
     "preference_loss": _bridge(
         "SELECT sample_id, round(0.9 * ln(1 + exp(-m)) + 0.1 * ln(1 + exp(m)), 6) AS loss FROM (SELECT sample_id, 0.1 * ((-k / 10.0::DOUBLE + snr_db / 100) - (-k / 8.0::DOUBLE + snr_db / 90)) AS m FROM b WHERE snr_db IS NOT NULL)"
     ),

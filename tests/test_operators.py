@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import dsp, waveforms
-from strandline.operators import closed_loop, contracts, degradation, derive, evaluate
+from strandline.operators import closed_loop, contracts, degradation, derive, evaluate, rewards, runs
 from strandline.operators.split import deterministic_split
 from strandline.plans import config
 from strandline.sources import audio, records
@@ -193,3 +193,31 @@ def test_checked_join(spark, bound, how):
     got = join_small(big, small, ["k"], how, max_rows=bound, salts=5)
     want = big.join(small, "k", how)
     assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_runs_and_profiles(spark):
+    rows = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 1.0), ("b", 1, float("nan"))], "run string, step int, loss double")
+    got = {r["run"]: r for r in runs.loss_series(rows).collect()}
+    assert got["a"]["initial_loss"] == 2 and got["a"]["final_loss"] == 1 and got["a"]["all_losses_finite"] and not got["b"]["all_losses_finite"]
+    assert runs.table_digest(rows).first() == runs.table_digest(rows.orderBy(F.desc("step"))).first() != runs.table_digest(rows.limit(1)).first()
+    assert spark.range(1).select(runs.cross_entropy(F.array(F.lit(-1.0), F.lit(-0.5)))).first()[0] == 1.5
+    good = {"zero_optimization": {"stage": 2, "offload_optimizer": {"device": "cpu"}}, "_portfolio_contract": {"declared_world_size": 1, "single_gpu_only": True}}
+    assert config.profile_violations(good, 1) == []
+    assert config.profile_violations(good, 2) == ["declared world size: differs", "single process only"]
+    bad = {"zero_optimization": {"stage": 2, "offload_param": {"device": "disk"}}, "bf16": {"enabled": True}, "fp16": {"enabled": True}}
+    assert len(config.profile_violations(bad, 1)) == 4
+
+
+def test_batches_and_texts(spark):
+    context = "contexts array<struct<noise_type:string,snr_db:double,reverb_rt60:double,bandlimit_hz:array<double>>>"
+    one = ("white", 10.0, None, None)
+    frame = spark.createDataFrame([(1, ["not-json", "{}"], [one]), (2, ["{}"], [one])], f"batch int, completions array<string>, {context}")
+    got = {r["batch"]: r["rewards"] for r in rewards.score_batches(frame).collect()}
+    assert len(got[1]) == 2 and got[1][0] == 0.0 and got[1][1:] == got[2]
+    with pytest.raises(Exception, match="same length"):
+        rewards.score_batches(spark.createDataFrame([(1, ["a", "b", "c"], [one, one])], frame.schema)).collect()
+    texts = spark.createDataFrame([('{"actions": [{"gain_db": 1}]}',), ("plain words",), (None,)], "t string")
+    out = [r[0] for r in texts.select(derive.corrupt_text(F.col("t"))).collect()]
+    assert json.loads(out[0])["actions"] == [{"gain_db": -30.0}] and json.loads(out[1])["actions"][0]["reduction_db"] == 36 and out[2] is None
+    words = spark.range(1).select(dsp.describe(waveforms.tone(F.lit(300.0), 0.5)).alias("d"), dsp.describe(F.array(F.lit(0.1).cast("float"))).alias("s")).first()
+    assert dsp.MID_HEAVY in words["d"] and dsp.SPEECH in words["d"] and words["s"] == dsp.TOO_SHORT
