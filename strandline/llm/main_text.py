@@ -52,6 +52,7 @@ TOKEN_GROUPS = (
 TAG_GROUPS = ("article", "main", "nav", "header", "footer", "aside", "form", "section", "h1 h2 h3 h4 h5 h6", "p blockquote pre", "li", "ul ol dl", "td th tr table", "#text")
 
 _TOKEN_BIT = {t: 1 << k for k, g in enumerate(TOKEN_GROUPS) for t in g.split()}
+_STEMS = tuple((t, bit) for t, bit in _TOKEN_BIT.items() if len(t) > 4)
 _TAG_BIT = {t: 1 << (k + len(TOKEN_GROUPS)) for k, g in enumerate(TAG_GROUPS) for t in g.split()}
 _N_BITS = len(TOKEN_GROUPS) + len(TAG_GROUPS)
 _TAG = re.compile(
@@ -62,6 +63,13 @@ _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
+def _token_bits(token: str) -> int:
+    """The group of an attribute token, by the whole of it or by a stem that it starts with."""
+    if (bit := _TOKEN_BIT.get(token)) is None:
+        bit = _TOKEN_BIT[token] = next((b for t, b in _STEMS if token.startswith(t)), 0) if len(token) < 40 and len(_TOKEN_BIT) < 10_000 else 0
+    return bit
+
+
 class Page:
     """The nodes of one page in document order, as parallel lists. Node 0 is the page itself."""
 
@@ -170,7 +178,7 @@ class Page:
             if m[3]:
                 for a in _ATTRIBUTE.finditer(m[3]):
                     for token in re.split(r"[^a-z]+", (a[1] or a[2] or a[3] or "").lower()):
-                        bits |= _TOKEN_BIT.get(token, 0)
+                        bits |= _token_bits(token)
             stack.append((tag, add(tag, bits)))
         close(0)
         flush()
@@ -244,6 +252,7 @@ def _boilerplate(rng: random.Random, kind: str) -> str:
         "comments": ("section", 7), "form": ("form", 8), "share": ("div", 9),
     }[kind]
     name = rng.choice(TOKEN_GROUPS[tokens].split())
+    name += rng.choice(["", "", "list", "s"]) if len(name) > 4 else ""
     plain = rng.random()
     attribute = "" if plain < 0.3 and tag not in ("div", "section") else f' {rng.choice(["class", "id"])}="{name}{rng.choice(["", "", "-box", " x1"])}"'
     if plain > 0.6:
@@ -259,7 +268,8 @@ def _boilerplate(rng: random.Random, kind: str) -> str:
     elif kind == "footer":
         inner = f"&copy; {_words(rng, rng.randint(2, 12))}" + (f'<a href="#">{_words(rng, 2)}</a>' if rng.random() < 0.5 else "")
     elif kind == "header":
-        inner = f'<a href="/">{_words(rng, 2)}</a> {_words(rng, 3)}'
+        shape = rng.choice(['<a href="/">{}</a> {}', "<h1>{}</h1><p>{}</p>", "<span>{}</span> {}", "<h2>{}</h2>{}", "{} {}"])
+        inner = shape.format(_words(rng, rng.randint(1, 3)), _words(rng, rng.randint(1, 5)) if rng.random() < 0.7 else "")
     else:
         inner = rng.choice(["{}", "<p>{}</p>", "<b>{}</b>"]).format("\n".join(_words(rng, rng.randint(2, 14)) for _ in range(rng.randint(1, 4))))
     return f"<{tag}{attribute}>{inner}</{tag}>"
@@ -277,6 +287,10 @@ def training_pages(n: int, seed: int = 11) -> Iterator[tuple[str, set[str]]]:
 
         title = keep(_words(rng, rng.randint(1, 12)))
         blocks = [f"<h1>{title}</h1>"]
+        bare = rng.random() < 0.08
+        if not bare and rng.random() < 0.15:
+            line = f'<p class="{rng.choice(["byline", "meta", "tags"])}">{_words(rng, 4)}</p>'
+            blocks = [rng.choice(["<header>{}</header>", "{}"]).format(blocks[0] + line)]
         for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 14])):
             shape = rng.random()
             if shape < 0.72:
@@ -294,18 +308,23 @@ def training_pages(n: int, seed: int = 11) -> Iterator[tuple[str, set[str]]]:
                 blocks.append("<table><tr>" + "".join(f"<td>{keep(_words(rng, 2))}</td>" for _ in range(3)) + "</tr></table>")
         if rng.random() < 0.1:
             blocks = blocks[1:] or blocks
+        if not bare and rng.random() < 0.1:
+            blocks.append(f"<footer>{_words(rng, 5)}</footer>")
         tag = rng.choice(["article", "article", "main", "div", "section"])
         name = rng.choice(TOKEN_GROUPS[0].split())
         attribute = f' class="{name}{rng.choice(["", "-body", " x2"])}"' if tag in ("div", "section") or rng.random() < 0.3 else ""
         body = f"<{tag}{attribute}>{''.join(blocks)}</{tag}>"
-        for wrap in rng.sample(["<div>{}</div>", '<div id="wrap">{}</div>', "<main>{}</main>"], rng.choice([0, 0, 1, 2])):
-            body = wrap.format(body + (_boilerplate(rng, rng.choice(["aside", "comments", "ad"])) if rng.random() < 0.4 else ""))
+        if bare:
+            body = "".join(blocks)
+        wraps = ["<div>{}</div>", '<div id="wrap">{}</div>', "<main>{}</main>", f'<div class="{rng.choice(TOKEN_GROUPS[0].split())}">{{}}</div>']
+        for wrap in rng.sample(wraps, rng.choice([0, 0, 1, 2])):
+            body = wrap.format(body + "".join(_boilerplate(rng, k) for k in ("share", "aside", "comments", "ad") if rng.random() < 0.3))
         before = [_boilerplate(rng, k) for k in ("notice", "header", "nav", "ad") if rng.random() < 0.5]
         after = [_boilerplate(rng, k) for k in ("share", "comments", "aside", "form", "ad", "footer") if rng.random() < 0.5]
         yield f"<html><head><title>{title}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>", main
 
 
-def train(n_pages: int = 500, n_trees: int = 40, depth: int = 4) -> BoostedTrees:
+def train(n_pages: int = 800, n_trees: int = 60, depth: int = 4) -> BoostedTrees:
     pages, labels = [], []
     for source, main in training_pages(n_pages):
         page = Page(source)
@@ -330,7 +349,7 @@ def extract(sources: list[str | None], model: BoostedTrees) -> list[str]:
     return out
 
 
-def main_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None, n_pages: int = 500, n_trees: int = 40) -> DataFrame:
+def main_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None, n_pages: int = 800, n_trees: int = 60) -> DataFrame:
     """The columns ``keep`` of every row of ``pages`` with its main text in ``text``."""
     model = train(n_pages, n_trees)
     keep = [c for c in keep or [] if c != "text"]
