@@ -71,7 +71,7 @@ def _audio_checks(v: Column) -> Column:
 
 
 def audio_violations(record: Column) -> Column:
-    """Faults of a manifest record given as VARIANT. Each field is looked up once."""
+    """Faults of a manifest record given as a VARIANT column (not as an expression that parses it). Each field is looked up once."""
     looked = {_name(path): kind(record, f"$.{path}") for path in REQUIRED}
     looked |= {f"k_{n}": kind(record, f"$.{p}") for n, p in (("duration", "audio.duration_seconds"), ("snr", "acoustics.snr_db"), ("split", "split"))}
     looked |= {n: F.try_variant_get(record, f"$.{p}", "string") for n, p in (("schema", "schema_version"), ("noise", "acoustics.noise_type"), ("split", "split"))}

@@ -87,7 +87,8 @@ def examples_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.parse_json(F.to_json(F.struct("schema_version", "sample_id", "split", "audio", "acoustics", "target")))
-    found = manifest(spark, sf_dir).select("sample_id", F.explode(contracts.audio_violations(record)).alias("violation"))
+    parsed = manifest(spark, sf_dir).select("sample_id", record.alias("record"))
+    found = parsed.select("sample_id", F.explode(contracts.audio_violations(F.col("record"))).alias("violation"))
     return found.groupBy("violation").agg(F.count("*").alias("n"))
 
 
