@@ -110,36 +110,42 @@ class ByteGRU:
         return float(np.mean(losses))
 
     def positions(self, x: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
-        """Probabilities (time, window, class) for windows of bytes (time, window)."""
-        n, w = self.hidden, self.weights
-        out = np.empty((*x.shape, self.n_classes), np.float32)
+        """Probabilities (time, class, window) for windows of bytes (time, window).
+
+        Windows are the last axis, so that every step works on whole contiguous rows.
+        """
+        n, w, size = self.hidden, self.weights, x.shape[1]
+        out = np.empty((len(x), self.n_classes, size), np.float32)
+        g, u, v = np.empty((3 * n, size), np.float32), np.empty((3 * n, size), np.float32), np.empty((self.n_classes, size), np.float32)
+        gates, c, un = g[: 2 * n], g[2 * n :], u[2 * n :]
+        # the gates' sigmoid is 0.5 + 0.5 tanh(x / 2); the inner half is put into the weights
+        half = np.array([0.5] * (2 * n) + [1.0] * n, np.float32)
         for d in "fb":
-            # the gates' sigmoid is 0.5 + 0.5 tanh(x / 2); the inner half is put into the weights
-            half = np.array([0.5] * (2 * n) + [1.0] * n, np.float32)
-            wx, wu, wv = w[f"x{d}"] * half, w[f"u{d}"] * half, w[f"v{d}"]
-            h = np.zeros((x.shape[1], n), np.float32)
+            wx, wu, wv = (np.ascontiguousarray(y.T) for y in (w[f"x{d}"] * half, w[f"u{d}"] * half, w[f"v{d}"]))
+            h = np.zeros((n, size), np.float32)
             for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-                g, u = wx.take(x[t], axis=0), h @ wu
-                gates = g[:, : 2 * n]
-                gates += u[:, : 2 * n]
+                np.take(wx, x[t], axis=1, out=g, mode="clip")
+                np.matmul(wu, h, out=u)
+                gates += u[: 2 * n]
                 np.tanh(gates, out=gates)
                 gates += 1
                 gates *= 0.5
-                c = gates[:, :n] * u[:, 2 * n :]
-                c += g[:, 2 * n :]
+                un *= gates[:n]
+                c += un
                 np.tanh(c, out=c)
                 h -= c
-                h *= gates[:, n:]
+                h *= gates[n:]
                 h += c
                 if mask is not None:
-                    h *= mask[t][:, None]
+                    h *= mask[t]
+                np.matmul(wv, h, out=v)
                 if d == "f":
-                    np.matmul(h, wv, out=out[t])
+                    out[t] = v
                 else:
-                    out[t] += h @ wv
-        out += w["c"]
+                    out[t] += v
+        out += w["c"][:, None]
         np.exp(out, out=out)  # a bounded state keeps the logits small
-        out /= out.sum(axis=2, keepdims=True)
+        out /= out.sum(axis=1, keepdims=True)
         return out
 
 
@@ -193,10 +199,10 @@ def _pooled(net: ByteGRU, data: np.ndarray, offsets: np.ndarray, block: int = 40
             mask = None if lens is None else (np.arange(WIDTH)[:, None] < lens[a : a + block]).astype(np.float32)
             w = _WEIGHT[x] if mask is None else _WEIGHT[x] * mask
             p = net.positions(x, mask)
-            sums = np.einsum("tn,tnc->nc", w, p)
+            sums = (w[:, None] * p).sum(axis=0)
             own = owner[a : a + block]
             for c in range(net.n_classes):
-                total[:, c] += np.bincount(own, sums[:, c], len(sizes))
+                total[:, c] += np.bincount(own, sums[c], len(sizes))
             np.add(weight, np.bincount(own, w.sum(axis=0), len(sizes)), out=weight)
 
     full = sizes // WIDTH

@@ -115,8 +115,11 @@ def test_gradients_by_differences():
             sides.append(net.gradients(x, mask, y)[0])
         net.weights[k][at] = own
         assert g[at] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-3, abs=1e-8)
-    fast = net.positions(x, mask)
-    assert np.allclose(fast.sum(axis=2), 1, atol=1e-5)
+    net.weights = {k: v.astype(np.float32) for k, v in net.weights.items()}
+    states = {d: np.stack([s[5] for s in net._forward(x, mask, d)]) for d in "fb"}
+    logits = states["f"] @ net.weights["vf"] + states["b"] @ net.weights["vb"]
+    want = np.exp(logits) / np.exp(logits).sum(axis=2, keepdims=True)
+    assert np.allclose(net.positions(x, mask), want.transpose(0, 2, 1), atol=1e-5)
 
 
 def test_languages_held_out(spark):
