@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.chat_parts import format_chat, read_back, text_part
 from strandline.llm.temperature_mix import temperature_mix
-from strandline.llm.unigram_pieces import decode_pieces, default_model, encode_pieces
+from strandline.llm.unigram_pieces import byte_range, decode_pieces, default_model, encode_pieces
 from strandline.plans.runtime import table
 
 
@@ -103,7 +103,7 @@ def op9_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = default_model(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "text")
     decoded = decode_pieces(encode_pieces(docs, model, keep_text=False), model)
-    byte_ids = F.filter("ids", lambda x: (x >= 3) & (x < 259))
+    byte_ids = F.filter("ids", lambda x: x.between(*map(F.lit, byte_range(model))))
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),

@@ -285,6 +285,14 @@ def decode_pieces(docs: DataFrame, model_file: str, ids_col: str = "ids", text_c
     return docs.mapInArrow(run, schema)
 
 
+def byte_range(model_file: str) -> tuple[int, int]:
+    """The first and last id of the byte pieces, which stand together."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    return model.piece_to_id("<0x00>"), model.piece_to_id("<0xFF>")
+
+
 def default_model(spark: SparkSession) -> str:
     """The piece file named by ``spark.strandline.pieces``, else the one on this machine's tokenizer shelf."""
     return spark.conf.get("spark.strandline.pieces", "/opt/tokenizers/piece_bpe_32k.model")
