@@ -176,10 +176,12 @@ def test_streaming(spark, tmp_path):
 
 
 def test_config(tmp_path):
-    good = {"project": {"seed": 1}, "model": {"base_model": "m"}, "data": {}, "evaluation": {}, "training": {s: {} for s in config.STAGES}}
+    stages = {s: {"per_device_train_batch_size": 1} for s in config.STAGES}
+    good = {"project": {"seed": 1}, "model": {"name_or_path": "m"}, "data": {}, "training": {"stages": stages}}
     config.write_atomic(str(tmp_path / "c.json"), good)
     assert config.load(str(tmp_path / "c.json")) == good and config.violations(good) == []
-    assert config.violations(good | {"training": good["training"] | {"dpo": {"label_smoothing": 0.5}}})
+    bad = {"project": {}, "model": {"name_or_path": " "}, "data": {}, "training": {"stages": {"dpo": {"label_smoothing": 0.5}}}}
+    assert len(config.violations(bad)) == 6 and config.violations({}) == ["project: missing", "model: missing", "data: missing", "training: missing"]
     assert config.digest(good) == config.digest(good | {"_private": 1})
 
 
