@@ -101,3 +101,15 @@ def strength(text: Column) -> Column:
 def tone(frequency: Column, seconds: float, rate: int = 16000, volume: float = 0.08) -> Column:
     """A sine wave."""
     return F.transform(F.sequence(F.lit(0), F.lit(int(seconds * rate) - 1)), lambda i: (volume * F.sin(2 * F.pi() * frequency * i / rate)).cast("float"))
+
+
+def pooled_frames(frames: Column, stride: int) -> Column:
+    """Mean vectors of windows of ``stride`` frames, for an array of vectors; the last window may be shorter."""
+
+    def mean(window: Column) -> Column:
+        zero = F.transform(window[0], lambda _: F.lit(0.0))
+        added = F.aggregate(window, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")))
+        return F.transform(added, lambda x: x / F.size(window))
+
+    windows = F.transform(_starts(frames, F.size(frames) - 1, stride), lambda i: F.slice(frames, i + 1, stride))
+    return F.transform(windows, mean)

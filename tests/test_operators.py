@@ -223,3 +223,10 @@ def test_batches_and_texts(spark):
     assert json.loads(out[0])["actions"] == [{"gain_db": -30.0}] and json.loads(out[1])["actions"][0]["reduction_db"] == 36 and out[2] is None
     words = spark.range(1).select(dsp.describe(waveforms.tone(F.lit(300.0), 0.5)).alias("d"), dsp.describe(F.array(F.lit(0.1).cast("float"))).alias("s")).first()
     assert dsp.MID_HEAVY in words["d"] and dsp.SPEECH in words["d"] and words["s"] == dsp.TOO_SHORT
+
+
+def test_pooled_frames(spark):
+    x = np.arange(44, dtype=np.float32).reshape(11, 4)
+    got = spark.createDataFrame([(x.tolist(),), ([],)], "f array<array<float>>").select(waveforms.pooled_frames(F.col("f"), 2)).collect()
+    assert np.array(got[0][0]).shape == (6, 4) and got[1][0] == []
+    assert np.allclose(got[0][0], [x[i : i + 2].mean(axis=0) for i in range(0, 11, 2)])
