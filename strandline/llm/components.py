@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every round is two aggregations and one join over the edges. A node with very many neighbours
-is aggregated with map-side combination; the join side that repeats it is split by adaptive execution.
+Every round is two aggregations and two joins over the edges. A node with very many neighbours is
+aggregated with map-side combination. The least neighbours are written before they are joined, so that
+both sides of the join are plain shuffles, and adaptive execution can split the node's rows over tasks.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from strandline.plans.runtime import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -40,7 +41,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = cut(_small_star(_large_star(now)), "edges")
+        now = cut(_small_star(cut(_large_star(now), "edges")), "edges")
         new = state(now)
         if new == seen:
             break
