@@ -55,6 +55,8 @@ _TOKEN_BIT = {t: 1 << k for k, g in enumerate(TOKEN_GROUPS) for t in g.split()}
 _STEMS = tuple((t, bit) for t, bit in _TOKEN_BIT.items() if len(t) > 4)
 _TAG_BIT = {t: 1 << (k + len(TOKEN_GROUPS)) for k, g in enumerate(TAG_GROUPS) for t in g.split()}
 _N_BITS = len(TOKEN_GROUPS) + len(TAG_GROUPS)
+#: Attribute tokens whose groups a task remembers; those of others are found anew.
+REMEMBERED = 10_000
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"'])*?)(?:>|\Z)", re.S
 )
@@ -66,7 +68,9 @@ _PUNCTUATION = re.compile(r"[.,;:!?]")
 def _token_bits(token: str) -> int:
     """The group of an attribute token, by the whole of it or by a stem that it starts with."""
     if (bit := _TOKEN_BIT.get(token)) is None:
-        bit = _TOKEN_BIT[token] = next((b for t, b in _STEMS if token.startswith(t)), 0) if len(token) < 40 and len(_TOKEN_BIT) < 10_000 else 0
+        bit = next((b for t, b in _STEMS if token.startswith(t)), 0)
+        if len(token) < 40 and len(_TOKEN_BIT) < REMEMBERED:
+            _TOKEN_BIT[token] = bit
     return bit
 
 

@@ -98,6 +98,17 @@ def test_tolerant_reading():
     assert texts("") == [] and texts("<") == ["<"] and texts("<a href=x>l</a>") == ["l"]
 
 
+def test_tokens_do_not_depend_on_what_was_seen(monkeypatch):
+    tokens = ["sidebarleft", "commentlist", "sidebar" + "x" * 50, "nothing", "ad"]
+    before = [main_text._token_bits(t) for t in tokens]
+    monkeypatch.setattr(main_text, "REMEMBERED", 0)
+    for k in range(50):
+        assert main_text._token_bits(f"footer{'qz' * k}") == main_text._TOKEN_BIT["footer"]
+    monkeypatch.setattr(main_text, "_TOKEN_BIT", {t: main_text._TOKEN_BIT[t] for g in main_text.TOKEN_GROUPS for t in g.split()})
+    assert [main_text._token_bits(t) for t in tokens] == before
+    assert before[:2] == [main_text._TOKEN_BIT["sidebar"], main_text._TOKEN_BIT["comment"]] and before[3] == 0
+
+
 def test_odd_pages(spark):
     long = "<article>" + "<p>word and more words.</p>" * 20_000 + "</article>"
     rows = [(1, None, "x"), (2, "", "x"), (3, "plain", "x"), (4, "<" * 5000, "x"), (5, long, "x"), (5, long, "x")]
