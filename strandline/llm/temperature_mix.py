@@ -2,7 +2,9 @@
 
 Source shares p of all tokens become weights proportional to p ** alpha. Alpha is bisected in [0, 1]: the
 largest one whose weights reach the entropy asked for, then raised, if need be, until no source is
-repeated more often than allowed. Each source gets floor(budget * weight) tokens.
+repeated more often than allowed. Each source gets the whole tokens in budget * weight; where that is a whole
+number of tokens or of passes but for the rounding of doubles, it is that number. So at alpha 1 and the
+whole budget every document is taken.
 
 They are drawn as block permutations. The documents of a source are dealt into blocks by hash; every pass
 over a source permutes its blocks, and the documents in each, anew, and a document is taken if it ends
@@ -29,6 +31,8 @@ from strandline.plans.runtime import cut, join_small
 
 STEPS = 40
 COLLECTED = 100_000
+#: The relative error that doubles may put on a source's share of the budget.
+NEAR = 1e-12
 
 
 def _hash(*parts: Column | str) -> Column:
@@ -78,6 +82,12 @@ def find_alpha(measures: Callable[[float], tuple[float, float]], entropy: float
     return round(alpha, 6)
 
 
+def _quota(due: Column, total: Column) -> Column:
+    """Whole tokens of ``due``, which is not exact."""
+    passes, tokens = F.round(due / F.greatest(total, F.lit(1))) * total, F.round(due)
+    return F.when(F.abs(due - passes) <= due * NEAR, passes).when(F.abs(due - tokens) <= due * NEAR, tokens).otherwise(F.floor(due)).cast("long")
+
+
 def temperature_mix(
     docs: DataFrame,
     source_col: str = "source",
@@ -105,12 +115,13 @@ def temperature_mix(
         alpha = find_alpha(_measures(totals, budget), entropy_share and entropy_share * math.log(n_sources), max_repeats)
     raised = F.pow(F.col("total") / max(whole, 1), F.lit(alpha))
     norm = totals.filter("total > 0").agg(F.sum(raised)).first()[0] or 1.0
-    weight = F.when(F.col("total") > 0, F.round(raised / norm, 9)).otherwise(0.0)
+    # at alpha 1 the weights are the shares, and no division is needed
+    due = F.when(F.col("total") > 0, F.col("total") * F.lit(float(budget_share)) if alpha == 1 else raised / norm * budget).otherwise(0.0)
     size = max(block_tokens, math.isqrt(int(whole)))
     plans = totals.select(
         F.col("key").alias("__key"),
         F.col("total").alias("__total"),
-        F.floor(weight * budget).alias("__quota"),
+        _quota(due, F.col("total")).alias("__quota"),
         F.greatest(F.ceil(F.col("total") / size), F.lit(1)).alias("__n_blocks"),
     ).withColumn("__passes", F.greatest(F.ceil(F.col("__quota") / F.greatest("__total", F.lit(1))), F.lit(1)).cast("int"))
 

@@ -55,6 +55,23 @@ def test_mixture_keeps_to_weights_and_budget(spark):
         assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False) if b[0] < last * total[s])
 
 
+def test_whole_sources_lose_no_document(spark, hard):
+    sizes = [1, 2, 3, 7, 11, 101, 997, 1009] + [900 + 13 * i for i in range(20)]
+    rows = [(100 * s + i, "w " * n, f"s{s}") for s, n in enumerate(sizes) for i in range(1 if s < 8 else 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for docs in (frame, hard):
+        got = temperature_mix.temperature_mix(docs, entropy_share=None, max_repeats=None).drop("mix_pass", "mix_start")
+        assert got.exceptAll(docs).count() == 0 and got.count() == docs.count()
+    twice = Counter(r["doc_id"] for r in mixed(frame, entropy_share=None, max_repeats=None, budget_share=2.0))
+    assert set(twice.values()) == {2} and len(twice) == len(rows)
+
+
+def test_quota_is_exact_beyond_nine_decimals(spark):
+    rows = [(3e12 * (1 - 1e-15), 10**12), (2.5e9 + 0.75, 10**10), (4.0 - 1e-13, 7), (3.75, 7), (0.0, 0)]
+    got = spark.createDataFrame(rows, "due double, total long").select(temperature_mix._quota(F.col("due"), F.col("total"))).collect()
+    assert [r[0] for r in got] == [3 * 10**12, 2_500_000_000, 4, 3, 0]
+
+
 def test_natural_weights_take_everything_once(spark, hard, none):
     got = temperature_mix.temperature_mix(hard, entropy_share=None, max_repeats=None)
     assert got.drop("mix_pass", "mix_start").exceptAll(hard).count() == 0 and got.count() >= hard.count() - 4
