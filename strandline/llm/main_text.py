@@ -10,8 +10,9 @@ The trees are trained here, on pages that ``training_pages`` writes with known a
 parameter, and no page of the table is learned from.
 
 A null page is empty, and a page without main text has the text ''. Markup is read tolerantly: unclosed
-elements, stray end tags and an unfinished tag at the end are all accepted. Pages are read whole. Repeated
-rows get equal results. Only the html is read, whatever other columns are named.
+elements, stray end tags and an unfinished tag at the end are all accepted. Scripts, styles, buttons and the
+like are skipped up to their own end tag; without one, only scripts and styles go on to the end of the page.
+Pages are read whole. Repeated rows get equal results. Only the html is read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -32,10 +33,13 @@ from strandline.llm.boosting import BoostedTrees
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 RAW = frozenset("script style noscript template textarea title svg iframe object select button".split())
+#: Of these, the ones whose contents are no markup, and the ones whose contents are code even if they never end.
+LITERAL = frozenset("script style textarea title iframe".split())
+CODE = frozenset("script style".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li".split()
 )
-SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
+SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}, "button": {"button"}, "select": {"select"}}
 SCOPES = frozenset("ul ol dl table body html article section div".split())
 TOKEN_GROUPS = (
     "article content post entry main story body text",
@@ -57,9 +61,12 @@ _TAG_BIT = {t: 1 << (k + len(TOKEN_GROUPS)) for k, g in enumerate(TAG_GROUPS) fo
 _N_BITS = len(TOKEN_GROUPS) + len(TAG_GROUPS)
 #: Attribute tokens whose groups a task remembers; those of others are found anew.
 REMEMBERED = 10_000
+# a quote opens a value only behind an equals sign, and if it is closed; nothing is tried twice, so values have any length
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"'])*?)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)", re.S
 )
+_LITERAL_TAG = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in LITERAL}
+_LITERAL_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in LITERAL}
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
@@ -74,6 +81,49 @@ def _token_bits(token: str) -> int:
     return bit
 
 
+def _tags(source: str) -> tuple[list[tuple[re.Match, str, int]], dict[int, int]]:
+    """All markup of a page as (match, tag, where reading goes on), and the end tag of each element to be skipped.
+
+    The tag is empty for comments and for an unfinished tag. A literal element is one entry with its contents.
+    """
+    tags: list[tuple[re.Match, str, int]] = []
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    single: dict[str, int] = {}  # a self-closed form, which only an end tag that comes next makes an element with contents
+    endless: set[str] = set()
+    at, n = 0, len(source)
+    while at < n and (m := _TAG.search(source, at)):
+        at = m.end()
+        tag = m[2].lower() if m[2] is not None and m[0][-1] == ">" else ""
+        k = len(tags)
+        if tag in LITERAL and not m[1]:
+            own = None
+            if m[3][-1:] != "/":
+                own = None if tag in endless else _LITERAL_END[tag].search(source, at)
+                if own is None:
+                    endless.add(tag)
+                    at = n if tag in CODE else at
+            elif (near := _LITERAL_TAG[tag].search(source, at)) and near[1]:
+                own = _LITERAL_END[tag].match(source, near.start())
+            if own or at == n:
+                ends[k] = k
+            at = own.end() if own else at
+        elif tag in RAW and m[1]:
+            if opened.get(tag):
+                ends[opened[tag].pop()] = k
+            elif tag in single:
+                ends[single[tag]] = k
+            single.pop(tag, None)
+        elif tag in RAW:
+            single.pop(tag, None)
+            if m[3][-1:] != "/":
+                opened.setdefault(tag, []).append(k)
+            elif tag != "svg":
+                single[tag] = k
+        tags.append((m, tag, at))
+    return tags, ends
+
+
 class Page:
     """The nodes of one page in document order, as parallel lists. Node 0 is the page itself."""
 
@@ -124,9 +174,10 @@ class Page:
             stack.pop()
             self.end[node] = len(self.parent)
 
-        at, n = 0, len(source)
+        tags, ends = _tags(source)
+        at, n, k_tag = 0, len(source), 0
         while at < n:
-            m = _TAG.search(source, at)
+            m, tag, after = tags[k_tag] if k_tag < len(tags) else (None, "", n)
             stop = m.start() if m else n
             if stop > at:
                 piece = source[at:stop]
@@ -135,10 +186,10 @@ class Page:
                     linked += len(piece)
             if not m:
                 break
-            at = m.end()
-            if m[2] is None or m[0][-1] != ">":
+            own, at = k_tag, after
+            k_tag += 1
+            if not tag:
                 continue
-            tag = m[2].lower()
             if m[1]:
                 if tag in INLINE or any(t == tag for t, _ in stack):
                     for k in range(len(stack) - 1, -1, -1):
@@ -153,10 +204,9 @@ class Page:
                         if tag in INLINE and stack[k][1] >= 0:
                             break
                 continue
-            if tag in RAW:
-                own = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                if m[3][-1:] != "/" or tag != "svg":
-                    at = own.end() if own else n
+            if tag in LITERAL or (tag in RAW and (own in ends or m[3][-1:] == "/")):
+                if own in ends:
+                    k_tag, at = ends[own] + 1, tags[ends[own]][2]
                 self.pieces.append(" ")
                 continue
             if tag == "br":

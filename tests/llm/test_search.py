@@ -98,6 +98,31 @@ def test_tolerant_reading():
     assert texts("") == [] and texts("<") == ["<"] and texts("<a href=x>l</a>") == ["l"]
 
 
+@pytest.mark.parametrize("tag", sorted(main_text.RAW - main_text.CODE))
+def test_elements_without_end_tag_lose_nothing(tag):
+    def texts(source):
+        return [t for t in main_text.Page(source).text if t]
+
+    assert texts(f"<div><{tag} id=x></div><article><p>a</p></article>") == ["a"]
+    assert texts(f"<{tag} src='x' /><p>a</p><{tag}/><p>b</p><{tag}>no</{tag}>c") == ["a", "b", "c"]
+    assert texts(f"<{tag}>no</{tag}><p>a</p><{tag} x='/'>no</{tag} >b") == ["a", "b"]
+    if tag not in main_text.LITERAL:
+        assert texts(f"<p>a</p><{tag}><p>b</p><{tag}>no</{tag}>c") == ["a", "b", "c"]
+        assert texts(f"<{tag}>no<{tag}>no</{tag}><b>no</{tag}>a<script>'<{tag}>'</script>b") == ["a b"]
+
+
+def test_values_of_any_length():
+    def texts(source):
+        return [t for t in main_text.Page(source).text if t]
+
+    for quote, n in (("'", 3000), ("'", 5000), ('"', 200_000)):
+        value = "x" * n + "<p>leak</p>" + ("'" if quote == '"' else '"') + ">"
+        assert texts(f"<p data-x={quote}{value}{quote}>a</p>b") == ["a", "b"]
+    assert texts('<p title="a>b</p>c') == ["b", "c"] and texts("<p 5\" tall>b</p>c <i x=\"1\">d") == ["b", "c d"]
+    assert texts("<script src=x /><p>a</p>") == ["a"] and texts("<p>a</p><script>var p = '<p>b</p>'") == ["a"]
+    assert len(texts("<button>a" * 20_000)) == 20_000 and texts("<title>a" * 20_000) == [" ".join("a" * 20_000)]
+
+
 def test_tokens_do_not_depend_on_what_was_seen(monkeypatch):
     tokens = ["sidebarleft", "commentlist", "sidebar" + "x" * 50, "nothing", "ad"]
     before = [main_text._token_bits(t) for t in tokens]
