@@ -2,7 +2,10 @@
 
 The base patterns give e-mail addresses, IP addresses, card numbers and phone numbers. They are the
 seeds of a bootstrap: the two words before an identifier are its lexical pattern, and every other word
-with digits or an @ is a candidate with a pattern of its own. Spark then scores the graph of patterns and
+with digits or an @ is a candidate with a pattern of its own. Words of patterns end at spaces, at : = quotes
+and brackets, and before the first digit, @ or + of an identifier, where they are taken and where they are
+counted alike, so a label may be glued to its identifier. What follows such a label within a word (id=1234)
+is a candidate besides the whole word, and both may become spans. Spark then scores the graph of patterns and
 instances in rounds: a pattern scores by the share of all its occurrences in the corpus, whatever word
 follows, that lead to a believed instance, and an instance by the patterns that hold it (noisy or). Patterns
 that reach ``min_score`` with ``min_support`` distinct believed instances make spans of the kind ``id`` of the
@@ -38,10 +41,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile("[0-9@]")
+_SIGNED = re.compile("[0-9@+]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 _DIGIT = re.compile("[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BREAKS = r"\x20\x09-\x0D:=\"'`<>()\[\]{}\u00ab\u00bb\u2018-\u201f\u2039\u203a"
+_BREAK = re.compile(f"[{_BREAKS}]")
+_WORD = re.compile(f"[0-9@+][^{_BREAKS}]*|[^{_BREAKS}0-9@+]+")
 #: Patterns that a task counts at once.
 COUNTED = 100_000
 
@@ -89,13 +95,19 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
 
 
 def _context(text: str) -> list[str]:
-    return _WORD.findall(_DIGIT.sub("0", text).lower())
+    return [_DIGIT.sub("0", w).lower() for w in _WORD.findall(text)]
 
 
 def _pattern(text: str, start: int) -> str:
-    """The two words before a place; none if there are fewer, or longer ones than identifiers have."""
-    before = _context(text[max(0, start - 80) : start])
-    return " ".join(before[-2:]) if len(before) > 1 and (start <= 80 or len(before) > 2) else ""
+    """The two words that end before a place; none if there are fewer, or longer ones than identifiers have."""
+    at = max(0, start - 80)
+    if at:  # the first word may be a part of one
+        first = _BREAK.search(text, at, start)
+        at = first.end() if first else start
+    before = _context(text[at:start])
+    if before and not _BREAK.match(text, start - 1) and not (_SIGNED.match(text, start) and not _SIGNED.match(before[-1])):
+        before.pop()  # it goes on behind the place
+    return " ".join(before[-2:]) if len(before) > 1 else ""
 
 
 def candidates(text: str, spans: list[tuple[int, int, str, int]]) -> list[dict]:
@@ -122,6 +134,13 @@ def candidates(text: str, spans: list[tuple[int, int, str, int]]) -> list[dict]:
         word = text[start:end]
         if "@" in word or len(_NOT_DIGIT.sub("", word)) >= 4:
             out.append({"start": start, "stop": end, "value": word.lower()[:200], "pattern": _pattern(text, start), "seed": False})
+            glued = sign = max(start, m.start())
+            while glued > start and not _BREAK.match(text, glued - 1):
+                glued -= 1
+            while glued < sign and not text[glued].isalnum():
+                glued += 1
+            if glued > start:
+                out.append({"start": glued, "stop": end, "value": text[glued:end].lower()[:200], "pattern": _pattern(text, glued), "seed": False})
     return out
 
 
@@ -178,7 +197,7 @@ def trusted_patterns(edges: DataFrame, totals: DataFrame, rounds: int = 3, min_s
     believed, patterns = seeds, None
     for _ in range(rounds):
         scored = known.join(believed, "value").groupBy("pattern").agg(
-            (F.sum(F.col("belief") * F.col("n")) / F.first("total")).alias("score"), F.count_if(F.col("belief") >= min_score).alias("support")
+            F.least(F.sum(F.col("belief") * F.col("n")) / F.first("total"), F.lit(1.0)).alias("score"), F.count_if(F.col("belief") >= min_score).alias("support")
         )
         patterns = cut(scored.filter((F.col("score") >= min_score) & (F.col("support") >= min_support)), "patterns")
         if patterns.isEmpty():

@@ -99,6 +99,30 @@ def test_patterns_find_unseen_identifiers(spark, hard, none):
     assert pii_bootstrap.personal_data(none).count() == 0 and pii_bootstrap.redact(none).count() == 0
 
 
+def test_labels_glued_to_identifiers(spark):
+    forms = ["my tel:{} now", "our id={} now", "the contact <{}> now", "a contact ({}) now", 'set token = "{}" now']
+    seeds = ["+1 (017) 555-77{}3", "10.0.0.{}", "u{}@x.com", "u{}@x.com", "v{}@x.com"]
+    rows = [(10 * k + i, form.format(seed.format(i))) for k, (form, seed) in enumerate(zip(forms, seeds, strict=True)) for i in range(4)]
+    unseen = [form.format("9abc123") for form in forms]
+    rows += [(100 + k, t) for k, t in enumerate(unseen)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii_bootstrap.personal_data(frame).collect()}
+    for k, t in enumerate(unseen):
+        assert any(s["kind"] == "id" and t[s["start"] : s["stop"]].endswith("9abc123") for s in got[100 + k]), t
+    clean = {r["doc_id"]: r["text"] for r in pii_bootstrap.redact(frame).collect()}
+    assert clean[101] == "our id=[ID] now" and clean[102] == "the contact <[ID]> now" and clean[104] == 'set token = "[ID]" now'
+
+
+def test_patterns_are_counted_where_they_are_taken():
+    rng = np.random.default_rng(8)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("ab1 2@.+:=\"( )"), 40)) + "z" * int(rng.integers(0, 50)) + " 4.4.4.4 x1234"
+        words = pii_bootstrap._context(text)
+        pairs = {f"{a} {b}" for a, b in zip(words, words[1:-1], strict=False)}
+        for c in pii_bootstrap.candidates(text, pii_bootstrap.base_spans(text)):
+            assert c["pattern"] in pairs | {""}, (text, c)
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     net = byte_gru.ByteGRU(3, 4)
