@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else one set for this session.
+    """The folder that all executors share, named by ``spark.checkpoint.dir``.
 
-    A local temporary folder is used only where the session names none, as in tests.
+    A session in one process that names none gets a temporary folder; on a cluster that is an error, since
+    no executor could read what another one wrote.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -41,7 +44,17 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once nothing that is still to run reads them."""
+    for df in written:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_small(
@@ -54,7 +67,8 @@ def join_small(
 ) -> DataFrame:
     """Join ``big`` with a side that is unique on ``on`` and usually small.
 
-    The size of ``small`` is counted first. Up to ``max_rows`` rows it is broadcast; beyond that
+    The size of ``small`` is counted first; it should be a written table, so that this reads its rows and does
+    not run its plan once more. Up to ``max_rows`` rows it is broadcast; beyond that
     it is replicated over ``salts`` salts, and ``big`` is dealt over them by a row hash, so that a
     key which holds a third of the rows is still spread over many tasks.
     """
