@@ -13,7 +13,7 @@ import pyarrow as pa
 
 #: The white space of the word pattern, and A-Z, as byte values.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True

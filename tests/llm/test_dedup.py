@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import SF
 from pyspark.sql import functions as F
@@ -105,22 +106,34 @@ def removed(frame):
     ).collect()
 
 
-@pytest.mark.parametrize("hot", [4_000_000, 50])
-def test_repeats_equal_brute_force(hard, none, hot):
-    """With a low bound, hot anchors are counted by fingerprint."""
-    small = hard.filter("length(text) < 20000 or text is null")
-    rows = small.collect()
-    got = Counter(tuple(r) for r in removed(suffix_levels.remove_repeats(small, hot=hot, shard_suffixes=500)))
+@pytest.mark.parametrize(("batches", "part_bytes"), [(1, 6 << 20), (3, 2000), (8, 6 << 20)])
+def test_repeats_equal_brute_force(hard, none, batches, part_bytes):
+    """With a low bound, the windows of frequent anchors are dealt one by one."""
+    rows = hard.collect()
+    got = Counter(tuple(r) for r in removed(suffix_levels.remove_repeats(hard, batches=batches, part_bytes=part_bytes, shard_bytes=20_000)))
     want = Counter((r["doc_id"], *w) for r, w in zip(rows, brute_repeats([r["text"] for r in rows], 200), strict=True))
     assert got == want
     assert suffix_levels.remove_repeats(none).count() == 0
 
 
-def test_repeats_of_long_texts(hard):
-    rows = hard.filter("length(text) > 20000")
-    got = Counter(tuple(r) for r in removed(suffix_levels.remove_repeats(rows)))
-    texts = rows.collect()
-    assert got == Counter((r["doc_id"], *w) for r, w in zip(texts, brute_repeats([r["text"] for r in texts], 200), strict=True))
+def test_very_long_texts_are_read_in_pieces(spark, monkeypatch):
+    from conftest import words
+
+    long = words(5, 4000, 900)
+    texts = [long, "x" + long[3000:9000] + "y", words(6, 300, 900) + long[-450:], long[:700].replace("w1", "w2")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = suffix_levels.anchored_runs(*suffix_levels.bytes_of(pa.array([long])), 200)
+    monkeypatch.setattr(suffix_levels, "PIECE", 1000)
+    data, offsets = suffix_levels.bytes_of(pa.array([long]))
+    covered = np.zeros((2, len(data)), np.int64)
+    for _, key, lo, hi, at in zip(*runs, strict=True):
+        covered[0, lo : hi + 1] = key + at
+    for shift, piece, ends in suffix_levels.pieces_of(data, offsets, 200):
+        for _, key, lo, hi, at in zip(*suffix_levels.anchored_runs(piece, ends, 200), strict=True):
+            covered[1, lo + shift : hi + shift + 1] = key + at + shift
+    assert (covered[0] == covered[1]).all()
+    got = {r["doc_id"]: tuple(r)[1:] for r in removed(suffix_levels.remove_repeats(frame))}
+    assert got == dict(enumerate(brute_repeats(texts, 200)))
 
 
 def test_repeat_query_equals_brute_force(spark):
@@ -130,12 +143,35 @@ def test_repeat_query_equals_brute_force(spark):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
 
 
-def test_levels_grow_geometrically():
-    rng, levels, parts = np.random.default_rng(1), suffix_levels.Levels(), []
-    for _ in range(13):
-        parts.append(rng.integers(0, 3000, 200).astype(np.uint64))
-        levels.add(parts[-1])
-    assert [a[0] for a in levels.arrays] == [3, 2, 0]  # thirteen batches: 8 + 4 + 1
-    whole = np.concatenate(parts)
-    values, counts = np.unique(whole, return_counts=True)
-    assert levels.found().tolist() == np.flatnonzero(np.isin(whole, values[counts > 1])).tolist()
+def test_levels_grow_geometrically(spark):
+    rng, index, seen = np.random.default_rng(1), suffix_levels.SuffixIndex(200), Counter()
+    for batch in range(13):
+        keys = [int(k) for k in rng.integers(0, 3000, 200)]
+        got = {r["key"]: r["size"] for r in index.add(spark.createDataFrame([(k, 5, 9) for k in keys], "key long, lo int, hi int")).collect()}
+        seen.update(keys)
+        assert got == {k: 204 * seen[k] for k in set(keys) if seen[k] > 1}, batch
+    assert [a for a, _ in index.levels] == [3, 2, 0]  # thirteen batches: 8 + 4 + 1
+    rows = [tuple(r) for _, level in index.levels for r in level.select("key", "n").collect()]
+    total = Counter()
+    for k, n in rows:
+        total[k] += n
+    assert total == seen
+    index.close()
+
+
+def test_windows_by_suffixes_and_prefixes():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        core = bytes(rng.integers(97, 99, 32, dtype=np.uint8))
+        rows = []
+        for i in range(30):
+            far, after = int(rng.integers(0, 169)), int(rng.integers(0, 169))
+            text = bytes(rng.integers(97, 99, 3, dtype=np.uint8)).rjust(far, b"x")[-far:] if far else b""
+            text += core + bytes(rng.integers(97, 98 + i % 2, after, dtype=np.uint8)) + b"z" * max(0, 168 - far - after)
+            rows.append((i % 2, b"k" * 16, 0, far, max(0, min(far, len(text) - 200)), text, False))
+        names = ["grp", "text_key", "lo", "at", "hi", "bytes", "sure"]
+        table = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+        windows = Counter((r[0], r[3] - s, r[5][s : s + 200]) for r in rows for s in range(r[4] + 1))
+        want = [(i, s) for i, r in enumerate(rows) for s in range(r[4] + 1) if windows[r[0], r[3] - s, r[5][s : s + 200]] > 1]
+        row, start = suffix_levels.repeated_windows(table, 200)
+        assert list(zip(row.tolist(), start.tolist(), strict=True)) == want
