@@ -1,20 +1,20 @@
 """MinHash near-duplicate search with sequential Bayesian verification.
 
 1. Every text becomes the set of its word shingles (64-bit hashes) and a MinHash signature, cut into
-   bands. Texts with equal sets are one node from here on: only its least doc_id takes part.
-2. Nodes that share a band bucket are candidates. No pairs are emitted: each bucket links its nodes
-   to its least one, and the components of these links hold every candidate pair.
-3. Inside such a component a breadth-first search grows classes: the node at hand is compared with
-   the nodes not reached yet that share a band with it. A second, independent signature is compared in
-   batches; after each batch a pair is dropped if the posterior probability of its similarity being at
-   least the threshold is under ``miss``. Survivors are verified on their full sets. A node that has
-   been reached leaves the search, so that a group of copies costs about one comparison a node.
-4. A component with more than ``max_shingles`` shingles is dealt into blocks, one task for each
-   pair of blocks; the links that these find are joined by connected components. That is exact too.
-
-Nulls and texts without words have no set and are linked with nothing. Rows with the same doc_id are
-judged row by row; classes that meet in such an id as their least one are one. Ties are settled by the least doc_id. Columns besides the id and the text
-are not read, whatever their names. An empty table gives an empty result.
+   bands. Texts with equal sets are one node from here on.
+2. Nodes that share a band bucket are candidates. The least node of each bucket is its hub, and every other
+   member is compared with it: the signatures batch by batch, where a pair is dropped as soon as the posterior
+   probability that its similarity reaches the threshold falls under ``miss``. (Both share a band, so the
+   signatures agree more than by chance; that keeps pairs, and loses none.) Survivors are verified on their full
+   sets: texts travel for survivors only, and those of one hub are dealt over tasks by ``fan`` at a time.
+3. Verified links have connected components. A bucket is settled if all its members but the hub are in one of
+   them. In the others, members of different components are compared by their signatures, in pairs of blocks of
+   ``block`` nodes, one task each, and survivors are verified like those of hubs. So each candidate pair has been
+   compared, or is connected without it; none is emitted unless it survives.
+
+Nulls and texts without words have no set and are linked with nothing. Rows with the same id are judged row by
+row, by their texts. Ties are settled by the least id. Columns besides the id and the text are not read,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from strandline.llm.bytetext import chunks, grouped, mix, shingle_sets
+from strandline.llm.bytetext import bytes_of, chunks, grouped, mix, shingle_sets
 from strandline.llm.components import connected_components
-from strandline.plans.runtime import cut
+from strandline.plans.runtime import cut, discard
 
 BATCH = 32
 
@@ -80,90 +79,188 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((parts * coef).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
-def _signer(id_col: str, size: int, bands: int, rows: int):
+def _signer(size: int, bands: int, rows: int):
+    """Sizes, names, band keys and signatures of sets; of a signature's values the low 16 bits are kept."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 sets = shingle_sets(part.column("text"), size)
-                full = [s for s in sets if len(s)]
-                keys: list = [None] * len(sets)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                names, keys, signatures = ([None] * len(sets) for _ in range(3))
                 if full:
-                    rows_of = iter(band_keys(minhash(full, bands * rows, 1), bands, rows))
-                    keys = [next(rows_of) if len(s) else None for s in sets]
+                    values = minhash([sets[i] for i in full], bands * rows, 1)
+                    for i, k, v in zip(full, band_keys(values, bands, rows), values.astype(np.uint16), strict=True):
+                        names[i], keys[i], signatures[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), k, v.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(id_col).cast(pa.int64()),
+                        part.column("doc_id"),
+                        part.column("h"),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.array(names, pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(signatures, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "bands"],
+                    names=["doc_id", "h", "n_shingles", "set_key", "bands", "signature"],
                 )
 
     return sign
 
 
-class Group:
-    """The documents of one candidate component (or of two of its blocks), in a task."""
+def _values(column: pa.Array) -> np.ndarray:
+    """Signatures as rows of 16-bit numbers."""
+    return bytes_of(column)[0].view(np.uint16).reshape(len(column), -1)
+
+
+class Bounds:
+    """The sequential test of candidate pairs."""
 
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], percent: int, bands: int, rows: int, n_verify: int, miss: float):
-        self.ids, self.sets, self.percent = ids, sets, percent
-        self.keys = band_keys(minhash(sets, bands * rows, 1), bands, rows)
-        self.values = minhash(sets, n_verify, 2)
-        self.least = least_matches(percent, n_verify, miss)
-        self.sizes = np.array([len(s) for s in sets])
+    def __init__(self, percent: int, n_hashes: int, miss: float):
+        self.percent, self.least = percent, least_matches(percent, n_hashes, miss)
 
-    def neighbours(self, at: int, among: np.ndarray) -> np.ndarray:
-        """Those of ``among`` that are linked with ``at``."""
-        small, large = np.minimum(self.sizes[among], self.sizes[at]), np.maximum(self.sizes[among], self.sizes[at])
-        same_id = among[self.ids[among] == self.ids[at]]
-        among = among[100 * small >= self.percent * large]
-        among = among[(self.keys[among] == self.keys[at]).any(axis=1)]
-        matches = np.zeros(len(among), np.int64)
+    def keeps(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+        """The places of the pairs of rows of ``a`` and ``b`` that may reach the threshold; ``a`` may be one row."""
+        small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+        at = np.flatnonzero(100 * small >= self.percent * large)
+        matches = np.zeros(len(at), np.int64)
         for k, least in enumerate(self.least):
             part = slice(k * BATCH, (k + 1) * BATCH)
-            matches += (self.values[among, part] == self.values[at, part]).sum(axis=1)
+            matches += ((a[:, part] if len(a) == 1 else a[at, part]) == b[at, part]).sum(axis=1)
             keep = matches >= least
-            among, matches = among[keep], matches[keep]
-        own, found = self.sets[at], same_id.tolist()
-        for j in among.tolist():
-            other = self.sets[j]
-            a, b = (own, other) if len(own) < len(other) else (other, own)
-            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            if 100 * both >= self.percent * (len(a) + len(b) - both):
-                found.append(j)
-        return np.unique(np.array(found, np.int64))
-
-    def classes(self) -> np.ndarray:
-        """For each document the least id of those it reaches."""
-        order = np.argsort(self.ids, kind="stable")
-        label, left = np.zeros(len(self.ids), np.int64), order
-        while len(left):
-            root, left = left[0], left[1:]
-            label[root], frontier = self.ids[root], [root]
-            while frontier and len(left):
-                found = self.neighbours(frontier.pop(), left)
-                if len(found):
-                    label[found] = self.ids[root]
-                    frontier += found.tolist()
-                    left = left[~np.isin(left, found)]
-        return label
-
-
-def _linker(size: int, percent: int, bands: int, rows: int, n_verify: int, miss: float):
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        for rows_of in grouped(batches, "task"):
-            sets = [s for part in chunks(rows_of.combine_chunks().to_batches()[0]) for s in shingle_sets(part.column("text"), size)]
-            ids = rows_of.column("doc_id").to_numpy()
-            done.append((ids, Group(ids, sets, percent, bands, rows, n_verify, miss).classes()))
-            if sum(len(a) for a, _ in done) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], names=["u", "v"])
-                done = []
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], names=["u", "v"])
-
-    return link
+            at, matches = at[keep], matches[keep]
+        return at
+
+
+def _pairs_kept(bounds: Bounds):
+    """The pairs (u, v) of rows with both signatures that pass the sequential test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = pa.array(bounds.keeps(*(_values(batch.column(c)) for c in ("a", "b")), *(batch.column(c).to_numpy() for c in ("size_a", "size_b"))))
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("u", "v")], names=["u", "v"])
+
+    return run
+
+
+def _blocks_kept(bounds: Bounds):
+    """The pairs of different components within each task that pass the sequential test; in a task of two blocks, one of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "task"):
+            node, label, own, size = (rows.column(c).to_numpy() for c in ("node", "label", "own", "n"))
+            values = _values(rows.column("signature").combine_chunks())
+            two = len(np.unique(own)) > 1
+            us, vs = [], []
+            for i in range(len(node) - 1):
+                other = label[i + 1 :] != label[i]
+                if two:
+                    other &= own[i + 1 :] != own[i]
+                j = np.flatnonzero(other) + i + 1
+                j = j[bounds.keeps(values[i : i + 1], values[j], size[i], size[j])]
+                us.append(np.full(len(j), node[i]))
+                vs.append(node[j])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    return run
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or 100 * len(a) < percent * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _verifier(size: int, percent: int):
+    """The links among rows (task, member, node, text) in order, where each task begins with its hub; one text at a time is compared."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = hub = hub_set = None
+        for batch in batches:
+            for part in chunks(batch):
+                us, vs = [], []
+                sets = shingle_sets(part.column("text"), size)
+                for t, member, node, s in zip(*(part.column(c).to_pylist() for c in ("task", "member", "node")), sets, strict=True):
+                    if not member:
+                        task, hub, hub_set = t, node, s
+                    elif t == task and linked(hub_set, s, percent):
+                        us.append(node)
+                        vs.append(hub)
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return verify
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, size: int, percent: int, fan: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) that are linked by their full sets."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
+    wanted = wanted.select("node", F.col("rep.id").alias("id"), F.col("rep.h").alias("h"))
+    texts = cut(base.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "text").join(wanted, ["h", "id"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    hubs = cut(pairs.groupBy("v").agg(F.ceil(F.count("*") / fan).cast("int").alias("salts")), "hubs")
+    salt = F.pmod(F.xxhash64("u"), F.col("salts")).cast("int")
+    members = pairs.join(hubs, "v").select(F.xxhash64("v", salt).alias("task"), F.lit(True).alias("member"), F.col("u").alias("node"))
+    salts = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    firsts = hubs.select("v", salts).select(F.xxhash64("v", "salt").alias("task"), F.lit(False).alias("member"), F.col("v").alias("node"))
+    dealt = members.unionByName(firsts).join(texts, "node").select("task", "member", "node", "text")
+    dealt = dealt.repartition("task").sortWithinPartitions("task", "member")
+    links = cut(dealt.mapInArrow(_verifier(size, percent), "u long, v long"), "links")
+    discard(texts, hubs)
+    return links
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, rows: int, miss: float, block: int, fan: int) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, component_id and label (of its class; null without a set) of every row."""
+    bands = bands_for(percent, rows, miss)
+    bounds = Bounds(percent, bands * rows // BATCH * BATCH, miss)
+    text = F.col(f"`{text_col}`").cast("string")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    schema = "doc_id long, h long, n_shingles long, set_key binary, bands array<long>, signature binary"
+    signed = cut(base.mapInArrow(_signer(size, bands, rows), schema), "signatures")
+    # the least id, if there is one, and a text of that row
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("h")))
+    sets = signed.filter("set_key is not null").groupBy("set_key")
+    sets = sets.agg(rep.alias("rep"), *[F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("bands", "bands"), ("signature", "signature"))])
+    nodes = cut(sets.withColumn("node", F.xxhash64("set_key")), "nodes")
+
+    slots = nodes.select("node", F.explode("bands").alias("bucket"))
+    hubs = slots.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("bucket", "hub")
+    rest = cut(slots.join(hubs, "bucket").filter("node <> hub"), "slots")
+    stars = rest.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    for name, side in (("u", "a"), ("v", "b")):
+        own = nodes.select(F.col("node").alias(name), F.col("signature").alias(side), F.col("n").alias(f"size_{side}"))
+        stars = stars.join(own, name)
+    near = cut(stars.mapInArrow(_pairs_kept(bounds), "u long, v long"), "near")
+    links = _verified(near, nodes, base, size, percent, fan)
+    labels = connected_components(links)
+
+    known = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    known = cut(known, "known")
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+    mixed = cut(mixed.filter("a <> b").select("bucket", "n_blocks"), "mixed")
+    if not mixed.isEmpty():
+        own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("n_blocks")).cast("int")
+        dealt = known.join(mixed, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "label", "own")
+        dealt = dealt.join(nodes.select("node", "n", "signature"), "node").repartition("task").sortWithinPartitions("task")
+        more = cut(dealt.mapInArrow(_blocks_kept(bounds), "u long, v long").distinct(), "near")
+        if not more.isEmpty():
+            found = _verified(more, nodes, base, size, percent, fan)
+            labels = connected_components(links.unionByName(found))
+        discard(more)
+    discard(rest, near, known, mixed)
+
+    ids = nodes.select("set_key", "node", F.when(~F.col("rep.none"), F.col("rep.id")).alias("id"))
+    grouped_ids = ids.join(labels, "node").groupBy("label").agg(F.min("id").alias("least"))
+    of_node = labels.join(grouped_ids, "label").select("node", "label", "least")
+    classes = ids.join(of_node, "node", "left").select("set_key", F.coalesce("label", "node").alias("label"), F.coalesce("least", "id").alias("found"))
+    out = signed.select("doc_id", "h", "n_shingles", "set_key").join(classes, "set_key", "left")
+    return out.select("doc_id", "h", "n_shingles", F.when(F.col("label").isNotNull(), F.col("found")).otherwise(F.col("doc_id")).alias("component_id"), "label")
 
 
 def near_duplicate_classes(
@@ -174,71 +271,39 @@ def near_duplicate_classes(
     percent: int = 80,
     rows: int = 7,
     miss: float = 1e-5,
-    n_verify: int = 256,
-    max_shingles: int = 2_000_000,
+    block: int = 2048,
+    fan: int = 512,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Two documents are linked if 100 * |intersection| >= ``percent`` * |union| of their shingle sets;
-    component_id is the least doc_id reachable, and kept says that the document is that one. A row
-    without an id can only take the component of a document with an equal set; it has kept = false
-    then, and a null component and kept = true otherwise.
-    ``miss`` bounds the chance that banding, and again that the posterior bound, loses a linked pair.
+    component_id is the least id reachable, and kept says that the document is that one. If no row of a class has an
+    id, component_id is null and all are kept. ``miss`` bounds the chance that banding, and again that the
+    posterior bound, loses a linked pair.
     """
-    bands = bands_for(percent, rows, miss)
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = cut(
-        base.mapInArrow(_signer("doc_id", shingle_words, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"),
-        "signatures",
-    )
-    nodes = cut(
-        signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).filter("rep is not null"),
-        "nodes",
-    )
-    slots = nodes.select("rep", F.explode("bands").alias("bucket"))
-    hubs = slots.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("bucket", "hub")
-    stars = slots.join(hubs, "bucket").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
-    candidates = cut(connected_components(stars), "candidates")
-
-    # a document that stands under two sets keeps both texts: they are one node
-    sized = candidates.join(nodes.groupBy("rep").agg(F.max("n").alias("n")), candidates.node == F.col("rep")).select("node", "label", "n")
-    blocks = sized.groupBy("label").agg(F.ceil(F.sum("n") / max_shingles).cast("int").alias("n_blocks"))
-    members = cut(sized.join(blocks, "label").select("node", "label", "n_blocks"), "members")
-    block = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("n_blocks")).cast("int")
-    dealt = (
-        members.withColumn("own", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select(F.col("node").alias("doc_id"), F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
-    )
-    first_texts = base.filter("doc_id is not null")
-    links = cut(
-        first_texts.join(dealt, "doc_id")
-        .select("task", "doc_id", "text")
-        .filter("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-        .repartition("task")
-        .sortWithinPartitions("task")
-        .mapInArrow(_linker(shingle_words, percent, bands, rows, n_verify, miss), "u long, v long"),
-        "links",
-    )
-    split = not members.filter("n_blocks > 1").isEmpty()
-    labels = connected_components(links) if split else links.select(F.col("u").alias("node"), F.col("v").alias("label")).filter("u <> v")
-    labels = labels.groupBy("node").agg(F.min("label").alias("label"))
-
-    classes = nodes.join(labels, nodes.rep == labels.node, "left").select("set_key", F.coalesce("label", "rep").alias("found"))
-    out = signed.drop("bands").join(classes, "set_key", "left")
-    component = F.coalesce("found", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
-    """``docs`` with one row of each class of near duplicates, that of its least id.
-
-    Of rows that share that id one stays, the one with the least text. Rows without an id all stay.
+    out = _labelled(docs, id_col, text_col, shingle_words, percent, rows, miss, block, fan)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = 5,
+    percent: int = 80,
+    rows: int = 7,
+    miss: float = 1e-5,
+    block: int = 2048,
+    fan: int = 512,
+) -> DataFrame:
+    """``docs`` with one row of each class of near duplicates, the one with the least id; of repeated rows one.
+
+    A row without an id stays for its class only if no row of it has an id. Rows without words all stay.
     """
-    own = F.col(f"`{id_col}`")
-    classes = near_duplicate_classes(docs, id_col, text_col, **options)
-    kept = classes.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, own.cast("long") == F.col("__kept"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(own.cast("long")).orderBy(F.col(f"`{text_col}`")))
-    first = rows.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
-    return first.unionByName(docs.filter(own.isNull()))
+    own, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    labelled = _labelled(docs, id_col, text_col, shingle_words, percent, rows, miss, block, fan).filter("label is not null")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("h")))
+    kept = cut(labelled.groupBy("label").agg(best.alias("b")).select("b.*"), "kept")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)).alias("worded"))
+    first = held.filter("worded").join(kept, ["none", "id", "h"], "left_semi").dropDuplicates(["none", "id", "h"])
+    return first.select("row.*").unionByName(held.filter("not worded").select("row.*"))

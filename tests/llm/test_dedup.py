@@ -39,10 +39,10 @@ def brute_classes(rows, k, percent):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "percent", "rows", "most"), [(3, 85, 8, 2_000_000), (5, 80, 7, 2_000_000), (3, 85, 8, 500)])
-def test_classes_equal_brute_force(spark, hard, k, percent, rows, most):
-    """The last case deals components into blocks."""
-    got = minhash_bayes.near_duplicate_classes(hard, shingle_words=k, percent=percent, rows=rows, max_shingles=most).collect()
+@pytest.mark.parametrize(("k", "percent", "rows", "block", "fan"), [(3, 85, 8, 2048, 512), (5, 80, 7, 3, 2)])
+def test_classes_equal_brute_force(spark, hard, k, percent, rows, block, fan):
+    """The last case deals buckets into blocks, and the members of hubs over tasks."""
+    got = minhash_bayes.near_duplicate_classes(hard, shingle_words=k, percent=percent, rows=rows, block=block, fan=fan).collect()
     assert len(got) == hard.count()
     want = brute_classes([(r["doc_id"], r["text"]) for r in hard.filter("doc_id is not null").collect()], k, percent)
     for r in got:
@@ -68,6 +68,31 @@ def test_one_of_each_class_stays(hard, none):
     assert minhash_bayes.near_duplicate_classes(none).count() == 0 and minhash_bayes.drop_near_duplicates(none).count() == 0
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    from conftest import edited, words
+
+    x, y = words(1, 80), words(2, 80)
+    rows = [(5, x), (5, y), (12, edited(y, 1, 1)), (12, edited(y, 1, 1)), (None, x), (None, words(3, 80)), (7, " "), (7, " ")]
+    kept = minhash_bayes.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([rows[0], rows[1], rows[5], rows[6], rows[7]])
+
+
+def test_chains_and_bridges_are_found(spark):
+    """Classes that hang together only by members which are no hubs."""
+    from conftest import words
+
+    base = [f"t{i}" for i in range(100)]
+    rows = []
+    for step in range(12):
+        rows += [(100 * step + c, " ".join([*[f"n{step}x{i}" for i in range(3 * step)], *base[3 * step :], f"c{c}"])) for c in range(5)]
+    rows += [(5000 + i, words(i, 60)) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows, 3, 85)
+    for block in (2, 2048):
+        got = minhash_bayes.near_duplicate_classes(frame, shingle_words=3, percent=85, rows=8, block=block, fan=3).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_bands_and_bounds():
     assert 1 - (1 - 0.85**8) ** minhash_bayes.bands_for(85, 8, 1e-5) >= 1 - 1e-5
     least = minhash_bayes.least_matches(85, 64, 1e-5)
