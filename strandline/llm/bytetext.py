@@ -70,19 +70,23 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have about ``limit`` bytes; a longer text has a slice of its own."""
-    if not batch.num_rows:
-        return
-    _, offsets = bytes_of(batch.column(column))
+def by_bytes(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, number) of slices whose texts have about ``limit`` bytes; a longer text has a slice of its own."""
+    _, offsets = bytes_of(texts)
     start = 0
-    while start < batch.num_rows:
+    while start < len(texts):
         end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-        end = min(max(end, start + 1), batch.num_rows)
-        yield batch.slice(start, end - start)
+        end = min(max(end, start + 1), len(texts))
+        yield start, end - start
         start = end
 
 
+def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch by the bytes of a column."""
+    for start, n in by_bytes(batch.column(column), limit):
+        yield batch.slice(start, n)
+
+
 def prefix_hash(data: np.ndarray, fold_case: bool = False) -> np.ndarray:
     """Running sums from which the hash of any substring follows."""
     up, _ = powers(len(data))

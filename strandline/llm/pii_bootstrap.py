@@ -1,38 +1,44 @@
 """Personal data by fixed patterns, extended by bootstrapped contextual extraction.
 
-The base patterns give e-mail addresses, IP addresses, card numbers and phone numbers. They are the
-seeds of a bootstrap: the two words before an identifier are its lexical pattern, and every other word
-with digits or an @ is a candidate with a pattern of its own. Words of patterns end at spaces, at : = quotes
-and brackets, and before the first digit, @ or + of an identifier, where they are taken and where they are
-counted alike, so a label may be glued to its identifier. What follows such a label within a word (id=1234)
-is a candidate besides the whole word, and both may become spans. Spark then scores the graph of patterns and
-instances in rounds: a pattern scores by the share of all its occurrences in the corpus, whatever word
-follows, that lead to a believed instance, and an instance by the patterns that hold it (noisy or). Patterns
-that reach ``min_score`` with ``min_support`` distinct believed instances make spans of the kind ``id`` of the
-candidates that follow them. So words that stand before anything, like articles, are never patterns.
-
-Null and empty texts have no spans. Texts are read whole. Spans of rows with equal texts are equal.
-Spans never overlap a base span when added. Columns besides id and text are not read. Candidate tables
+The base patterns give e-mail addresses, IP addresses, card numbers and phone numbers. They are the seeds of a
+bootstrap, with key-like strings (32 or more hex digits, letters and figures among them), which are seeds but no spans by
+themselves. A candidate is any other run of characters with an @ or at least four digits.
+
+A text is a row of words and signs: words end at spaces, at signs (: = quotes brackets), and before the first digit,
+@ or + in them. Before each word stand up to two lexical patterns: the two words before it with the signs that
+follow them, and, if there are such signs, the last word with them alone (token = "). Patterns are taken from seeds
+and candidates, and counted over all words of the corpus, by the same rule.
+
+Spark then scores the graph of patterns and instances in rounds: a pattern scores by the share of all its occurrences
+in the corpus, whatever word follows, that lead to a believed instance, and an instance by the patterns that hold it
+(noisy or). Patterns that reach ``min_score`` with ``min_support`` distinct believed instances make spans of the kind ``id``
+of what follows them and is no base span. So words that stand before anything, like articles, are never patterns.
+
+Null and empty texts have no spans. Texts, words and identifiers are read whole. Spans of rows with equal texts
+are equal. Added spans never overlap a base span. Columns besides id and text are not read. Candidate tables
 hold no texts; a pattern or an instance that stands in a third of all rows is pre-aggregated by
-(pattern, value) before anything else.
+(pattern, value) before anything else. Patterns are counted in one reading, against a filter of a fixed size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.plans.runtime import cut, join_small
+from strandline.llm.bytetext import by_bytes, chunks
+from strandline.plans.runtime import cut, discard, join_small
 
 KINDS = ("email", "ip", "card", "phone", "id")
 SPAN = "array<struct<start:int,rank:int,kind:string,stop:int>>"
-CANDIDATE = "array<struct<start:int,stop:int,value:string,pattern:string,seed:boolean>>"
+CANDIDATE = "array<struct<start:int,stop:int,value:binary,patterns:array<string>,seed:boolean,base:boolean>>"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -41,15 +47,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile("[0-9@]")
-_SIGNED = re.compile("[0-9@+]")
-_SPACE = re.compile(r"[\x20\x09-\x0D]")
 _NOT_DIGIT = re.compile("[^0-9]+")
-_DIGIT = re.compile("[0-9]")
-_BREAKS = r"\x20\x09-\x0D:=\"'`<>()\[\]{}\u00ab\u00bb\u2018-\u201f\u2039\u203a"
-_BREAK = re.compile(f"[{_BREAKS}]")
-_WORD = re.compile(f"[0-9@+][^{_BREAKS}]*|[^{_BREAKS}0-9@+]+")
-#: Patterns that a task counts at once.
-COUNTED = 100_000
+# what ends a word: white space, and signs that may stand between a label and what it names
+_SIGNS = frozenset(":=\"'`<>()[]{}\u00ab\u00bb\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f\u2039\u203a")
+_BREAKS = frozenset(" \t\n\x0b\x0c\r") | _SIGNS
+_CLASS = re.escape("".join(sorted(_SIGNS)))
+_TOKEN = re.compile(rf"[{_CLASS}]|[0-9@+][^\x20\x09-\x0D{_CLASS}]*|[^\x20\x09-\x0D{_CLASS}0-9@+]+")
+_RUN = re.compile(rf"[^\x20\x09-\x0D{_CLASS}]*[0-9@][^\x20\x09-\x0D{_CLASS}]*")
+_KEY = re.compile(r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}")
+#: Bits of the filter that says which words and patterns are worth counting: 8 MB, whatever the corpus.
+FILTER_BITS = 1 << 26
 
 
 def luhn(digits: str) -> bool:
@@ -94,35 +101,59 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return sorted(out)
 
 
-def _context(text: str) -> list[str]:
-    return [_DIGIT.sub("0", w).lower() for w in _WORD.findall(text)]
+def folded(text: str) -> str:
+    """In lower case, every digit as 0."""
+    text = text.lower()
+    for d in "123456789":
+        text = text.replace(d, "0")
+    return text
 
 
-def _pattern(text: str, start: int) -> str:
-    """The two words that end before a place; none if there are fewer, or longer ones than identifiers have."""
-    at = max(0, start - 80)
-    if at:  # the first word may be a part of one
-        first = _BREAK.search(text, at, start)
-        at = first.end() if first else start
-    before = _context(text[at:start])
-    if before and not _BREAK.match(text, start - 1) and not (_SIGNED.match(text, start) and not _SIGNED.match(before[-1])):
-        before.pop()  # it goes on behind the place
-    return " ".join(before[-2:]) if len(before) > 1 else ""
+def patterns_of(tokens: list[str]) -> Iterator[tuple[str, str, str]]:
+    """(word before last, last word, signs after it) for each word of a text that has a word before it."""
+    before = last = signs = ""
+    for t in tokens:
+        if t in _SIGNS:
+            signs += t
+            continue
+        if last:
+            yield before, last, signs
+        before, last, signs = last, t, ""
+
+
+def named(before: str, last: str, signs: str) -> list[str]:
+    """The patterns of a place."""
+    long = [f"{before} {last} {signs}"] if before else []
+    return [*long, f"{last} {signs}"] if signs else long
+
+
+def _patterns(text: str, start: int) -> list[str]:
+    """The patterns before a place; none inside a word. Signs and white space end words, so reading back to the second run before it will do."""
+    at = start
+    while at and text[at - 1] not in _BREAKS:
+        at -= 1
+    if at < start and not any(m.start() == start for m in _TOKEN.finditer(text, at, start + 1)):
+        return []
+    for _ in range(2):
+        while at and text[at - 1] in _BREAKS:
+            at -= 1
+        while at and text[at - 1] not in _BREAKS:
+            at -= 1
+    tokens = [folded(w) for w in _TOKEN.findall(text, at, start)]
+    return next((named(*p) for p in [*patterns_of([*tokens, "x"])][-1:]), [])
 
 
 def candidates(text: str, spans: list[tuple[int, int, str, int]]) -> list[dict]:
-    """Base spans as seeds, and the other words with an @ or at least four digits."""
-    out = [{"start": a, "stop": b, "value": text[a:b].lower(), "pattern": _pattern(text, a), "seed": True} for a, _, _, b in spans]
-    done, k = 0, 0
-    by_start = sorted((a, b) for a, _, _, b in spans)
-    for m in _SIGN.finditer(text):
-        if m.start() < done:
-            continue
-        start = m.start()
-        while start > done and not _SPACE.match(text, start - 1):
-            start -= 1
-        end = _SPACE.search(text, m.end())
-        end = done = end.start() if end else len(text)
+    """Base spans as seeds, and the other runs with an @ or at least four digits; key-like ones are seeds too."""
+
+    def found(a: int, b: int, seed: bool, base: bool) -> dict:
+        value = hashlib.md5(text[a:b].lower().encode(), usedforsecurity=False).digest()
+        return {"start": a, "stop": b, "value": value, "patterns": _patterns(text, a), "seed": seed, "base": base}
+
+    out = [found(a, b, True, True) for a, _, _, b in spans]
+    by_start, k = sorted((a, b) for a, _, _, b in spans), 0
+    for m in _RUN.finditer(text):
+        start, end = m.span()
         while start < end and not (text[start].isalnum() or text[start] == "+"):
             start += 1
         while end > start and not text[end - 1].isalnum():
@@ -133,61 +164,76 @@ def candidates(text: str, spans: list[tuple[int, int, str, int]]) -> list[dict]:
             continue
         word = text[start:end]
         if "@" in word or len(_NOT_DIGIT.sub("", word)) >= 4:
-            out.append({"start": start, "stop": end, "value": word.lower()[:200], "pattern": _pattern(text, start), "seed": False})
-            glued = sign = max(start, m.start())
-            while glued > start and not _BREAK.match(text, glued - 1):
-                glued -= 1
-            while glued < sign and not text[glued].isalnum():
-                glued += 1
-            if glued > start:
-                out.append({"start": glued, "stop": end, "value": text[glued:end].lower()[:200], "pattern": _pattern(text, glued), "seed": False})
+            out.append(found(start, end, _KEY.fullmatch(word.lower()) is not None, False))
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, spans_of, found = [], [], []
-        for text in batch.column("text"):
-            t = text.as_py() or ""
-            spans = base_spans(t)
-            found.append(candidates(t, spans) if _SIGN.search(t) else [])
-            spans_of.append([{"start": a, "rank": r, "kind": k, "stop": b} for a, r, k, b in spans])
-            keys.append(hashlib.sha256(t.encode()).digest() if found[-1] else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(spans_of, _SPANS), pa.array(found, _CANDIDATES)],
-            names=["doc_id", "text_key", "base", "candidates"],
-        )
-
-
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("stop", pa.int32())]))
 _CANDIDATES = pa.list_(
-    pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string()), ("pattern", pa.string()), ("seed", pa.bool_())])
+    pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("value", pa.binary()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_()), ("base", pa.bool_())])
 )
 
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in chunks(whole):
+            keys, spans_of, found = [], [], []
+            for text in batch.column("text"):
+                t = text.as_py() or ""
+                spans = base_spans(t)
+                found.append(candidates(t, spans) if _SIGN.search(t) else [])
+                spans_of.append([{"start": a, "rank": r, "kind": k, "stop": b} for a, r, k, b in spans])
+                keys.append(hashlib.sha256(t.encode()).digest() if found[-1] else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(spans_of, _SPANS), pa.array(found, _CANDIDATES)],
+                names=["doc_id", "text_key", "base", "candidates"],
+            )
+
+
+def _filter(strings: DataFrame) -> np.ndarray:
+    """A bit for the checksum of each string of a column, set on Spark; at most FILTER_BITS / 64 rows reach the driver."""
+    at = F.crc32(F.encode(F.col(strings.columns[0]), "UTF-8")) % FILTER_BITS
+    words = strings.select((at / 64).cast("int").alias("w"), (at % 64).cast("int").alias("b"))
+    bits = words.groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[bits["w"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    return out.view(np.uint8)
+
+
 def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
-    """(pattern, n): how often each pattern stands in the corpus before another word.
+    """(pattern, n): how often each pattern stands in the corpus before a word.
 
-    Tasks count with a bounded set of patterns at hand; if there are more, the texts are read once for each
-    part of them.
+    One reading of the texts counts what passes a filter by checksum, and a join with the patterns leaves out what
+    passed by chance.
     """
-    n_parts = max(1, -(-patterns.count() // COUNTED))
-    out = None
-    for part in range(n_parts):
-        own = {r[0] for r in patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(n_parts)) == part).select("pattern").collect()}
-
-        def count(batches: Iterator[pa.RecordBatch], own: set[str] = own) -> Iterator[pa.RecordBatch]:
-            starts = {p.split(" ")[0] for p in own}
-            for batch in batches:
+    last = F.element_at(F.split("pattern", " "), -2)
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast((_filter(patterns.select("pattern")), _filter(patterns.select(last))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, lasts = bits.value
+        known: dict[str, bool] = {}
+
+        def has(table: np.ndarray, s: str) -> bool:
+            at = zlib.crc32(s.encode()) % FILTER_BITS
+            return bool(table[at >> 3] >> (at & 7) & 1)
+
+        for whole in batches:
+            for batch in chunks(whole):
                 found: Counter = Counter()
-                for text in batch.column(0).to_pylist():
-                    words = _context(text or "")
-                    found.update(k for a, b in zip(words, words[1:-1], strict=False) if a in starts and (k := f"{a} {b}") in own)
+                for text in batch.column("text"):
+                    for before, word, signs in patterns_of(_TOKEN.findall(folded(text.as_py() or ""))):
+                        ok = known.get(word)
+                        if ok is None:
+                            if len(known) > 100_000:
+                                known.clear()
+                            ok = known[word] = has(lasts, word)
+                        if ok:
+                            found.update(p for p in named(before, word, signs) if has(own, p))
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["pattern", "n"])
 
-        counted = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(count, "pattern string, n long")
-        out = counted if out is None else out.unionByName(counted)
-    return out.groupBy("pattern").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(count, "pattern string, n long")
+    return counted.groupBy("pattern").agg(F.sum("n").alias("n")).join(patterns, "pattern", "left_semi")
 
 
 def trusted_patterns(edges: DataFrame, totals: DataFrame, rounds: int = 3, min_score: float = 0.5, min_support: int = 3) -> DataFrame:
@@ -217,14 +263,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def discovered(docs: DataFrame, found: DataFrame, text_col: str = "text", min_support: int = 3, **graph: float) -> DataFrame | None:
     """(text_key, added spans) by trusted patterns; None if no pattern is trusted."""
     all_found = found.filter("text_key is not null").select("text_key", F.explode("candidates").alias("c")).select("text_key", "c.*")
-    edges = cut(all_found.filter("pattern <> ''").groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "graph")
+    placed = all_found.withColumn("pattern", F.explode("patterns"))
+    edges = cut(placed.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "graph")
+    # belief begins with seeds, and reaches a pattern only over one of them or an instance that shares a pattern with one
     worth = cut(edges.groupBy("pattern").agg(F.count("*").alias("k")).filter(F.col("k") >= min_support).select("pattern"), "worth")
     if worth.isEmpty():
         return None
-    patterns = trusted_patterns(edges, cut(occurrences(docs, worth, text_col), "occurrences"), min_support=min_support, **graph)
+    totals = cut(occurrences(docs, worth, text_col), "occurrences")
+    patterns = trusted_patterns(edges, totals, min_support=min_support, **graph)
+    discard(worth, totals)
     if patterns.isEmpty():
         return None
-    new = join_small(all_found.filter("not seed").dropDuplicates(["text_key", "start"]), patterns, ["pattern"], "left_semi")
+    new = join_small(placed.filter("not base"), patterns, ["pattern"], "left_semi").dropDuplicates(["text_key", "start"])
     span = F.struct(F.col("start"), F.lit(4).alias("rank"), F.lit("id").alias("kind"), F.col("stop"))
     return new.groupBy("text_key").agg(F.sort_array(F.collect_list(span)).alias("added"))
 
@@ -241,38 +291,41 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.unionByName(found.filter("text_key is null").select("doc_id", "base", F.col("base").alias("spans")))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **graph: float) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; overlapping spans by the first one's.
+def redacted(text: str, added: list[dict]) -> str:
+    """A text with every span replaced by its kind in brackets; overlapping spans by the first one's."""
+    out, last = [], 0
+    for a, _, kind, b in sorted([*base_spans(text), *((m["start"], 4, "id", m["stop"]) for m in added)]):
+        if a >= last:
+            out += [text[last:a], f"[{kind.upper()}]"]
+            last = b
+        elif b > last:
+            last = b
+    return "".join([*out, text[last:]])
 
-    All columns stay, null texts too.
-    """
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **graph: float) -> DataFrame:
+    """``docs`` with every span replaced by its kind in brackets. All columns stay, null texts too."""
     added = discovered(docs, scan(docs, id_col, text_col), text_col, **graph)
     schema, names = docs.schema, docs.columns
-    key, extra = "__text_key", "__added"
+    place = names.index(text_col)
+    text = F.col(f"`{text_col}`")
+    # the row is one column, so that no name of the input can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("text_key"))
     if added is None:
-        rows = docs.withColumn(extra, F.array().cast(SPAN))
+        rows = rows.select("row", F.array().cast(SPAN).alias("added"))
     else:
-        keyed = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)))
-        rows = keyed.join(added.select(F.col("text_key").alias(key), F.col("added").alias(extra)), key, "left").drop(key)
-    place = names.index(text_col)
+        rows = rows.join(added, "text_key", "left").select("row", "added")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, more in zip(batch.column(place).to_pylist(), batch.column(extra).to_pylist(), strict=True):
-                if text is not None and _SIGN.search(text):
-                    spans = sorted([*base_spans(text), *((m["start"], 4, "id", m["stop"]) for m in more or ())])
-                    out, last = [], 0
-                    for a, _, kind, b in spans:
-                        if a >= last:
-                            out += [text[last:a], f"[{kind.upper()}]"]
-                            last = b
-                        elif b > last:
-                            last = b
-                    text = "".join([*out, text[last:]])
-                texts.append(text)
-            columns = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return rows.select(*[F.col(f"`{c}`") for c in names], extra).mapInArrow(rewrite, schema)
-
+            columns, more = batch.column("row").flatten(), batch.column("added")
+            for start, n in by_bytes(columns[place]):
+                part = [c.slice(start, n) for c in columns]
+                texts = []
+                for t, spans in zip(part[place], more.slice(start, n).to_pylist(), strict=True):
+                    t = t.as_py()
+                    texts.append(redacted(t, spans or []) if t is not None and _SIGN.search(t) else t)
+                part[place] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(part, names=names)
+
+    return rows.mapInArrow(rewrite, schema)
