@@ -1,144 +1,124 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is the signs of a vector's first 64 components. It is cut into four segments of 16 bits, and each block
-of the index has one table for each segment: the codes in order of that segment's value. A query looks up all
-values within radius 0 of its segments, then 1, and so on, and verifies the full Hamming distance of what
-it finds. A code not found at radius r differs by more than r in every segment, so by at least 4 (r + 1) in
-all: as soon as the k-th verified distance is below that, the k nearest are certain, ties included.
-
-The index is dealt into blocks of about ``block_rows`` by hash, and queries likewise; a task has one block of
-each at a time, and answers of blocks are merged by query. All rows are indexed and nothing is sampled.
+A code is the signs of a vector's 64 components, cut into four segments of 16 bits. The index is one table of
+(segment, value, code) for all codes, dealt over the cluster by segment and value. Queries are asked by code, radius by
+radius: at radius r each looks up the values that differ from its own in exactly r bits of a segment, and the
+full Hamming distances of the codes found are verified. A code is met once only, at the segment that is nearest to
+the query's. A code not met at radius r differs by more than r in every segment, so by at least 4 (r + 1)
+in all: as soon as the k-th verified distance is below that, the k nearest are certain, ties included, and the
+query asks no more. Its best rows so far go on from radius to radius, whatever part of the index they came from.
+
+Only values that stand in the index are looked up: there are 65,536 for each segment at most, whatever the number of
+rows, so these four lists are sent to all tasks. Equal vectors have one code, which carries the least ids of its rows
+with their numbers, as many as any query can need, so a vector that a third of all rows share is one entry. Equal
+queries are asked once.
 
 Rows with a null vector or a null component are neither found nor asked; a short vector lacks the missing
-signs (they count as not positive). Ties go to the lesser id. A repeated row is found as often as it stands;
-a query does not find the rows of its own id. Other columns are not read. With fewer than k others, all
+signs (they count as not positive), and a longer one than 64 is an error. Ties go to the lesser id. A repeated row is
+found as often as it stands; a query does not find the rows of its own id. An id that asks with several vectors
+gets an answer for each of them, without mark which. Other columns are not read. With fewer than k others, all
 of them are returned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strandline.llm.host_rules import let
-from strandline.plans.runtime import cut
+from strandline.plans.runtime import cut, discard
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
 
-_masks: dict[int, np.ndarray] = {}
-
 
 def sign_code(vector: Column) -> Column:
     """64 bits: bit i is set if component i is positive. Null for a null vector or component."""
-    bits = F.transform(F.slice(vector, 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return F.when(vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull()), code)
-
-
-def masks(radius: int) -> np.ndarray:
-    """All segment values with ``radius`` bits set."""
-    if radius not in _masks:
-        _masks[radius] = np.array([sum(1 << b for b in c) for c in combinations(range(WIDTH), radius)], np.int64)
-    return _masks[radius]
-
-
-class BlockIndex:
-    """The segment tables of one block of codes."""
-
-    def __init__(self, ids: np.ndarray, codes: np.ndarray):
-        self.ids, self.codes = ids, codes
-        self.order, self.first = [], []
-        for s in range(SEGMENTS):
-            value = ((codes >> np.uint64(s * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
-            self.order.append(np.argsort(value, kind="stable"))
-            self.first.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << WIDTH))]))
-
-    def nearest(self, own_id: int, code: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and distances of the k nearest, and the last segment radius searched."""
-        seen = np.zeros(len(self.ids), bool)
-        rows, distances = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for radius in range(WIDTH + 1):
-            fresh = []
-            for s in range(SEGMENTS):
-                values = int(code >> np.uint64(s * WIDTH)) & ((1 << WIDTH) - 1) ^ masks(radius)
-                a, b = self.first[s][values], self.first[s][values + 1]
-                n = b - a
-                hit = n > 0
-                a, n = a[hit], n[hit]
-                if len(n):
-                    at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    found = self.order[s][at]
-                    found = found[~seen[found]]
-                    seen[found] = True
-                    fresh.append(found)
-            new = np.concatenate(fresh) if fresh else np.zeros(0, np.int64)
-            new = new[self.ids[new] != own_id]
-            rows = np.concatenate([rows, new])
-            distances = np.concatenate([distances, np.bitwise_count(self.codes[new] ^ code).astype(np.int64)])
-            if len(rows) > k:
-                best = np.lexsort((self.ids[rows], distances))[:k]
-                rows, distances = rows[best], distances[best]
-            if len(rows) == k and distances.max() < SEGMENTS * (radius + 1):
-                break
-        best = np.lexsort((self.ids[rows], distances))
-        return self.ids[rows[best]], distances[best], radius
-
-
-def _search(k: int):
+    long = F.raise_error(F.lit(f"vectors of more than {BITS} components have no code")).cast("long")
+    return F.when(F.size(vector) > BITS, long).when(vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull()), code)
+
+
+def segment(code: Column, i: int) -> Column:
+    return F.shiftrightunsigned(code, i * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long")).cast("int")
+
+
+def _probes(values: list[np.ndarray], radius: int):
+    """For each query code the values of the index at ``radius`` from its own, segment by segment."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, held = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                block = batch.column("block")[i].as_py()
-                if held != block:
-                    ids, codes = (batch.column(c)[i].values.to_numpy() for c in ("ids", "codes"))
-                    index, held = BlockIndex(ids, codes.view(np.uint64)), block
-                queries, found, distances, radii = [], [], [], []
-                for q, c in zip(batch.column("query_ids")[i].as_py(), batch.column("query_codes")[i].as_py(), strict=True):
-                    got, d, radius = index.nearest(q, np.uint64(c & (1 << BITS) - 1), k)
-                    queries.append(np.full(len(got), q))
-                    found.append(got)
-                    distances.append(d)
-                    radii.append(np.full(len(got), radius))
-                if queries:
-                    columns = [np.concatenate(x).astype(np.int64) for x in (queries, found, distances, radii)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "id", "distance", "radius"])
+            codes = batch.column("query").to_numpy().view(np.uint64)
+            for start in range(0, len(codes), 256):
+                part = codes[start : start + 256]
+                for s, have in enumerate(values):
+                    own = ((part >> np.uint64(s * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.uint16)
+                    q, v = np.nonzero(np.bitwise_count(own[:, None] ^ have[None, :]) == radius)
+                    columns = [pa.array(part[q].view(np.int64)), pa.array(np.full(len(q), s, np.int32)), pa.array(have[v].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query", "segment", "value"])
 
     return run
 
 
-def top_k(
-    rows: DataFrame,
-    is_query: Column,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-    k: int = 10,
-    block_rows: int = 50_000,
-    query_rows: int = 1024,
-) -> DataFrame:
+def _first_met(radius: int) -> Column:
+    """Whether this probe is the one that meets the code: its segment is the nearest, the first of equals."""
+    apart = [F.bit_count(segment(F.col("query"), s).bitwiseXOR(segment(F.col("code"), s))) for s in range(SEGMENTS)]
+    earlier = F.lit(False)
+    for s, d in enumerate(apart):
+        earlier = earlier | (d < radius) | ((d == radius) & (F.col("segment") > s))
+    return ~earlier
+
+
+def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
     """(query_id, rank, id, distance, radius) of the ``k`` rows nearest to each row that ``is_query``.
 
-    ``radius`` is the last segment radius that the block of that row was searched to.
+    ``radius`` is the last segment radius that the query was searched to.
     """
-    coded = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), sign_code(F.col(f"`{vector_col}`")).alias("code"), is_query.alias("asks"))
+    coded = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), sign_code(F.col(f"`{vector_col}`")).alias("code"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     coded = cut(coded.filter("id is not null and code is not null"), "codes")
-    n, n_queries = coded.agg(F.count("*"), F.count_if("asks")).first()
-    n_blocks, n_groups = max(1, -(-n // block_rows)), max(1, -(-(n_queries or 0) // query_rows))
-    dealt = coded.select("id", "code", "asks", F.pmod(F.xxhash64("id", "code"), F.lit(n_blocks)).alias("block"))
-    pair = let(F.array_sort(F.collect_list(F.struct("id", "code"))), lambda x: F.struct(F.transform(x, lambda r: r["id"]).alias("ids"), F.transform(x, lambda r: r["code"]).alias("codes")))
-    blocks = dealt.groupBy("block").agg(pair.alias("p")).select("block", "p.ids", "p.codes")
-    group = F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(n_groups)).alias("group")
-    asked = coded.filter("asks").select("id", "code", group).distinct()
-    queries = asked.groupBy("group").agg(pair.alias("p")).select("group", F.col("p.ids").alias("query_ids"), F.col("p.codes").alias("query_codes"))
-    every = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    tasks = blocks.join(every, "block")
-    found = tasks.select("block", "ids", "codes", "query_ids", "query_codes").mapInArrow(_search(k), "query_id long, id long, distance long, radius long")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "id", "radius"))), 1, k)
-    ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
-    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.id").alias("id"), F.col("b.distance").alias("distance"), F.col("b.radius").alias("radius"))
+    stood = cut(coded.groupBy("code", "id").agg(F.count("*").alias("n"), F.max("asks").alias("asks")), "stood")
+    # a query leaves out its own id, which may have several codes: so many more rows are kept
+    own = stood.groupBy("id").agg(F.count("*").alias("codes")).agg(F.max("codes")).first()[0] or 1
+    wanted = k + own
+    least = stood.withColumn("at", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("at") <= wanted)
+    entries = cut(least.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id", F.least("n", F.lit(k)).alias("n")))).alias("ids")), "entries")
+    index = F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), segment(F.col("code"), s).alias("value")) for s in range(SEGMENTS)]))
+    index = cut(entries.select("code", index.alias("i")).select("i.segment", "i.value", "code"), "segments")
+    listed = entries.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    values = [np.zeros(0, np.uint16)] * SEGMENTS
+    for r in index.groupBy("segment").agg(F.sort_array(F.collect_set("value")).alias("values")).collect():
+        values[r["segment"]] = np.array(r["values"], np.uint16)
+
+    open_queries = cut(stood.filter("asks").select(F.col("code").alias("query")).distinct(), "queries")
+    best = found = None
+    order = Window.partitionBy("query").orderBy("distance", "id")
+    for radius in range(WIDTH + 1):
+        probes = open_queries.mapInArrow(_probes(values, radius), "query long, segment int, value int")
+        near = probes.join(index, ["segment", "value"]).filter(_first_met(radius))
+        near = near.select("query", "code", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("long").alias("distance"))
+        new = near.join(entries, "code").select("query", "distance", F.explode("ids").alias("e")).select("query", "distance", "e.id", "e.n")
+        kept = new if best is None else new.unionByName(best)
+        kept = kept.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= wanted)
+        kept = cut(kept.select("query", "distance", "id", "n", (F.max("at").over(Window.partitionBy("query")) == min(wanted, listed)).alias("full"), F.max("distance").over(Window.partitionBy("query")).alias("last")), "best")
+        # certain if what is left is farther, or if nothing is left
+        sure = F.col("full") & ((F.col("last") < SEGMENTS * (radius + 1)) | F.lit(listed <= wanted)) if radius < WIDTH else F.lit(True)
+        columns = ["query", "distance", "id", "n"]
+        done = kept.filter(sure).select(*columns, F.lit(radius).cast("long").alias("radius"))
+        found = done if found is None else found.unionByName(done)
+        settled = kept.filter(sure).select("query").distinct()
+        still = cut(open_queries.join(settled, "query", "left_anti"), "queries")
+        discard(open_queries)
+        open_queries, best = still, kept.filter(~sure).select(*columns)
+        if still.isEmpty():
+            break
+
+    asked = stood.filter("asks").select(F.col("id").alias("query_id"), F.col("code").alias("query"))
+    answers = asked.join(found, "query").filter("id <> query_id")
+    each = answers.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query").orderBy("distance", "id"))).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "id", "distance", "radius")
