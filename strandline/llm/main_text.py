@@ -12,7 +12,7 @@ parameter, and no page of the table is learned from.
 A null page is empty, and a page without main text has the text ''. Markup is read tolerantly: unclosed
 elements, stray end tags and an unfinished tag at the end are all accepted. Scripts, styles, buttons and the
 like are skipped up to their own end tag; without one, only scripts and styles go on to the end of the page.
-Pages are read whole. Repeated rows get equal results. Only the html is read, whatever other columns are named.
+Pages are read whole, in time in proportion to their length. References are decoded in each run of text between tags. Repeated rows get equal results. Only the html is read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.boosting import BoostedTrees
+from strandline.llm.bytetext import by_bytes
 
 # fixed values: the vocabulary of HTML, and the attribute tokens that count
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,6 +60,8 @@ _TOKEN_BIT = {t: 1 << k for k, g in enumerate(TOKEN_GROUPS) for t in g.split()}
 _STEMS = tuple((t, bit) for t, bit in _TOKEN_BIT.items() if len(t) > 4)
 _TAG_BIT = {t: 1 << (k + len(TOKEN_GROUPS)) for k, g in enumerate(TAG_GROUPS) for t in g.split()}
 _N_BITS = len(TOKEN_GROUPS) + len(TAG_GROUPS)
+#: Pages are read by this many bytes at once.
+SLICE_BYTES = 1 << 20
 #: Attribute tokens whose groups a task remembers; those of others are found anew.
 REMEMBERED = 10_000
 # a quote opens a value only behind an equals sign, and if it is closed; nothing is tried twice, so values have any length
@@ -134,14 +137,13 @@ class Page:
         self.end, self.text, self.links = [0], [""], [0]
         self.pieces: list[str] = []
         children = [0]
-        stack: list[tuple[str, int]] = []  # open elements; inline ones have node -1
+        stack: list[tuple[str, int]] = []  # open elements; inline ones have node -1, and closed ones of these no tag
+        opened: dict[str, list[int]] = {}  # where the open elements of each tag lie in it
+        blocks: list[int] = []  # and the block elements
         links = linked = 0
 
-        def block() -> int:
-            return next((n for _, n in reversed(stack) if n >= 0), 0)
-
         def add(tag: str, bits: int) -> int:
-            p, node = block(), len(self.parent)
+            p, node = stack[blocks[-1]][1] if blocks else 0, len(self.parent)
             self.parent.append(p), self.depth.append(self.depth[p] + 1), self.bits.append(bits)
             self.above.append(self.above[p] | self.bits[p]), self.place.append(children[p])
             self.end.append(node + 1), self.text.append(""), self.links.append(0)
@@ -152,27 +154,35 @@ class Page:
         def flush() -> None:
             nonlocal linked
             if self.pieces:
-                text = _SPACE.sub(" ", html_lib.unescape("".join(self.pieces))).strip()
+                text = _SPACE.sub(" ", "".join(self.pieces)).strip()
                 self.pieces = []
                 if text:
                     node = add("#text", _TAG_BIT["#text"])
                     self.text[node], self.links[node] = text, min(linked, len(text))
                 linked = 0
 
+        def push(tag: str, node: int) -> None:
+            opened.setdefault(tag, []).append(len(stack))
+            if node >= 0:
+                blocks.append(len(stack))
+            stack.append((tag, node))
+
         def close(depth: int) -> None:
             nonlocal links
             while len(stack) > depth:
-                tag, node = stack.pop()
+                tag, node = stack[-1]
                 if node >= 0:
-                    flush_to(node)
+                    flush()
+                    self.end[node] = len(self.parent)
+                    blocks.pop()
                 elif tag == "a":
                     links -= 1
+                stack.pop()
+                if tag:
+                    opened[tag].pop()
 
-        def flush_to(node: int) -> None:
-            stack.append(("", node))
-            flush()
-            stack.pop()
-            self.end[node] = len(self.parent)
+        def last(tags: frozenset[str] | set[str] | tuple) -> int:
+            return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
 
         tags, ends = _tags(source)
         at, n, k_tag = 0, len(source), 0
@@ -180,7 +190,7 @@ class Page:
             m, tag, after = tags[k_tag] if k_tag < len(tags) else (None, "", n)
             stop = m.start() if m else n
             if stop > at:
-                piece = source[at:stop]
+                piece = html_lib.unescape(source[at:stop])
                 self.pieces.append(piece)
                 if links:
                     linked += len(piece)
@@ -191,18 +201,14 @@ class Page:
             if not tag:
                 continue
             if m[1]:
-                if tag in INLINE or any(t == tag for t, _ in stack):
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            if stack[k][1] < 0:
-                                if tag == "a":
-                                    links -= 1
-                                del stack[k]
-                            else:
-                                close(k)
-                            break
-                        if tag in INLINE and stack[k][1] >= 0:
-                            break
+                k = last((tag,))
+                if k >= 0 and stack[k][1] >= 0:
+                    close(k)
+                elif k >= 0 and not (blocks and k < blocks[-1]):
+                    stack[k] = ("", -1)
+                    opened[tag].pop()
+                    if tag == "a":
+                        links -= 1
                 continue
             if tag in LITERAL or (tag in RAW and (own in ends or m[3][-1:] == "/")):
                 if own in ends:
@@ -216,16 +222,12 @@ class Page:
             if tag in INLINE:
                 if tag == "a":
                     links += 1
-                stack.append((tag, -1))
+                push(tag, -1)
                 continue
             flush()
-            closing = SAME_CLOSES.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closing or (stack[k][0] == "p" and tag in CLOSES_P):
-                    close(k)
-                    break
-                if stack[k][0] in SCOPES:
-                    break
+            closing = last((*SAME_CLOSES.get(tag, ()), *(("p",) if tag in CLOSES_P else ())))
+            if closing > last(SCOPES):
+                close(closing)
             if tag == "hr":
                 continue
             bits = _TAG_BIT.get(tag, 0)
@@ -233,7 +235,7 @@ class Page:
                 for a in _ATTRIBUTE.finditer(m[3]):
                     for token in re.split(r"[^a-z]+", (a[1] or a[2] or a[3] or "").lower()):
                         bits |= _token_bits(token)
-            stack.append((tag, add(tag, bits)))
+            push(tag, add(tag, bits))
         close(0)
         flush()
         self.end[0] = len(self.parent)
@@ -410,10 +412,10 @@ def main_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at, n in by_bytes(batch.column(len(keep)), SLICE_BYTES):
+                part = batch.slice(at, n)
                 text = pa.array(extract(part.column(len(keep)).to_pylist(), model), pa.string())
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], text], names=[*keep, "text"])
 
     fields = ", ".join([*[f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep], "text string"])
-    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("__html")).mapInArrow(run, fields)
+    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").cast("string").alias("__html")).mapInArrow(run, fields)
