@@ -2,9 +2,9 @@
 
 The network reads windows of 64 bytes in both directions, gives every position a probability for each
 language, and a document gets the mean over its positions with letters, whole text included. It is trained
-here, in numpy, by backpropagation through time, on a bounded sample: at most ``docs_per_lang``
-documents of each language, chosen by hash, and ``windows_per_doc`` windows of each, spread over the
-text. The sample is the only data that reaches the driver, and the weights are a few thousand numbers.
+here, in numpy, by backpropagation through time, on a bounded sample: at most ``docs_per_lang`` distinct
+texts of each language (and ``max_docs`` of all languages), chosen by hash, and ``windows_per_doc`` windows of each,
+spread over the text. These windows are the only data that reaches the driver, and the weights are a few thousand numbers.
 
 A text that is null or has no letter is ``und`` with score 0. Rows without a language are predicted but
 not learned from. With no row to learn from all is ``und``; with one language it is always that one.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.llm.bytetext import bytes_of, chunks
-from strandline.plans.runtime import join_small
+from strandline.plans.runtime import cut, join_small
 
 WIDTH = 64
 UND = "und"
@@ -157,32 +157,40 @@ def windows_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(n, WIDTH), np.minimum(len(raw) - np.arange(n) * WIDTH, WIDTH)
 
 
-def train(sample: list[tuple[str, str]], windows_per_doc: int = 4, hidden: int = 8, epochs: int = 8, min_steps: int = 300, batch: int = 128) -> tuple[list[str], ByteGRU | None]:
-    """Languages and network from (text, language) pairs; a small sample is gone over more often."""
-    langs = sorted({lang for _, lang in sample})
+def train(sample: list[tuple[str, bytes]], hidden: int = 8, epochs: int = 8, min_steps: int = 300, batch: int = 128) -> tuple[list[str], ByteGRU | None]:
+    """Languages and network from (language, window) pairs; a small sample is gone over more often."""
+    langs = sorted({lang for lang, _ in sample})
     if len(langs) < 2:
         return langs, None
     xs, ns, ys = [], [], []
-    for text, lang in sorted(sample):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        for k in range(min(windows_per_doc, -(-len(raw) // WIDTH))):
-            start = k * max(1, (len(raw) - WIDTH) // max(1, windows_per_doc - 1)) if len(raw) > WIDTH else 0
-            x, n = windows_of(raw[start : start + WIDTH])
-            xs.append(x[0]), ns.append(n[0]), ys.append(langs.index(lang))
+    for lang, window in sorted(sample):
+        x, n = windows_of(np.frombuffer(window, np.uint8))
+        xs.append(x[0]), ns.append(n[0]), ys.append(langs.index(lang))
     mask = (np.arange(WIDTH) < np.array(ns)[:, None]).astype(np.float32)
     net = ByteGRU(len(langs), hidden)
     net.fit(np.stack(xs), mask, np.array(ys), max(epochs, -(-min_steps * batch // len(xs)) if epochs > 1 else 1), batch)
     return langs, net
 
 
-def labelled_sample(docs: DataFrame, docs_per_lang: int) -> list[tuple[str, str]]:
-    """At most ``docs_per_lang`` (text, lang) of each language, by a hash of the text."""
-    rows = docs.filter("lang is not null and text rlike '\\\\p{L}'").withColumn("h", F.xxhash64("text"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = 3.0 * docs_per_lang / F.col("n") + 0.001
-    near = join_small(rows, counts, ["lang"]).filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return [tuple(r) for r in near.withColumn("k", nth).filter(F.col("k") <= docs_per_lang).select("text", "lang").collect()]
+def training_windows(docs: DataFrame, docs_per_lang: int, windows_per_doc: int, max_docs: int) -> list[tuple[str, bytes]]:
+    """(lang, window) of at most ``docs_per_lang`` distinct texts of each language, by hash; ``max_docs`` texts in all.
+
+    Windows are cut on Spark, so that no text reaches the driver. Copies count once: a range of hashes that holds
+    some three times the texts wanted, by an estimate of the distinct ones, is grouped by hash before it is ranked.
+    """
+    rows = docs.filter("lang is not null and text rlike '\\\\p{L}'").select("lang", F.xxhash64("text").alias("h"), F.encode("text", "UTF-8").alias("raw"))
+    n = F.octet_length("raw")
+    step = F.when(n > WIDTH, F.greatest(F.lit(1), ((n - WIDTH) / max(1, windows_per_doc - 1)).cast("int"))).otherwise(0)
+    places = F.sequence(F.lit(0), F.least(F.lit(windows_per_doc), F.ceil(n / WIDTH).cast("int")) - 1)
+    cut_out = rows.select("lang", "h", F.transform(places, lambda k: F.substr("raw", k * step + 1, F.lit(WIDTH))).alias("windows"))
+    counts = cut(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "languages")
+    wanted = min(docs_per_lang, max(1, max_docs // max(1, counts.count())))
+    share = 3.0 * wanted / F.greatest("n", F.lit(1)) + 0.001
+    near = join_small(cut_out, counts, ["lang"]).filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    distinct = near.groupBy("lang", "h").agg(F.first("windows").alias("windows"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    kept = distinct.withColumn("k", nth).filter(F.col("k") <= wanted)
+    return [(r["lang"], bytes(r["w"])) for r in kept.select("lang", F.explode("windows").alias("w")).collect()]
 
 
 def _pooled(net: ByteGRU, data: np.ndarray, offsets: np.ndarray, block: int = 4096) -> np.ndarray:
@@ -222,6 +230,7 @@ def identify(
     keep: list[str] | None = None,
     docs_per_lang: int = 400,
     windows_per_doc: int = 4,
+    max_docs: int = 100_000,
     hidden: int = 8,
     epochs: int = 8,
 ) -> DataFrame:
@@ -230,8 +239,8 @@ def identify(
     The network learns from rows where ``learn_from`` holds, from text and language alone.
     """
     text = F.col(f"`{text_col}`").cast("string").alias("text")
-    sample = labelled_sample(docs.filter(learn_from).select(text, F.col(f"`{lang_col}`").alias("lang")), docs_per_lang)
-    langs, net = train(sample, windows_per_doc, hidden, epochs)
+    labelled = docs.filter(learn_from).select(text, F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    langs, net = train(training_windows(labelled, docs_per_lang, windows_per_doc, max_docs), hidden, epochs)
     keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
