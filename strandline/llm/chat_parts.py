@@ -116,29 +116,37 @@ def format_chat(
 def read_back(formatted: DataFrame) -> DataFrame:
     """``formatted`` with its turns (role, text) and ``loss_texts``, the texts under the loss mask, in order.
 
-    The string is cut once at the ends of turns. The mask names the turn of each span, and a span must be
-    as long as that turn's body, else its text is null.
+    The string is cut once at the ends of turns, and each piece keeps its place in the string. What the mask covers is then
+    cut out by its start and length, from the piece of the turn that it names, which is the same as cutting the whole
+    string there, but does not walk through it from its start for each span. A span that does not lie within
+    that piece has a null text. Placeholders stay in the texts as they stand.
     """
     cut = F.filter(F.split("formatted", r"<\|end\|>"), lambda x: x != "")
-    sides = F.transform(
-        cut,
-        lambda x: F.struct(
-            unescape(F.substring_index(F.substring(x, len(TURN) + 1, 1 << 30), BODY, 1)).alias("role"), F.substring_index(x, BODY, -1).alias("raw")
-        ),
-    )
 
-    def under(mask: Column, turns: Column) -> Column:
+    def after(done: Column, piece: Column) -> Column:
+        end = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0).cast("long"))
+        own = F.struct(piece.alias("piece"), end.alias("before"), (end + F.length(piece) + len(END)).alias("end"))
+        return F.concat(done, F.array(own))
+
+    def under(mask: Column, placed: Column) -> Column:
         def text(s: Column) -> Column:
-            raw = F.element_at(turns, s["turn"].cast("int"))["raw"]
-            return F.when(F.length(raw) == s["length"], unescape(raw))
+            def of(p: Column) -> Column:
+                at = s["start"] - p["before"]
+                inside = (at >= 1) & (at + s["length"] - 1 <= F.length(p["piece"]))
+                return F.when(inside, unescape(F.substr(p["piece"], at.cast("int"), s["length"].cast("int"))))
+
+            return let(F.get(placed, s["turn"].cast("int") - 1), of)
 
         return F.transform(mask, text)
 
+    turn = lambda x: F.struct(
+        unescape(F.substring_index(F.substring(x, len(TURN) + 1, 1 << 30), BODY, 1)).alias("role"), unescape(F.substring_index(x, BODY, -1)).alias("text")
+    )
+    none = F.array().cast("array<struct<piece:string,before:bigint,end:bigint>>")
     both = let(
-        sides,
-        lambda turns: F.struct(
-            F.transform(turns, lambda t: F.struct(t["role"].alias("role"), unescape(t["raw"]).alias("text"))).alias("turns"),
-            under(F.col("loss_mask"), turns).alias("loss_texts"),
+        cut,
+        lambda pieces: F.struct(
+            F.transform(pieces, turn).alias("turns"), let(F.aggregate(pieces, none, after), lambda placed: under(F.col("loss_mask"), placed)).alias("loss_texts")
         ),
     )
-    return formatted.withColumn("__read", both).select("*", "__read.turns", "__read.loss_texts").drop("__read")
+    return formatted.select("*", both.alias("read")).select(*[F.col(f"`{c}`") for c in formatted.columns], "read.turns", "read.loss_texts")

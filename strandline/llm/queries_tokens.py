@@ -45,8 +45,11 @@ r1 AS (SELECT max(pow(share, alpha) / total) / sum(pow(share, alpha)) * max(whol
 al AS (SELECT round(CASE WHEN r <= 3.0 THEN alpha WHEN r0 <= 3.0 THEN alpha
                          ELSE greatest(alpha, (SELECT hi FROM up WHERE step = 40)) END, 6) AS alpha FROM r1),
 z AS (SELECT sum(pow(share, alpha)) AS norm FROM p, al),
-q0 AS (SELECT k, total, floor(CASE WHEN total > 0 THEN round(pow(total / whole, alpha) / norm, 9) ELSE 0 END * whole)::BIGINT AS quota,
-              greatest(ceil(total / greatest(1048576, floor(sqrt(whole)))), 1)::BIGINT AS nb FROM t, g, al, z),
+due AS (SELECT k, total, whole, CASE WHEN total = 0 THEN 0.0 WHEN alpha = 1 THEN total ELSE pow(total / whole, alpha) / norm * whole END AS due,
+               greatest(ceil(total / greatest(1048576, floor(sqrt(whole)))), 1)::BIGINT AS nb FROM t, g, al, z),
+whole_due AS (SELECT *, round(due / greatest(total, 1)) * total AS of_passes, round(due) AS of_tokens FROM due),
+q0 AS (SELECT k, total, nb, (CASE WHEN abs(due - of_passes) <= due * 1e-12 THEN of_passes WHEN abs(due - of_tokens) <= due * 1e-12 THEN of_tokens
+                                  ELSE floor(due) END)::BIGINT AS quota FROM whole_due),
 q AS (SELECT *, greatest(ceil(quota / greatest(total, 1)), 1)::BIGINT AS passes FROM q0),
 b AS (SELECT d.*, total, quota, passes, ('0x' || substr(md5('17:b:' || d.k || ':' || i), 1, 15))::BIGINT % nb AS blk FROM d JOIN q USING (k)),
 s AS (SELECT k, blk, sum(n)::BIGINT AS n, any_value(passes) AS passes, any_value(total) AS total FROM b GROUP BY k, blk),
@@ -98,6 +101,31 @@ FROM g
 """
 
 
+def chat_media_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments of all conversations whose users send an image, a recording or a document after each text, with expanded tokens."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    n = F.length(F.coalesce("text", F.lit("")))
+    kind = F.element_at(F.array(*map(F.lit, ("image", "audio", "document"))), (F.pmod(n, F.lit(3)) + 1).cast("int"))
+    ref = F.concat_ws("/", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit("")))
+    none = F.lit(None).cast("string")
+    media = F.struct(kind.alias("kind"), none.alias("text"), ref.alias("ref"), F.pmod(n, F.lit(5)).cast("long").alias("units"))
+    parts = F.when(F.col("role") == "user", F.concat(text_part(F.col("text")), F.array(media))).otherwise(text_part(F.col("text")))
+    out = format_chat(turns.withColumn("parts", parts)).select("conv_id", "n_expanded", F.explode("attachments").alias("a"))
+    return out.select("conv_id", F.col("a.number").alias("number"), F.col("a.turn").alias("turn"), F.col("a.kind").alias("kind"), F.col("a.ref").alias("ref"), F.col("a.n_tokens").alias("n_tokens"), "n_expanded")
+
+
+CHAT_MEDIA_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
+m AS (SELECT conv_id, pos, ['image', 'audio', 'document'][1 + length(text) % 3] AS kind, length(text) % 5 AS units,
+             coalesce(conv_id::VARCHAR, '') || '/' || coalesce(turn::VARCHAR, '') AS ref FROM n WHERE role = 'user'),
+x AS (SELECT *, 2 + units * CASE kind WHEN 'image' THEN 256 WHEN 'audio' THEN 25 ELSE 512 END AS n_tokens FROM m)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos)::INTEGER AS number, pos::INTEGER AS turn, kind, ref,
+       n_tokens::BIGINT AS n_tokens, sum(n_tokens) OVER (PARTITION BY conv_id)::BIGINT AS n_expanded FROM x
+"""
+
+
 def op9_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document, their number, the byte pieces among them, and whether they decode to the text."""
     model = default_model(spark)
@@ -114,5 +142,5 @@ def op9_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_chat_parts": op3_chat_parts, "op2_temperature_mix": op2_temperature_mix, "op9_unigram_pieces": op9_unigram_pieces}
-ORACLE_SQL = {"op3_chat_parts": CHAT_PARTS_SQL, "op2_temperature_mix": TEMPERATURE_MIX_SQL}
+QUERIES = {"op3_chat_parts": op3_chat_parts, "chat_media_parts": chat_media_parts, "op2_temperature_mix": op2_temperature_mix, "op9_unigram_pieces": op9_unigram_pieces}
+ORACLE_SQL = {"op3_chat_parts": CHAT_PARTS_SQL, "chat_media_parts": CHAT_MEDIA_SQL, "op2_temperature_mix": TEMPERATURE_MIX_SQL}

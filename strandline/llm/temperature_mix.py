@@ -13,7 +13,8 @@ Positions come from sums by block and running sums within blocks, so no task ord
 
 Tokens are words. Null and empty texts have none; they are taken once, with the first pass. A null
 source is a source. Rows with the same id, source and size are alike, and ties between them are of no
-consequence. All columns of the input stay; the columns ``mix_pass`` and ``mix_start`` are added.
+consequence. All columns of the input stay; the columns ``mix_pass`` and ``mix_start`` are added, in place of
+columns of these names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +29,7 @@ from pyspark.sql.window import Window
 from strandline.llm.host_rules import words_of
 from strandline.plans.runtime import cut, join_small
 
-STEPS = 40
-COLLECTED = 100_000
+STEPS, DEPTH = 40, 5
 #: The relative error that doubles may put on a source's share of the budget.
 NEAR = 1e-12
 
@@ -40,45 +39,44 @@ def _hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
-def _measures(totals: DataFrame, budget: float) -> Callable[[float], tuple[float, float]]:
-    """alpha -> entropy of the weights and the largest number of repeats."""
-    if totals.limit(COLLECTED + 1).count() <= COLLECTED:
-        t = np.array([r["total"] for r in totals.filter("total > 0").orderBy("total", "key").collect()], float)
+def _measures(totals: DataFrame, budget: float) -> Callable[[list[float]], list[tuple[float, float]]]:
+    """Exponents -> for each the entropy of the weights and the largest number of repeats, in one aggregation over the sources."""
+    positive = totals.filter("total > 0").select("total")
+    whole = positive.agg(F.sum("total")).first()[0]
 
-        def of(alpha: float) -> tuple[float, float]:
-            w = (t / t.sum()) ** alpha
-            q = w / w.sum()
-            return float(-(q * np.log(q)).sum()), float((q * budget / t).max())
+    def of(alphas: list[float]) -> list[tuple[float, float]]:
+        each = positive.select("total", F.posexplode(F.array(*[F.lit(float(a)) for a in alphas])).alias("i", "alpha"))
+        raised = each.select("i", "total", F.pow(F.col("total") / whole, F.col("alpha")).alias("w"))
+        sums = raised.groupBy("i").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.log("w")).alias("wl"), F.max(F.col("w") / F.col("total")).alias("most"))
+        return [(math.log(r["w"]) - r["wl"] / r["w"], r["most"] / r["w"] * budget) for r in sums.orderBy("i").collect()]
 
-        return of
-    whole = totals.agg(F.sum("total")).first()[0]
+    return of
 
-    def by_spark(alpha: float) -> tuple[float, float]:
-        w = F.pow(F.col("total") / whole, F.lit(alpha))
-        row = totals.filter("total > 0").agg(F.sum(w), F.sum(w * F.log(w)), F.max(w / F.col("total"))).first()
-        return math.log(row[0]) - row[1] / row[0], row[2] / row[0] * budget
 
-    return by_spark
+def find_alpha(measures: Callable[[list[float]], list[tuple[float, float]]], entropy: float | None, max_repeats: float | None) -> float:
+    """The exponent, to six decimals. Entropy falls with it, and so do the repeats of small sources.
 
+    An interval is bisected ``DEPTH`` times by one call, which measures all the points that bisection could ask for.
+    """
 
-def find_alpha(measures: Callable[[float], tuple[float, float]], entropy: float | None, max_repeats: float | None) -> float:
-    """The exponent, to six decimals. Entropy falls with it, and so do the repeats of small sources."""
-
-    def bisect(ok: Callable[[float], bool], low_ok: bool) -> float:
+    def bisect(ok: Callable[[tuple[float, float]], bool], low_ok: bool) -> float:
         lo, hi = 0.0, 1.0
-        if ok(hi if low_ok else lo):
+        if ok(measures([hi if low_ok else lo])[0]):
             return hi if low_ok else lo
-        for _ in range(STEPS):
-            mid = (lo + hi) / 2
-            if ok(mid) == low_ok:
-                lo = mid
-            else:
-                hi = mid
+        for _ in range(STEPS // DEPTH):
+            n = 1 << DEPTH
+            points = [lo + (hi - lo) * i / n for i in range(n + 1)]
+            good = [low_ok, *[ok(m) for m in measures(points[1:-1])], not low_ok]
+            a, b = 0, n
+            while b - a > 1:
+                mid = (a + b) // 2
+                a, b = (mid, b) if good[mid] == low_ok else (a, mid)
+            lo, hi = points[a], points[b]
         return lo if low_ok else hi
 
-    alpha = 1.0 if entropy is None else bisect(lambda a: measures(a)[0] >= entropy, True)
-    if max_repeats is not None and measures(alpha)[1] > max_repeats:
-        alpha = max(alpha, bisect(lambda a: measures(a)[1] <= max_repeats, False))
+    alpha = 1.0 if entropy is None else bisect(lambda m: m[0] >= entropy, True)
+    if max_repeats is not None and measures([alpha])[0][1] > max_repeats:
+        alpha = max(alpha, bisect(lambda m: m[1] <= max_repeats, False))
     return round(alpha, 6)
 
 
@@ -106,7 +104,9 @@ def temperature_mix(
     in a block grows with the square root of all tokens from ``block_tokens`` on.
     """
     tokens, key = F.size(words_of(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).cast("long"), F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit(""))
-    sized = docs.select("*", tokens.alias("__tokens"), key.alias("__key"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("__id"))
+    # the row is one column, so that no name of the input can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    sized = docs.select(row, tokens.alias("__tokens"), key.alias("__key"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("__id"))
     totals = cut(sized.groupBy(F.col("__key").alias("key")).agg(F.sum("__tokens").alias("total")), "totals")
     whole, n_sources = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_if(F.col("total") > 0)).first()
     budget = whole * budget_share
@@ -137,6 +137,6 @@ def temperature_mix(
     placed = dealt.join(starts, ["__key", "__block"]).withColumn("__at", F.explode("__starts"))
     inner = Window.partitionBy("__key", "__block", F.col("__at.pass")).orderBy(_hash(F.lit(f"{seed}:d"), F.col("__at.pass"), "__key", "__id"), "__id", "__tokens")
     first = F.col("__at.start") + F.sum("__tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__tokens")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_pass", "mix_start")]
+    keep = [F.col(f"__row.`{c}`") for c in docs.columns if c not in ("mix_pass", "mix_start")]
     drawn = placed.withColumn("__first", first).filter(F.col("__first") + F.col("__tokens") <= F.col("__quota"))
     return drawn.select(*keep, F.col("__at.pass").alias("mix_pass"), F.col("__first").alias("mix_start"))
