@@ -56,7 +56,8 @@ def repeated_words(words: Column) -> Column:
     """Words that lie in a window of eight words which occurs twice or more in the text."""
 
     def of(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+        hashes = F.transform(w, lambda x: F.xxhash64(x))
+        windows = let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
         return F.when(F.size(w) <= WINDOW, F.lit(0).cast("long")).otherwise(let(windows, _covered))
 
     return let(words, of)
@@ -109,30 +110,32 @@ def _host_key(host: Column) -> Column:
 
 
 def _rates(stats: DataFrame) -> DataFrame:
-    """(host_key, shrunk failure rate) from measured rows."""
-    failed = F.count_if(base_failed() | soft_failed()).alias("k")
-    hosts = cut(stats.groupBy(_host_key(F.col("host")).alias("__host_key")).agg(F.count("*").alias("n"), failed), "hosts")
+    """(host_key, shrunk failure rate) from the marks of measured rows."""
+    failed = F.count_if(F.col("base_failed") | F.col("soft_failed")).alias("k")
+    hosts = cut(stats.groupBy("host_key").agg(F.count("*").alias("n"), failed), "hosts")
     a, b = beta_prior(hosts)
-    return hosts.select("__host_key", ((F.col("k") + a) / (F.col("n") + a + b)).alias("rate"))
+    return hosts.select("host_key", ((F.col("k") + a) / (F.col("n") + a + b)).alias("rate"))
 
 
 def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.6) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns: the verdicts of ``host_verdicts`` taken as a filter."""
-    rates = _rates(measure(docs, text_col, text_col, host_col))
-    words = words_of(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    counts = let(words, lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("again")))
-    sound = (F.col("__counts.n") >= 20) & (100 * F.col("__counts.again") <= 30 * F.col("__counts.n"))
-    rows = docs.withColumn("__counts", counts).filter(sound).drop("__counts").withColumn("__host_key", _host_key(F.col(f"`{host_col}`")))
-    good = rates.filter(F.col("rate") <= max_rate).select("__host_key")
-    return join_small(rows, good, ["__host_key"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that pass, with their own columns: the verdicts of ``host_verdicts`` taken as a filter.
+
+    Every row is measured once and written with its measures, in one column, so that no name of the input can clash.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(row.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{host_col}`").alias("source"))
+    stats = cut(measure(held).select(F.col("doc_id").alias("row"), _host_key(F.col("host")).alias("host_key"), base_failed().alias("base_failed"), soft_failed().alias("soft_failed")), "quality")
+    good = cut(_rates(stats).filter(F.col("rate") <= max_rate).select("host_key"), "hosts")
+    return join_small(stats.filter("not base_failed").select("row", "host_key"), good, ["host_key"], "left_semi").select("row.*")
 
 
 def host_verdicts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.6
 ) -> DataFrame:
     """Counts, base_failed, the shrunk rate of the host and kept, for every row of ``docs``."""
-    stats = cut(measure(docs, id_col, text_col, host_col).withColumn("base_failed", base_failed()), "quality")
-    joined = join_small(stats.withColumn("__host_key", _host_key(F.col("host"))), _rates(stats), ["__host_key"])
+    marks = {"base_failed": base_failed(), "soft_failed": soft_failed(), "host_key": _host_key(F.col("host"))}
+    stats = cut(measure(docs, id_col, text_col, host_col).withColumns(marks), "quality")
+    joined = join_small(stats, _rates(stats), ["host_key"])
     return joined.select(
         "doc_id",
         "n_words",

@@ -19,18 +19,17 @@ def test_rules_equal_sql(spark):
 def brute_counts(text):
     ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(ws[i : i + 8]) for i in range(len(ws) - 7)]
-    covered = set()
+    covered, times = set(), Counter(windows)
     for i, w in enumerate(windows):
-        if windows.count(w) > 1:
+        if times[w] > 1:
             covered |= set(range(i, i + 8))
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
 def test_rules_on_hard_texts(spark, hard, none):
-    small = hard.filter("length(text) < 20000 or text is null")
-    extra = ["a b c d e f g h i " * 3, "x\ny\nx\n \n\nx", "# * a\tb\x0bc\x0cd", "一 二 三"]
-    rows = small.select("doc_id", "text", "source").unionByName(spark.createDataFrame([(900 + i, t, "z") for i, t in enumerate(extra)], "doc_id long, text string, source string"))
+    extra = ["v w " * 60_000, "a b c d e f g h i " * 3, "x\ny\nx\n \n\nx", "# * a\tb\x0bc\x0cd", "一 二 三"]
+    rows = hard.select("doc_id", "text", "source").unionByName(spark.createDataFrame([(900 + i, t, "z") for i, t in enumerate(extra)], "doc_id long, text string, source string"))
     got = {r["doc_id"]: r for r in host_rules.host_verdicts(rows).collect()}
     for r in rows.collect():
         g = got[r["doc_id"]]
@@ -48,6 +47,8 @@ def test_bad_hosts_go_with_their_documents(spark):
     kept = {r["doc_id"]: r["kept"] for r in host_rules.host_verdicts(frame).collect()}
     assert all(kept[i] for i in range(50)) and not kept[200] and kept[201]
     assert sorted(r["doc_id"] for r in host_rules.passing(frame).collect()) == sorted(i for i, k in kept.items() if k)
+    clash = frame.selectExpr("doc_id", "text", "source", "1 as row", "2 as host_key", "3 as __counts", "4 as n_words")
+    assert {tuple(r)[3:] for r in host_rules.passing(clash).collect()} == {(1, 2, 3, 4)} and host_rules.passing(clash).columns == clash.columns
 
 
 BASE = [
@@ -201,6 +202,49 @@ def test_languages_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_copies_do_not_crowd_out_a_sample(spark):
+    rows = [("en", f"copy number {i % 3}") for i in range(5000)] + [("de", f"wort {i} satz") for i in range(600)] + [("fr", None), ("fr", "123")]
+    got = byte_gru.training_windows(spark.createDataFrame(rows, "lang string, text string"), 50, 4, 1000)
+    assert Counter(k for k, _ in got) == {"en": 3, "de": 50} and len(set(got)) == 53
+    long = " ".join(f"word{i}" for i in range(100))
+    assert {w for _, w in byte_gru.training_windows(spark.createDataFrame([("en", long)], "lang string, text string"), 50, 4, 1000)} == {
+        long.encode()[k * ((len(long) - 64) // 3) :][:64] for k in range(4)
+    }
+
+
+def brute_probabilities(net, text):
+    """Position by position, in plain loops, over the windows of one text."""
+    raw, total, weight = text.encode(), np.zeros(net.n_classes), 0.0
+    for a in range(0, len(raw), byte_gru.WIDTH):
+        part = raw[a : a + byte_gru.WIDTH]
+        states = {}
+        for d in "fb":
+            h, w = np.zeros(net.hidden), {k: net.weights[k + d].astype(float) for k in "xuv"}
+            for t in range(len(part)) if d == "f" else reversed(range(len(part))):
+                g, u, n = w["x"][part[t]], h @ w["u"], net.hidden
+                r, z = 1 / (1 + np.exp(-g[:n] - u[:n])), 1 / (1 + np.exp(-g[n : 2 * n] - u[n : 2 * n]))
+                h = z * h + (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :])
+                states[d, t] = h @ w["v"]
+        for t, b in enumerate(part):
+            if b >= 128 or chr(b).isalpha():
+                e = np.exp(states["f", t] + states["b", t] + net.weights["c"])
+                total, weight = total + e / e.sum(), weight + 1
+    return total / weight
+
+
+def test_predictions_equal_plain_loops(spark):
+    docs = table(spark, SF, "documents").filter("length(text) < 4000").limit(60)
+    sample = byte_gru.training_windows(docs.select("lang", "text"), 400, 4, 1000)
+    langs, net = byte_gru.train(sample)
+    got = {r["doc_id"]: r for r in byte_gru.identify(docs, F.lit(True), keep=["doc_id"]).collect()}
+    for r in docs.collect():
+        if r["text"] and byte_gru._LETTER.search(r["text"]):
+            p = brute_probabilities(net, r["text"])
+            assert got[r["doc_id"]]["score"] == pytest.approx(p.max(), abs=2e-3) and (got[r["doc_id"]]["lang_pred"] == langs[p.argmax()] or np.ptp(np.sort(p)[-2:]) < 4e-3)
+        else:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+
+
 def test_languages_of_odd_texts(spark, hard, none):
     got = byte_gru.identify(hard, F.lit(True), keep=["doc_id"], epochs=1).collect()
     assert len(got) == hard.count()

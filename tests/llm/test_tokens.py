@@ -72,6 +72,13 @@ def test_quota_is_exact_beyond_nine_decimals(spark):
     assert [r[0] for r in got] == [3 * 10**12, 2_500_000_000, 4, 3, 0]
 
 
+def test_clashing_names_pass_through(spark):
+    names = ["__tokens", "__block", "__row", "__at", "mix_pass", "pass", "start"]
+    frame = spark.createDataFrame([(1, "a b", "s", *range(7)), (2, "c", "s", *range(7))], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = temperature_mix.temperature_mix(frame).orderBy("doc_id").collect()
+    assert [[r[n] for n in names if n != "mix_pass"] for r in got] == [[0, 1, 2, 3, 5, 6]] * 2 and {r["mix_pass"] for r in got} == {0}
+
+
 def test_natural_weights_take_everything_once(spark, hard, none):
     got = temperature_mix.temperature_mix(hard, entropy_share=None, max_repeats=None)
     assert got.drop("mix_pass", "mix_start").exceptAll(hard).count() == 0 and got.count() >= hard.count() - 4
@@ -84,11 +91,11 @@ def test_natural_weights_take_everything_once(spark, hard, none):
 def test_repeat_limit_raises_alpha(spark):
     of = temperature_mix._measures(spark.createDataFrame([("a", 1000), ("b", 10)], "key string, total long"), 1010.0)
     alpha = temperature_mix.find_alpha(of, math.log(2), 5.0)
-    assert of(alpha)[1] == pytest.approx(5.0, rel=1e-3) and temperature_mix.find_alpha(of, None, None) == 1.0
-    assert temperature_mix.find_alpha(of, 0.3, None) == pytest.approx(alpha_for(of, 0.3), abs=1e-5)
+    assert of([alpha])[0][1] == pytest.approx(5.0, rel=1e-3) and temperature_mix.find_alpha(of, None, None) == 1.0
+    assert temperature_mix.find_alpha(of, 0.3, None) == pytest.approx(alpha_for(0.3), abs=1e-5)
 
 
-def alpha_for(of, entropy):
+def alpha_for(entropy):
     grid = np.linspace(0, 1, 200_001)
     t = np.array([10, 1000.0])
     w = (t / t.sum())[None] ** grid[:, None]
@@ -121,6 +128,17 @@ def chat_parts_unescape(text):
     return re.sub(r"([<\[\\])\\", r"\1", text)
 
 
+def test_what_is_learned_is_cut_out_by_the_mask(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "answer"), (1, 2, "user", "so"), (1, 3, "assistant", "be it")], "conv_id long, turn long, role string, text string")
+    out = chat_parts.format_chat(frame.withColumn("parts", chat_parts.text_part(F.col("text"))))
+    assert chat_parts.read_back(out).first()["loss_texts"] == ["answer", "be it"]
+    def moved(start, length):
+        return F.transform("loss_mask", lambda m: F.struct(m["turn"], (m["start"] + start).alias("start"), (m["length"] + length).alias("length")))
+
+    for start, length, want in [(1, -1, ["nswer", "e it"]), (-1, 0, [">answe", ">be i"]), (0, -2, ["answ", "be "]), (1, 0, [None, None]), (500, 0, [None, None])]:
+        assert chat_parts.read_back(out.withColumn("loss_mask", moved(start, length))).first()["loss_texts"] == want
+
+
 def test_parts_become_placeholders(spark):
     parts = [("text", "see ", None, None), ("image", None, "i.png", 2), ("audio", None, "a.wav", 10), ("text", " <|image|>", None, None), ("scan", None, "d.pdf", None)]
     frame = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat_parts.PARTS}")
