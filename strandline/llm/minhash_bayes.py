@@ -2,8 +2,9 @@
 
 1. Every text becomes the set of its word shingles (64-bit hashes) and a MinHash signature, cut into
    bands. Texts with equal sets are one node from here on.
-2. Nodes that share a band bucket are candidates. The least node of each bucket is its hub, and every other
-   member is compared with it: the signatures batch by batch, where a pair is dropped as soon as the posterior
+2. Nodes that share a band bucket are candidates. The least node of each bucket is its hub. Every other member is
+   compared with the least of its hubs, and then with those of the others that it is not connected with by then (a large
+   group of copies so costs one comparison a member): the signatures batch by batch, where a pair is dropped as soon as the posterior
    probability that its similarity reaches the threshold falls under ``miss``. (Both share a band, so the
    signatures agree more than by chance; that keeps pairs, and loses none.) Survivors are verified on their full
    sets: texts travel for survivors only, and those of one hub are dealt over tasks by ``fan`` at a time.
@@ -231,13 +232,25 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     slots = nodes.select("node", F.explode("bands").alias("bucket"))
     hubs = slots.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("bucket", "hub")
     rest = cut(slots.join(hubs, "bucket").filter("node <> hub"), "slots")
-    stars = rest.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    for name, side in (("u", "a"), ("v", "b")):
-        own = nodes.select(F.col("node").alias(name), F.col("signature").alias(side), F.col("n").alias(f"size_{side}"))
-        stars = stars.join(own, name)
-    near = cut(stars.mapInArrow(_pairs_kept(bounds), "u long, v long"), "near")
+    stars = cut(rest.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "stars")
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        for name, side in (("u", "a"), ("v", "b")):
+            own = nodes.select(F.col("node").alias(name), F.col("signature").alias(side), F.col("n").alias(f"size_{side}"))
+            pairs = pairs.join(own, name)
+        return cut(pairs.mapInArrow(_pairs_kept(bounds), "u long, v long"), "near")
+
+    near = tested(stars.groupBy("u").agg(F.min("v").alias("v")))
     links = _verified(near, nodes, base, size, percent, fan)
     labels = connected_components(links)
+    apart = stars
+    for name in ("u", "v"):
+        apart = apart.join(labels.select(F.col("node").alias(name), F.col("label").alias(f"of_{name}")), name, "left")
+    others = tested(apart.filter(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v"))
+    if not others.isEmpty():
+        links = links.unionByName(_verified(others, nodes, base, size, percent, fan))
+        labels = connected_components(links)
+    discard(stars, near, others)
 
     known = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     known = cut(known, "known")
@@ -253,7 +266,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
             found = _verified(more, nodes, base, size, percent, fan)
             labels = connected_components(links.unionByName(found))
         discard(more)
-    discard(rest, near, known, mixed)
+    discard(rest, known, mixed)
 
     ids = nodes.select("set_key", "node", F.when(~F.col("rep.none"), F.col("rep.id")).alias("id"))
     grouped_ids = ids.join(labels, "node").groupBy("label").agg(F.min("id").alias("least"))
@@ -272,7 +285,7 @@ def near_duplicate_classes(
     rows: int = 7,
     miss: float = 1e-5,
     block: int = 2048,
-    fan: int = 512,
+    fan: int = 256,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -294,7 +307,7 @@ def drop_near_duplicates(
     rows: int = 7,
     miss: float = 1e-5,
     block: int = 2048,
-    fan: int = 512,
+    fan: int = 256,
 ) -> DataFrame:
     """``docs`` with one row of each class of near duplicates, the one with the least id; of repeated rows one.
 
