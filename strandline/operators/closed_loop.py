@@ -65,15 +65,18 @@ def decide(before: Column, attempts: Column, max_revisions: int, min_gain: float
 
     Attempts after the first accepted one, or beyond ``max_revisions`` revisions, are not made. The struct
     has the decision, the number of attempts, the gain of the last one, and what each attempt led to. A
-    metric set without any value raises an error, as there is nothing to compare.
+    gain that is no number is none. A metric set without any value raises an error, as there is nothing to compare.
     """
     base = F.coalesce(utility(before), F.raise_error(F.lit("no objective metric")).cast("double"))
     gains = F.transform(F.slice(attempts, 1, max_revisions + 1), lambda m: F.coalesce(utility(m), F.raise_error(F.lit("no objective metric")).cast("double")) - base)
 
+    def good(x: Column) -> Column:
+        return (x >= min_gain) & ~F.isnan(x)
+
     def of(g: Column) -> Column:
-        hit = F.array_position(F.transform(g, lambda x: (x >= min_gain).cast("int")), 1).cast("int")
+        hit = F.array_position(F.transform(g, lambda x: good(x).cast("int")), 1).cast("int")
         n = F.when(hit > 0, hit).otherwise(F.size(g))
-        steps = F.transform(F.slice(g, 1, n), lambda x, i: F.when(x >= min_gain, "accept").when(i + 1 < n, "revise").otherwise("rollback"))
+        steps = F.transform(F.slice(g, 1, n), lambda x, i: F.when(good(x), "accept").when(i + 1 < n, "revise").otherwise("rollback"))
         return F.struct(F.when(hit > 0, "accept").otherwise("rollback").alias("decision"), n.alias("n_attempts"), F.get(g, n - 1).alias("utility_gain"), steps.alias("steps"))
 
     return F.element_at(F.transform(F.array(gains), of), 1)

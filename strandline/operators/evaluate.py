@@ -10,9 +10,22 @@ from strandline.operators.rewards import COMPONENTS, ablation_totals
 METRICS = (*COMPONENTS, "total")
 
 
+def unique_predictions(predictions: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    """(id, response), in whose job a repeated id, an empty one or a response that is missing raises an error."""
+    per_id = predictions.groupBy(id_col).agg(F.first("response").alias("response"), F.count("*").alias("n"))
+    own = F.col(id_col).cast("string")
+    checked = (
+        F.when(F.coalesce(own, F.lit("")) == "", F.raise_error(F.lit("prediction without an id")).cast("string"))
+        .when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated prediction: "), own)).cast("string"))
+        .when(F.col("response").isNull(), F.raise_error(F.concat(F.lit("prediction without a response: "), own)).cast("string"))
+        .otherwise(F.col("response"))
+    )
+    return per_id.select(id_col, checked.alias("response"))
+
+
 def with_predictions(dataset: DataFrame, predictions: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """Rows that have a prediction, with its response; others are left out, never filled in."""
-    return dataset.drop("response").join(predictions.select(id_col, "response"), id_col).withColumn("source", F.lit("prediction"))
+    """Rows that have a prediction, with its response; others are left out, never filled in. Repeated predictions are an error."""
+    return dataset.drop("response").join(unique_predictions(predictions, id_col), id_col).withColumn("source", F.lit("prediction"))
 
 
 def with_references(dataset: DataFrame) -> DataFrame:
@@ -27,7 +40,7 @@ def unknown_ids(dataset: DataFrame, predictions: DataFrame, id_col: str = "sampl
 
 def coverage(dataset: DataFrame, predictions: DataFrame, id_col: str = "sample_id") -> DataFrame:
     """One row: how many rows of the dataset have a prediction."""
-    marked = dataset.select(id_col).join(predictions.select(id_col, F.lit(1).alias("hit")), id_col, "left")
+    marked = dataset.select(id_col).join(predictions.select(id_col, F.lit(1).alias("hit")).distinct(), id_col, "left")
     return marked.agg(F.count("hit").alias("num_samples"), F.count("*").alias("dataset_samples")).select(
         "num_samples",
         "dataset_samples",
@@ -91,3 +104,29 @@ def release_gate(matrix: DataFrame, expected_records: int, stage_col: str = "sta
         ((F.col("wrong") == 0) & (F.col("n") > 0)).alias("records_complete"),
         (complete & (F.col("wrong") == 0) & (F.col("n") == len(STAGES))).alias("accepted"),
     )
+
+
+def release_faults(
+    matrix: DataFrame, predictions: DataFrame, reports: DataFrame, selection: dict[str, object], expected_records: int, seed: int = 42, stage_col: str = "stage"
+) -> DataFrame:
+    """(fault) of everything that keeps a release back; no row if it may go out.
+
+    ``matrix`` has the means by stage, ``predictions`` a row for each answer of a stage, ``reports`` the number
+    of samples by stage (num_samples), and ``selection`` says how the sample was drawn: method, seed and digest of its ids.
+    """
+    spark = matrix.sparkSession
+    digest = selection.get("sample_ids_sha256")
+    provenance = {
+        "selection: not uniform without replacement": selection.get("method") != "uniform_without_replacement",
+        "selection: another seed": selection.get("seed") != seed,
+        "selection: no digest of ids": not isinstance(digest, str) or len(digest) != 64,
+    }
+    own = spark.createDataFrame([(fault,) for fault, found in provenance.items() if found], "fault string")
+    stages = spark.createDataFrame([(x,) for x in STAGES], f"{stage_col} string")
+    answered = predictions.filter(F.coalesce(F.btrim("response"), F.lit("")) != "").groupBy(stage_col).agg(F.count("*").alias("n"))
+    tables = {"matrix": matrix.select(stage_col, F.col("num_samples").alias("n")), "predictions": answered, "report": reports.select(stage_col, F.col("num_samples").alias("n"))}
+    for name, counts in tables.items():
+        each = stages.join(counts, stage_col, "left").filter(~F.col("n").eqNullSafe(F.lit(expected_records)))
+        own = own.unionByName(each.select(F.concat(F.col(stage_col), F.lit(f" {name}: "), F.coalesce(F.col("n").cast("string"), F.lit("no")), F.lit(" records")).alias("fault")))
+    extra = matrix.join(stages, stage_col, "left_anti").select(F.concat(F.col(stage_col), F.lit(": unknown stage")).alias("fault"))
+    return own.unionByName(extra)

@@ -144,7 +144,8 @@ def overprocessing_reward(p: Column, snr: Column) -> tuple[Column, Column]:
         return F.when(cuts(a), F.least(F.lit(0.5), (a["reduction_db"] - 18) / 24)).otherwise(0.0) + 0.25 * loud(a).cast("double") + 0.25 * high(a).cast("double")
 
     total = _sum(actions, lambda a: F.when(true(a["object"]), F.greatest(F.lit(0.0), F.coalesce(a["reduction_db"], F.lit(0.0)))).otherwise(0.0))
-    clean = true((snr >= 20) & (total > 12))
+    # Spark puts NaN above all numbers; here it is no high ratio
+    clean = true((snr >= 20) & ~F.isnan(snr.cast("double")) & (total > 12))
     penalty = _sum(actions, price) + F.when(total > 30, F.least(F.lit(0.5), (total - 30) / 30)).otherwise(0.0) + 0.25 * clean.cast("double")
 
     def say(a: Column, start: Column) -> Column:

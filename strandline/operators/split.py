@@ -8,13 +8,31 @@ from pyspark.sql import functions as F
 ASSIGNED = ("train", "eval", "test")
 
 
+def kth_hash(hashes: DataFrame, k: int, most: int = 10_000, digits: int = 3) -> str:
+    """The ``k``-th least of the hex strings ``h``.
+
+    Rows are counted by their first digits, which tells the group that the k-th lies in; only a group of at most
+    ``most`` rows is sorted, and a larger one is counted by some digits more. No task sorts a share of the table.
+    """
+    depth = 0
+    while True:
+        depth += digits
+        counts = hashes.groupBy(F.substring("h", 1, depth).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
+        for p, n in counts:
+            if k <= n:
+                break
+            k -= n
+        hashes = hashes.filter(F.col("h").startswith(p))
+        if n <= most or depth >= 64:
+            return hashes.orderBy("h").limit(k).agg(F.max("h")).first()[0]
+
+
 def deterministic_split(rows: DataFrame, seed: int, eval_ratio: float, id_col: str = "sample_id", split_col: str = "split") -> DataFrame:
     """``rows`` with every split assigned.
 
     Rows that are neither train, eval nor test are ranked by sha256 of ``seed:id``; as many of the first
     become eval as it takes to reach the share (half to even, one at least), the others train. One
-    aggregate gives the counts, and a bounded sort (top k) the ids; only the hash of the last chosen row
-    reaches the driver.
+    aggregate gives the counts, and counts by the first digits of the hash the last chosen row.
     """
     if not 0 <= eval_ratio < 1:
         raise ValueError("eval_ratio must be in [0, 1)")
@@ -29,7 +47,7 @@ def deterministic_split(rows: DataFrame, seed: int, eval_ratio: float, id_col: s
         chosen = F.lit(False)
     else:
         # ids are unique, so the hash of the k-th row parts the chosen from the others
-        last = rows.filter(open_row).select(rank.alias("h")).orderBy("h").limit(k).agg(F.max("h")).first()[0]
+        last = kth_hash(rows.filter(open_row).select(rank.alias("h")), k)
         chosen = rank <= last
     return rows.withColumn(split_col, F.when(~open_row, split).when(chosen, "eval").otherwise("train"))
 

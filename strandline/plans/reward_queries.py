@@ -181,9 +181,23 @@ def stage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stages(spark, sf_dir)
+    """The gate over all rows of the four stages, over a stage that lacks some, and over three stages."""
+    rows, out = _stages(spark, sf_dir), None
     n = bridge(spark, sf_dir).count()
-    return evaluate.release_gate(rows.groupBy("stage").agg(F.count("*").alias("num_samples")), n)
+    cases = {"whole": F.lit(True), "short": (F.col("stage") != "sft") | (F.col("k") % 17 != 0), "missing": F.col("stage") != "dpo"}
+    for case, kept in cases.items():
+        gate = evaluate.release_gate(rows.filter(kept).groupBy("stage").agg(F.count("*").alias("num_samples")), n).withColumn("variant", F.lit(case))
+        out = gate if out is None else out.unionByName(gate)
+    return out
+
+
+def release_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that keeps a release back whose dpo answers lack some rows, and whose sample was drawn with another seed."""
+    rows = _stages(spark, sf_dir)
+    counts = rows.groupBy("stage").agg(F.count("*").alias("num_samples"))
+    selection = {"method": "uniform_without_replacement", "seed": 7, "sample_ids_sha256": "0" * 64}
+    answers = rows.filter((F.col("stage") != "dpo") | (F.col("k") % 17 != 0)).withColumn("response", F.coalesce("response", F.lit("-")))
+    return evaluate.release_faults(counts, answers, counts.filter("stage <> 'base'"), selection, bridge(spark, sf_dir).count())
 
 
 def sample_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +235,7 @@ QUERIES = {
     "preference_from_labels": preference_from_labels,
     "stage_matrix": stage_matrix,
     "release_gate": release_gate,
+    "release_faults": release_faults,
     "sample_digest": sample_digest,
     "group_advantage": group_advantage,
 }
@@ -346,7 +361,17 @@ ORACLE_SQL = {
     "chat_normalize": "SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn, text) AS completion FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
     "preference_from_labels": "SELECT lang, CASE WHEN quality = 1 AND toxic = 0 THEN 'chosen' ELSE 'rejected' END AS side, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2",
     "stage_matrix": _stage_sql(),
-    "release_gate": "SELECT true AS stages_complete, true AS records_complete, true AS accepted",
+    "release_gate": _over(
+        """, gated AS (SELECT s.stage, v.kind, count(*) FILTER (v.kind <> 'short' OR s.stage <> 'sft' OR k % 17 <> 0) AS n FROM b,
+  (VALUES ('base'), ('sft'), ('dpo'), ('grpo')) s(stage), (VALUES ('whole'), ('short'), ('missing')) v(kind)
+  WHERE v.kind <> 'missing' OR s.stage <> 'dpo' GROUP BY s.stage, v.kind)
+SELECT kind AS variant, count(*) = 4 AS stages_complete, bool_and(n = (SELECT count(*) FROM b)) AS records_complete,
+       count(*) = 4 AND bool_and(n = (SELECT count(*) FROM b)) AS accepted FROM gated GROUP BY kind"""
+    ),
+    "release_faults": _over(
+        """SELECT 'selection: another seed' AS fault UNION ALL SELECT 'base report: no records'
+UNION ALL SELECT 'dpo predictions: ' || count(*) || ' records' FROM b WHERE k % 17 <> 0"""
+    ),
     "sample_digest": _over(
         "SELECT count(*)::INTEGER AS records, sha256(string_agg(sample_id, chr(10) ORDER BY event_id)) AS sample_ids_sha256 FROM (SELECT sample_id, event_id FROM b ORDER BY sha256('42:' || sample_id) LIMIT 200)"
     ),

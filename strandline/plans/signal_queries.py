@@ -48,11 +48,11 @@ def snr_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snr_mix_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each even vector mixed with the next one as noise, at 10 dB."""
+    """Each vector mixed with the next one as noise, at 10 dB; the last one has none."""
     rows = _waves(spark, sf_dir)
     noise = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("y").alias("noise"))
     mixed = waveforms.mix(F.col("y"), F.col("noise"), F.lit(10.0))
-    return rows.filter("vec_id % 2 = 0").join(noise, "vec_id").select("vec_id", F.round(waveforms.power(mixed), 5).alias("power"))
+    return rows.join(noise, "vec_id").select("vec_id", F.round(waveforms.power(mixed), 5).alias("power"))
 
 
 def _per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ ORACLE_SQL = {
     "snr_estimate": _Y
     + ", f AS (SELECT vec_id, unnest(list_transform(range(0, len(y) - 8, 8), lambda i: list_sum(list_transform(y[i + 1:i + 8], lambda x: x * x)))) AS e FROM w), q AS (SELECT vec_id, count(*) AS n, quantile_cont(e, 0.9) AS hi, quantile_cont(e, 0.1) AS lo FROM f WHERE e > 0 GROUP BY vec_id) SELECT vec_id, round(CASE WHEN n > 4 THEN greatest(3.0, least(30.0, 10 * log10(hi / (lo + 1e-9)))) ELSE 15.0 END, 5) AS snr_db FROM q",
     "snr_mix_power": _Y
-    + ", p AS (SELECT a.vec_id, a.y AS s, b.y AS n FROM w a JOIN w b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0), g AS (SELECT *, sqrt((list_sum(list_transform(s, lambda x: x * x)) / len(s)) / ((list_sum(list_transform(n, lambda x: x * x)) / len(n) + 1e-12) * 10)) AS g FROM p) SELECT vec_id, round(list_sum(list_transform(range(1, len(s) + 1), lambda i: pow(s[i] + g * n[i], 2))) / len(s), 5) AS power FROM g",
+    + ", p AS (SELECT a.vec_id, a.y AS s, b.y AS n FROM w a JOIN w b ON b.vec_id = a.vec_id + 1), g AS (SELECT *, sqrt((list_sum(list_transform(s, lambda x: x * x)) / len(s)) / ((list_sum(list_transform(n, lambda x: x * x)) / len(n) + 1e-12) * 10)) AS g FROM p) SELECT vec_id, round(list_sum(list_transform(range(1, len(s) + 1), lambda i: pow(s[i] + g * n[i], 2))) / len(s), 5) AS power FROM g",
     "utility_score": _U + "SELECT user_id, round((top + 0.05) / w, 6) AS utility FROM k",
     "closed_loop_decision": _U
     + f", g AS (SELECT user_id, {_move(-0.1)} AS g1, {_move(0.05)} AS g2, {_move(0.2)} AS g3 FROM k) SELECT user_id, CASE WHEN g1 >= 0.001 OR g2 >= 0.001 OR g3 >= 0.001 THEN 'accept' ELSE 'rollback' END AS decision, CASE WHEN g1 >= 0.001 THEN 1 WHEN g2 >= 0.001 THEN 2 ELSE 3 END AS n_attempts, round(CASE WHEN g1 >= 0.001 THEN g1 WHEN g2 >= 0.001 THEN g2 ELSE g3 END, 6) + 0.0 AS utility_gain, CASE WHEN g1 >= 0.001 THEN 'accept' WHEN g2 >= 0.001 THEN 'revise,accept' WHEN g3 >= 0.001 THEN 'revise,revise,accept' ELSE 'revise,revise,rollback' END AS steps FROM g",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import dsp, waveforms
 from strandline.operators import closed_loop, contracts, degradation, derive, evaluate, rewards, runs
-from strandline.operators.split import deterministic_split
+from strandline.operators.split import deterministic_split, kth_hash
 from strandline.plans import config
 from strandline.sources import audio, records
 
@@ -230,3 +230,38 @@ def test_pooled_frames(spark):
     got = spark.createDataFrame([(x.tolist(),), ([],)], "f array<array<float>>").select(waveforms.pooled_frames(F.col("f"), 2)).collect()
     assert np.array(got[0][0]).shape == (6, 4) and got[1][0] == []
     assert np.allclose(got[0][0], [x[i : i + 2].mean(axis=0) for i in range(0, 11, 2)])
+
+
+def test_last_chosen_hash(spark):
+    hashes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(500)]
+    frame = spark.createDataFrame([(h,) for h in hashes], "h string")
+    for k in (1, 37, 500):
+        assert kth_hash(frame, k, most=5, digits=1) == sorted(hashes)[k - 1]
+
+
+def test_repeated_predictions_and_numbers_that_are_none(spark):
+    ds = spark.createDataFrame([("a", "x"), ("b", "y")], "sample_id string, response string")
+    for rows, message in (([("a", "1"), ("a", "1")], "repeated prediction: a"), ([("a", None)], "without a response: a"), ([("", "1"), ("a", "2")], "without an id")):
+        preds = spark.createDataFrame(rows, "sample_id string, response string")
+        with pytest.raises(Exception, match=message):
+            evaluate.unique_predictions(preds).collect()
+    assert evaluate.coverage(ds, spark.createDataFrame([("a", "1"), ("a", "2")], "sample_id string, response string")).first()["dataset_samples"] == 2
+    config_of = {"training": {"stages": {"grpo": {"per_device_train_batch_size": 6, "num_generations": 4, "gradient_accumulation_steps": 3}}}}
+    plan = config.stage_plan(config_of, "grpo", {"train": 5, "eval": 0})
+    assert plan["effective_batch_size"] == 18 and plan["faults"] == ["grpo eval: empty", "grpo: batch not divisible by generations"]
+    answer = '{"diagnosis": {}, "actions": [{"type": "spectral_subtraction", "reduction_db": 15}], "confidence": 1, "rationale": "r"}'
+    parsed = spark.createDataFrame([(answer, float("nan")), (answer, 25.0)], "t string, snr double").select(rewards.parse_prescription("t").alias("p"), "snr")
+    got = parsed.select(rewards.overprocessing_reward(F.col("p"), F.col("snr"))[0].alias("r")).collect()
+    assert [r[0] for r in got] == [1.0, 0.75]
+    metric = "struct<si_sdr:double,stoi:double,pesq:double,dnsmos:double,wer:double,speaker_similarity:double>"
+    rows = spark.createDataFrame([((1.0, 0.5, 2.0, 2.0, 0.2, 0.5), [(float("nan"), 0.5, 2.0, 2.0, 0.2, 0.5)])], f"before {metric}, tries array<{metric}>")
+    assert rows.select(closed_loop.decide(F.col("before"), F.col("tries"), 0).alias("d")).first()["d"]["decision"] == "rollback"
+
+
+def test_release_faults(spark):
+    matrix = spark.createDataFrame([(s, 2) for s in evaluate.STAGES], "stage string, num_samples long")
+    answers = spark.createDataFrame([(s, "x") for s in evaluate.STAGES for _ in range(2)], "stage string, response string")
+    good = {"method": "uniform_without_replacement", "seed": 42, "sample_ids_sha256": "a" * 64}
+    assert evaluate.release_faults(matrix, answers, matrix, good, 2).count() == 0
+    faults = evaluate.release_faults(matrix.filter("stage <> 'dpo'"), answers.filter("stage <> 'sft'"), matrix, good | {"method": "first", "sample_ids_sha256": "a"}, 2).collect()
+    assert sorted(r[0] for r in faults) == ["dpo matrix: no records", "selection: no digest of ids", "selection: not uniform without replacement", "sft predictions: no records"]
