@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.bytetext import bytes_of, chunks, grouped, mix, shingle_sets
-from strandline.llm.components import connected_components
+from strandline.llm.components import connected_components, extended_components
 from strandline.plans.runtime import cut, discard
 
 BATCH = 32
@@ -248,8 +248,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
         apart = apart.join(labels.select(F.col("node").alias(name), F.col("label").alias(f"of_{name}")), name, "left")
     others = tested(apart.filter(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v"))
     if not others.isEmpty():
-        links = links.unionByName(_verified(others, nodes, base, size, percent, fan))
-        labels = connected_components(links)
+        labels = extended_components(labels, _verified(others, nodes, base, size, percent, fan))
     discard(stars, near, others)
 
     known = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
@@ -263,8 +262,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
         dealt = dealt.join(nodes.select("node", "n", "signature"), "node").repartition("task").sortWithinPartitions("task")
         more = cut(dealt.mapInArrow(_blocks_kept(bounds), "u long, v long").distinct(), "near")
         if not more.isEmpty():
-            found = _verified(more, nodes, base, size, percent, fan)
-            labels = connected_components(links.unionByName(found))
+            labels = extended_components(labels, _verified(more, nodes, base, size, percent, fan))
         discard(more)
     discard(rest, known, mixed)
 

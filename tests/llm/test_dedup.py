@@ -10,7 +10,7 @@ from oracle import SF
 from pyspark.sql import functions as F
 
 from strandline.llm import minhash_bayes, queries_dedup, suffix_levels
-from strandline.llm.components import connected_components
+from strandline.llm.components import connected_components, extended_components
 from strandline.plans.runtime import table
 
 
@@ -112,6 +112,19 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_extended_components_equal_those_of_all_edges(spark):
+    """New edges join components, leave some alone, reach new nodes, repeat and loop."""
+    old = [(2, 1), (3, 2), (11, 10), (12, 10), (21, 20)]
+    new = [(12, 3), (30, 21), (31, 30), (12, 3), (2, 3), (41, 40), (50, 50)]
+    edges = "u long, v long"
+    labels = connected_components(spark.createDataFrame(old, edges))
+    got = sorted(map(tuple, extended_components(labels, spark.createDataFrame(new, edges)).collect()))
+    want = sorted(map(tuple, connected_components(spark.createDataFrame(old + new, edges)).collect()))
+    assert got == want
+    assert dict(got) == {n: 1 for n in (1, 2, 3, 10, 11, 12)} | {n: 20 for n in (20, 21, 30, 31)} | {40: 40, 41: 40}
+    assert sorted(map(tuple, extended_components(labels, spark.createDataFrame([], edges)).collect())) == sorted(map(tuple, labels.collect()))
+
+
 def brute_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
