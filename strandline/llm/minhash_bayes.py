@@ -9,9 +9,11 @@
    signatures agree more than by chance; that keeps pairs, and loses none.) Survivors are verified on their full
    sets: texts travel for survivors only, and those of one hub are dealt over tasks by ``fan`` at a time.
 3. Verified links have connected components. A bucket is settled if all its members but the hub are in one of
-   them. In the others, members of different components are compared by their signatures, in pairs of blocks of
-   ``block`` nodes, one task each, and survivors are verified like those of hubs. So each candidate pair has been
-   compared, or is connected without it; none is emitted unless it survives.
+   them. In the others, members of different components are compared in pairs of blocks, one task each, of ``block``
+   nodes and ``block_bytes`` of sets at most on average; a pair that shares several buckets counts in the first of
+   them. The signatures come first. What leaves a task is not the pairs that pass, whose number can grow with the square of a group,
+   but their nodes; the same tasks are run on those again, with their full sets, and give the links
+   that connect what was not connected yet. So each candidate pair has been compared, or is connected without it.
 
 Nulls and texts without words have no set and are linked with nothing. Rows with the same id are judged row by
 row, by their texts. Ties are settled by the least id. Columns besides the id and the text are not read,
@@ -144,26 +146,72 @@ def _pairs_kept(bounds: Bounds):
     return run
 
 
+def _across(rows: pa.Table, label: np.ndarray, bounds: Bounds) -> Iterator[tuple[int, np.ndarray]]:
+    """Row i of a task and later rows that pass the sequential test with it: of other labels, of another block if there are two, and
+    in no bucket before that both share. ``label`` may be changed between the steps."""
+    own, size, bucket = (rows.column(c).to_numpy() for c in ("own", "n", "bucket"))
+    values = _values(rows.column("signature").combine_chunks())
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(label), -1)
+    two = len(np.unique(own)) > 1
+    for i in range(len(label) - 1):
+        other = label[i + 1 :] != label[i]
+        if two:
+            other &= own[i + 1 :] != own[i]
+        j = np.flatnonzero(other) + i + 1
+        j = j[bounds.keeps(values[i : i + 1], values[j], size[i], size[j])]
+        j = j[bands[i, (bands[j] == bands[i]).argmax(axis=1)] == bucket[i]]
+        if len(j):
+            yield i, j
+
+
 def _blocks_kept(bounds: Bounds):
-    """The pairs of different components within each task that pass the sequential test; in a task of two blocks, one of each."""
+    """The rows (task, node, label, own, bucket) of each task that pass the sequential test with any other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, "task"):
-            node, label, own, size = (rows.column(c).to_numpy() for c in ("node", "label", "own", "n"))
-            values = _values(rows.column("signature").combine_chunks())
-            two = len(np.unique(own)) > 1
+            kept = np.zeros(len(rows), bool)
+            for i, j in _across(rows, rows.column("label").to_numpy(), bounds):
+                kept[i] = True
+                kept[j] = True
+            yield from rows.select(["task", "node", "label", "own", "bucket"]).filter(pa.array(kept)).to_batches()
+
+    return run
+
+
+def _blocks_linked(bounds: Bounds, percent: int):
+    """Links (u, v) by the full sets of each task's rows; one for each two groups that they connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "task"):
+            node = rows.column("node").to_numpy()
+            _, label = np.unique(rows.column("label").to_numpy(), return_inverse=True)
+            data, offsets = bytes_of(rows.column("set"))
+            data, starts, sizes = data.view(np.uint64), offsets[:-1] // 8, np.diff(offsets) // 8
             us, vs = [], []
-            for i in range(len(node) - 1):
-                other = label[i + 1 :] != label[i]
-                if two:
-                    other &= own[i + 1 :] != own[i]
-                j = np.flatnonzero(other) + i + 1
-                j = j[bounds.keeps(values[i : i + 1], values[j], size[i], size[j])]
-                us.append(np.full(len(j), node[i]))
-                vs.append(node[j])
+            for i, j in _across(rows, label, bounds):
+                mine = data[starts[i] : starts[i] + sizes[i]]
+                theirs = np.concatenate([data[starts[k] : starts[k] + sizes[k]] for k in j])
+                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[j]) - sizes[j])
+                j = j[100 * both >= percent * (sizes[i] + sizes[j] - both)]
+                groups, first = np.unique(label[j], return_index=True)
+                label[np.isin(label, groups)] = label[i]
+                us.append(np.maximum(node[i], node[j[first]]))
+                vs.append(np.minimum(node[i], node[j[first]]))
             if us:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    return run
+
+
+def _setter(size: int):
+    """The sets of texts, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                sets = pa.array([s.tobytes() for s in shingle_sets(part.column("text"), size)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("node"), sets], names=["node", "set"])
 
     return run
 
@@ -198,11 +246,16 @@ def _verifier(size: int, percent: int):
     return verify
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """(node, text) of the distinct nodes of ``wanted``."""
+    wanted = wanted.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    wanted = wanted.select("node", F.col("rep.id").alias("id"), F.col("rep.h").alias("h"))
+    return base.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "text").join(wanted, ["h", "id"]).groupBy("node").agg(F.first("text").alias("text"))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, size: int, percent: int, fan: int) -> DataFrame:
     """Those of ``pairs`` (u, v) that are linked by their full sets."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    wanted = wanted.select("node", F.col("rep.id").alias("id"), F.col("rep.h").alias("h"))
-    texts = cut(base.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "text").join(wanted, ["h", "id"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = cut(_texts(pairs.select(F.explode(F.array("u", "v")).alias("node")), nodes, base), "texts")
     hubs = cut(pairs.groupBy("v").agg(F.ceil(F.count("*") / fan).cast("int").alias("salts")), "hubs")
     salt = F.pmod(F.xxhash64("u"), F.col("salts")).cast("int")
     members = pairs.join(hubs, "v").select(F.xxhash64("v", salt).alias("task"), F.lit(True).alias("member"), F.col("u").alias("node"))
@@ -215,7 +268,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, size: int, pe
     return links
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, rows: int, miss: float, block: int, fan: int) -> DataFrame:
+def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, rows: int, miss: float, block: int, fan: int, block_bytes: int) -> DataFrame:
     """doc_id, h (hash of the text), n_shingles, component_id and label (of its class; null without a set) of every row."""
     bands = bands_for(percent, rows, miss)
     bounds = Bounds(percent, bands * rows // BATCH * BATCH, miss)
@@ -229,7 +282,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     sets = sets.agg(rep.alias("rep"), *[F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("bands", "bands"), ("signature", "signature"))])
     nodes = cut(sets.withColumn("node", F.xxhash64("set_key")), "nodes")
 
-    slots = nodes.select("node", F.explode("bands").alias("bucket"))
+    slots = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     hubs = slots.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("bucket", "hub")
     rest = cut(slots.join(hubs, "bucket").filter("node <> hub"), "slots")
     stars = cut(rest.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "stars")
@@ -251,19 +304,25 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
         labels = extended_components(labels, _verified(others, nodes, base, size, percent, fan))
     discard(stars, near, others)
 
-    known = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    known = rest.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
     known = cut(known, "known")
-    mixed = known.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+    n_blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") * 8 / block_bytes)).cast("int")
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), n_blocks.alias("n_blocks"))
     mixed = cut(mixed.filter("a <> b").select("bucket", "n_blocks"), "mixed")
     if not mixed.isEmpty():
         own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("n_blocks")).cast("int")
         dealt = known.join(mixed, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "label", "own")
-        dealt = dealt.join(nodes.select("node", "n", "signature"), "node").repartition("task").sortWithinPartitions("task")
-        more = cut(dealt.mapInArrow(_blocks_kept(bounds), "u long, v long").distinct(), "near")
-        if not more.isEmpty():
-            labels = extended_components(labels, _verified(more, nodes, base, size, percent, fan))
-        discard(more)
+        dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "label", "own", "bucket")
+        dealt = dealt.join(nodes.select("node", "n", "signature", "bands"), "node").repartition("task").sortWithinPartitions("task")
+        near = cut(dealt.mapInArrow(_blocks_kept(bounds), "task long, node long, label long, own int, bucket long"), "near")
+        if not near.isEmpty():
+            sets = cut(_texts(near, nodes, base).mapInArrow(_setter(size), "node long, set binary"), "sets")
+            dealt = near.join(nodes.select("node", "n", "signature", "bands"), "node").join(sets, "node")
+            dealt = dealt.repartition("task").sortWithinPartitions("task")
+            more = cut(dealt.mapInArrow(_blocks_linked(bounds, percent), "u long, v long"), "links")
+            labels = extended_components(labels, more)
+            discard(sets, more)
+        discard(near)
     discard(rest, known, mixed)
 
     ids = nodes.select("set_key", "node", F.when(~F.col("rep.none"), F.col("rep.id")).alias("id"))
@@ -284,6 +343,7 @@ def near_duplicate_classes(
     miss: float = 1e-5,
     block: int = 2048,
     fan: int = 256,
+    block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -292,7 +352,7 @@ def near_duplicate_classes(
     id, component_id is null and all are kept. ``miss`` bounds the chance that banding, and again that the
     posterior bound, loses a linked pair.
     """
-    out = _labelled(docs, id_col, text_col, shingle_words, percent, rows, miss, block, fan)
+    out = _labelled(docs, id_col, text_col, shingle_words, percent, rows, miss, block, fan, block_bytes)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -306,13 +366,14 @@ def drop_near_duplicates(
     miss: float = 1e-5,
     block: int = 2048,
     fan: int = 256,
+    block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """``docs`` with one row of each class of near duplicates, the one with the least id; of repeated rows one.
 
     A row without an id stays for its class only if no row of it has an id. Rows without words all stay.
     """
     own, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
-    labelled = _labelled(docs, id_col, text_col, shingle_words, percent, rows, miss, block, fan).filter("label is not null")
+    labelled = _labelled(docs, id_col, text_col, shingle_words, percent, rows, miss, block, fan, block_bytes).filter("label is not null")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("h")))
     kept = cut(labelled.groupBy("label").agg(best.alias("b")).select("b.*"), "kept")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)).alias("worded"))

@@ -53,6 +53,61 @@ def test_classes_equal_brute_force(spark, hard, k, percent, rows, block, fan):
     assert sorted(loose, key=str) == [(11, False), (None, True)]
 
 
+def near_copies(n):
+    """Texts of 60 words with one or two own words each: some pairs reach 0.85 on three-word shingles, most do not."""
+    base = [f"w{i}" for i in range(60)]
+    out = []
+    for i in range(n):
+        ws = list(base)
+        for place in ((7 * i) % 60, (11 * i + 3) % 60)[: 1 + i % 2]:
+            ws[place] = f"own{i}x{place}"
+        out.append((i, " ".join(ws)))
+    return out
+
+
+@pytest.mark.parametrize(("block", "block_bytes"), [(2048, 8 << 20), (7, 8 << 20), (2048, 2000)])
+def test_near_copies_around_the_threshold_equal_brute_force(spark, block, block_bytes):
+    """Blocks by number and by bytes give the same classes; a class does not depend on which of its pairs were compared."""
+    rows = near_copies(120) + [(1000 + i, " ".join(f"v{(i // 3) * 50 + j}" for j in range(40))) for i in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows, 3, 85)
+    got = minhash_bayes.near_duplicate_classes(frame, shingle_words=3, percent=85, rows=8, block=block, block_bytes=block_bytes).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_blocks_give_a_forest_of_links():
+    """Forty sets that are all linked, in one bucket: 39 links leave the task, not 780; between equal labels none."""
+    n, percent = 40, 85
+    sets = [np.sort(np.append(minhash_bayes.mix(np.arange(300, dtype=np.uint64)), np.uint64(i))) for i in range(n)]
+    values = minhash_bayes.minhash(sets, 32, 1)
+    bands = np.ones((n, 4), np.int64)
+    bounds = minhash_bayes.Bounds(percent, 32, 1e-5)
+
+    def batch(labels, own):
+        columns = {
+            "task": pa.array([1] * n, pa.int64()),
+            "node": pa.array(range(n), pa.int64()),
+            "label": pa.array(labels, pa.int64()),
+            "own": pa.array(own, pa.int32()),
+            "bucket": pa.array([1] * n, pa.int64()),
+            "n": pa.array([len(s) for s in sets], pa.int64()),
+            "signature": pa.array([v.astype(np.uint16).tobytes() for v in values], pa.binary()),
+            "bands": pa.array(bands.tolist(), pa.list_(pa.int64())),
+            "set": pa.array([s.tobytes() for s in sets], pa.binary()),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+    def links(labels, own=(0,) * n):
+        return [pair for b in minhash_bayes._blocks_linked(bounds, percent)(iter([batch(labels, own)])) for pair in zip(*b.to_pydict().values(), strict=True)]
+
+    assert len(links(range(n))) == n - 1 == len({u for u, _ in links(range(n))})
+    assert not links([5] * n)
+    assert len(links([i % 3 for i in range(n)])) == 2
+    assert len(links(range(n), [i % 2 for i in range(n)])) == n - 1
+    kept = pa.Table.from_batches(minhash_bayes._blocks_kept(bounds)(iter([batch(range(n), (0,) * n)])))
+    assert kept.column("node").to_pylist() == list(range(n))
+
+
 def test_query_equals_brute_force(spark):
     want = brute_classes([tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text").collect()], 3, 85)
     for r in queries_dedup.op1_minhash_bayes(spark, SF).collect():
