@@ -57,7 +57,7 @@ def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("response", response_text(k, F.col("noise_type")))
 
 
-BRIDGE_SQL = r"""
+CONTEXT_SQL = r"""
 e AS (SELECT event_id, event_type, value, regexp_extract(props, '"k": *(\d+)', 1)::INTEGER AS k FROM events),
 b0 AS (SELECT 'ev-' || lpad(event_id::VARCHAR, 8, '0') AS sample_id, event_id, k,
   CASE WHEN k % 10 = 0 THEN 'eval' WHEN k % 10 = 1 THEN 'test' WHEN k % 10 <= 4 THEN 'train' ELSE 'unassigned' END AS split,
@@ -67,7 +67,8 @@ b0 AS (SELECT 'ev-' || lpad(event_id::VARCHAR, 8, '0') AS sample_id, event_id, k
   k % 5 = 0 AS banded,
   CASE WHEN k % 25 = 24 THEN 100 WHEN k % 3 = 0 THEN 8000 WHEN k % 3 = 1 THEN 16000 ELSE 48000 END::BIGINT AS sample_rate,
   CASE WHEN k % 7 <> 0 THEN round(value / 10, 3) END AS duration_seconds FROM e),
-b AS (SELECT *, k % 13 <> 0 AS ok,
+"""
+RULES_SQL = r"""b AS (SELECT *, k % 13 <> 0 AS ok,
   CASE k % 6 WHEN 1 THEN '' WHEN 2 THEN 'white' WHEN 3 THEN noise_type || ' noise' WHEN 4 THEN 'pink' ELSE noise_type END AS guess,
   CASE k % 3 WHEN 0 THEN 'highpass' WHEN 1 THEN 'dereverb' ELSE 'equalizer' END AS kind,
   CASE WHEN k % 19 = 0 THEN 0 WHEN k % 23 = 0 THEN -1 WHEN k % 4 = 3 THEN 2 ELSE 1 END AS n_act,
@@ -91,3 +92,4 @@ c AS (SELECT *,
        - 0.25 * coalesce(snr_db >= 20 AND red + 14 * (n_act = 2)::INT > 12, false)::INT) END::DOUBLE AS overprocessing FROM b),
 s AS (SELECT *, round_even((format + diagnosis + parameter_bounds + consistency + overprocessing) / 5, 6) AS total FROM c)
 """
+BRIDGE_SQL = CONTEXT_SQL + RULES_SQL

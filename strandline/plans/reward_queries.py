@@ -9,7 +9,7 @@ from strandline.operators import contracts, derive, evaluate
 from strandline.operators.degradation import group_advantages
 from strandline.operators.rewards import COMPONENTS, score
 from strandline.operators.split import deterministic_split, split_counts
-from strandline.plans.bridge import BRIDGE_SQL, bridge, response_text
+from strandline.plans.bridge import BRIDGE_SQL, CONTEXT_SQL, RULES_SQL, bridge, response_text
 from strandline.plans.runtime import table
 
 
@@ -177,7 +177,7 @@ def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.stage_matrix(score(_stages(spark, sf_dir))).select("stage", "num_samples", "valid_json_rate", "format", "diagnosis", "parameter_bounds")
+    return evaluate.stage_matrix(score(_stages(spark, sf_dir)))
 
 
 def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,25 +294,10 @@ x AS (SELECT *, '{"actions":[{' || act || '}],"confidence":0.8,' || diag || ',"r
 _JOINED = ", p AS (SELECT sample_id FROM b WHERE event_id % 2 = 0 UNION ALL SELECT 'zz-' || sample_id FROM b WHERE event_id % 100 = 3)\n"
 def _stage_sql() -> str:
     """The bridge for four stages: answers follow the moved number, contexts the row's own."""
-    return r"""
-WITH e AS (SELECT event_id, event_type, value, regexp_extract(props, '"k": *(\d+)', 1)::INTEGER AS k0 FROM events),
-m AS (SELECT stage, (k0 + move) % 100 AS k, CASE WHEN k0 % 4 = 1 THEN 0.0 WHEN k0 % 4 > 1 THEN k0 / 200.0 END::DOUBLE AS reverb_rt60,
-  CASE event_type WHEN 'signup' THEN 'white' WHEN 'purchase' THEN 'pink' WHEN 'view' THEN 'hvac' WHEN 'click' THEN 'cafe' ELSE 'unknown' END AS noise_type
-  FROM e, (VALUES ('base', 7), ('sft', 3), ('dpo', 1), ('grpo', 0)) st(stage, move)),
-b AS (SELECT *, k % 13 <> 0 AS ok,
-  CASE k % 6 WHEN 1 THEN '' WHEN 2 THEN 'white' WHEN 3 THEN noise_type || ' noise' WHEN 4 THEN 'pink' ELSE noise_type END AS guess,
-  CASE WHEN k % 19 = 0 THEN 0 WHEN k % 23 = 0 THEN -1 WHEN k % 4 = 3 THEN 2 ELSE 1 END AS n_act,
-  k * 4 / 10.0 AS red, (k - 50) * 5 / 10.0 AS gain, k * 5 AS low, 7600 - k * 80 AS high, k * 125 / 10000.0 AS conf FROM m),
-c AS (SELECT stage, ok,
-  CASE WHEN NOT ok THEN 0.0 WHEN k % 17 = 0 THEN 0.75 WHEN n_act = 0 THEN 0.5 WHEN conf > 1 THEN 0.75 ELSE 1.0 END::DOUBLE AS format,
-  CASE WHEN NOT ok THEN 0.0 ELSE (CASE WHEN guess = noise_type THEN 1.0 WHEN contains(guess, noise_type) OR contains(noise_type, guess) THEN 0.75 ELSE 0.0 END)
-       * CASE WHEN (reverb_rt60 <> 0) <> (k % 3 = 0) THEN 0.75 ELSE 1.0 END END::DOUBLE AS diagnosis,
-  CASE WHEN NOT ok OR n_act <= 0 THEN 0.0 ELSE
-       ((red <= 24)::INT + (gain BETWEEN -24 AND 6)::INT + (low <= 20000)::INT + (high BETWEEN 20 AND 24000)::INT + (low < high)::INT + (n_act = 2)::INT)
-       / (5.0 + (n_act = 2)::INT) END::DOUBLE AS parameter_bounds FROM b)
-SELECT stage, count(*) AS num_samples, round_even(avg(ok::INT), 6) AS valid_json_rate, round_even(avg(format), 6) AS format,
-       round_even(avg(diagnosis), 6) AS diagnosis, round_even(avg(parameter_bounds), 6) AS parameter_bounds FROM c GROUP BY stage
-"""
+    moves = ", ".join(f"('{stage}', {move})" for stage, move in STAGES.items())
+    moved = f"moved AS (SELECT * REPLACE ((k + move) % 100 AS k) FROM b0, (VALUES {moves}) st(stage, move)),"
+    means = f"SELECT stage, count(*) AS num_samples, {_MEANS}, round_even(avg(total), 6) AS total FROM s GROUP BY stage"
+    return f"WITH {CONTEXT_SQL}{moved}\n{RULES_SQL.replace('FROM b0', 'FROM moved')}{means}"
 
 
 ORACLE_SQL = {
