@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.byte_gru import identify
 from strandline.llm.host_rules import host_verdicts
 from strandline.llm.pii_bootstrap import KINDS, personal_data
+from strandline.llm.pu_quality import quality_scores
 from strandline.plans.runtime import table
 
 
@@ -32,6 +33,17 @@ def op7_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined["base"], 256).alias("base_sha256"), joined["spans"].alias("spans"))
 
 
+def op11_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document; a third of the ids, by checksum, is held out of training."""
+
+    def held_out(doc_id: Column) -> Column:
+        return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_scores(docs, labels, lambda i: ~held_out(i), keep=["doc_id", "held_out"])
+
+
 HOST_RULES_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -64,5 +76,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """
 
-QUERIES = {"op6_byte_gru": op6_byte_gru, "op7_pii_bootstrap": op7_pii_bootstrap, "op8_host_rules": op8_host_rules}
+QUERIES = {"op6_byte_gru": op6_byte_gru, "op7_pii_bootstrap": op7_pii_bootstrap, "op8_host_rules": op8_host_rules, "op11_pu_quality": op11_pu_quality}
 ORACLE_SQL = {"op8_host_rules": HOST_RULES_SQL}
