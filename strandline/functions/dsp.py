@@ -26,16 +26,41 @@ def normalized(y: np.ndarray, to: float = 1.0) -> np.ndarray:
     return y * (to / top) if top > 0 else y
 
 
+def gated(y: np.ndarray, quantile: float) -> np.ndarray:
+    spectrum = np.fft.rfft(y)
+    size = np.abs(spectrum)
+    return np.clip(np.fft.irfft(np.where(size < np.quantile(size, quantile), 0, spectrum), n=len(y)), -1, 1)
+
+
+#: What each kind of action makes of a waveform, given its value.
+ACTIONS: dict[str, Callable[[np.ndarray, float], np.ndarray]] = {
+    "gain": lambda y, value: np.clip(y * value, -1, 1),
+    "dc_remove": lambda y, _: y - y.mean(),
+    "spectral_gate": gated,
+}
+
+
+def acted(y: np.ndarray, plan: list[tuple[str, float]]) -> np.ndarray:
+    """The waveform after the actions of a plan, in order, rounded to single precision after each."""
+    for kind, value in plan:
+        y = ACTIONS[kind](np.asarray(y, np.float64), value).astype(np.float32)
+    return y
+
+
+def execute_plan(y: Column, plan: Column) -> Column:
+    """The waveform after a plan that is a column, an array of (kind, value); each row has its own."""
+
+    def run(waves: pd.Series, kinds: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None or k is None else acted(w, list(zip(k, v, strict=True))) if len(w) else w for w, k, v in zip(waves, kinds, values, strict=True)])
+
+    return F.pandas_udf(run, WAVE)(y, F.transform(plan, lambda a: a["kind"]), F.transform(plan, lambda a: F.coalesce(a["value"], F.lit(0.0)).cast("double")))
+
+
 def spectral_gate(y: Column, quantile: float) -> Column:
     """The waveform without the frequencies whose magnitude is under a quantile, clipped to [-1, 1]."""
 
-    def gate(y: np.ndarray, _: int) -> np.ndarray:
-        spectrum = np.fft.rfft(y)
-        size = np.abs(spectrum)
-        return np.clip(np.fft.irfft(np.where(size < np.quantile(size, quantile), 0, spectrum), n=len(y)), -1, 1)
-
     def run(values: pd.Series) -> pd.Series:
-        return _each(values, gate)
+        return _each(values, lambda y, _: gated(y, quantile))
 
     return F.pandas_udf(run, WAVE)(y)
 

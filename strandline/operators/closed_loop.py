@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import dsp, waveforms
+from strandline.plans.runtime import cut
 
 #: Weight of each metric, and its value between 0 and 1 (fixed values of the utility).
 WEIGHTS = {"si_sdr": 0.25, "stoi": 0.20, "pesq": 0.15, "dnsmos": 0.15, "wer": 0.15, "speaker_similarity": 0.10}
 MAX_ACTIONS = 8
+PLAN = "array<struct<kind:string,value:double>>"
 
 
 def _unit(x: Column) -> Column:
@@ -38,11 +40,12 @@ def utility(metrics: Column) -> Column:
 
 def plan_violations(plan: Column) -> Column:
     """Faults of a plan, an array of (kind, value)."""
+    unknown = F.exists(plan, lambda a: ~F.coalesce(a["kind"].isin(*dsp.ACTIONS), F.lit(False)))
     value_bad = F.exists(plan, lambda a: F.isnan(a["value"]) | (F.abs(a["value"]) == float("inf")))
     gain_bad = F.exists(plan, lambda a: (a["kind"] == "gain") & ~a["value"].between(0, 4))
     gate_bad = F.exists(plan, lambda a: (a["kind"] == "spectral_gate") & ~a["value"].between(0, 1))
     size = F.coalesce(F.size(plan), F.lit(0))
-    checks = ((size < 1, "plan: empty"), (size > MAX_ACTIONS, "plan: too long"), (value_bad, "action: not finite"), (gain_bad, "gain: outside [0, 4]"), (gate_bad, "gate: outside [0, 1]"))
+    checks = ((size < 1, "plan: empty"), (unknown, "action: unknown kind"), (size > MAX_ACTIONS, "plan: too long"), (value_bad, "action: not finite"), (gain_bad, "gain: outside [0, 4]"), (gate_bad, "gate: outside [0, 1]"))
     return F.filter(F.array(*[F.when(c, F.lit(m)) for c, m in checks]), lambda x: x.isNotNull())
 
 
@@ -98,3 +101,53 @@ def run_loop(rows: DataFrame, audio_col: str, plans: list[list[tuple[str, float]
         last.alias("candidate_audio"),
         F.col("__loop").alias("loop"),
     )
+
+
+def enhance(
+    rows: DataFrame,
+    audio_col: str,
+    plan_col: str,
+    measure: Callable[[Column], Column],
+    reviser: Callable[[Column, Column, Column], Column] | None = None,
+    max_revisions: int = 0,
+    min_gain: float = 0.0,
+    executor: Callable[[Column, Column], Column] = dsp.execute_plan,
+) -> DataFrame:
+    """``rows`` with kept_audio, candidate_audio, before, after, utility_gain, decision and attempts of the loop.
+
+    Every row brings its own plan, an array of (kind, value). Round by round the plan of each open row is executed on the source
+    and measured. A row is accepted at the first gain of ``min_gain`` or more; else ``reviser`` (plan, before, after) gives the next
+    plan, and none (null), or ``max_revisions`` revisions, roll it back. Later rounds read open rows only, so attempts that are not made are not computed;
+    each round is written once. A gain that is no number is none. A plan with faults, a null or empty waveform, or a measurement
+    without any metric ends the job with an error.
+    """
+    if max_revisions < 0:
+        raise ValueError("max_revisions cannot be negative")
+
+    def sound(plan: Column) -> Column:
+        faults = plan_violations(plan)
+        return F.when(F.size(faults) > 0, F.raise_error(F.array_join(faults, "; ")).cast(PLAN)).otherwise(plan)
+
+    audio = F.when(F.size(F.col(audio_col)) > 0, F.col(audio_col)).otherwise(F.raise_error(F.lit("audio must be a non-empty mono waveform")).cast(dsp.WAVE))
+    going = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), audio.alias("audio"), F.col(plan_col).cast(PLAN).alias("plan"))
+    going = going.withColumn("before", measure(F.col("audio")))
+    done = None
+    for at in range(max_revisions + 1):
+        tried = going.withColumn("plan", sound(F.col("plan")))
+        tried = tried.withColumn("candidate", executor(F.col("audio"), F.col("plan")))
+        tried = tried.withColumn("after", measure(F.col("candidate")))
+        scores = [F.coalesce(utility(F.col(c)), F.raise_error(F.lit("no objective metric")).cast("double")) for c in ("after", "before")]
+        tried = tried.withColumn("gain", scores[0] - scores[1])
+        revised = reviser(F.col("plan"), F.col("before"), F.col("after")) if reviser and at < max_revisions else F.lit(None)
+        tried = tried.withColumn("next", revised.cast(PLAN))
+        accepted = (F.col("gain") >= min_gain) & ~F.isnan("gain")
+        tried = tried.withColumn("decision", F.when(accepted, "accept").when(F.col("next").isNull(), "rollback").otherwise("revise"))
+        attempt = F.array(F.struct("plan", F.col("after").alias("metrics"), F.col("gain").alias("utility_gain"), "decision"))
+        tried = cut(tried.withColumn("attempts", attempt if done is None else F.concat("attempts", attempt)), "attempts")
+        ended = tried.filter("decision <> 'revise'")
+        done = ended if done is None else done.unionByName(ended)
+        going = tried.filter("decision = 'revise'").select("row", "audio", F.col("next").alias("plan"), "before", "attempts")
+        if at == max_revisions or going.isEmpty():
+            break
+    kept = F.when(F.col("decision") == "accept", F.col("candidate")).otherwise(F.col("audio"))
+    return done.select("row.*", kept.alias("kept_audio"), F.col("candidate").alias("candidate_audio"), "before", "after", F.col("gain").alias("utility_gain"), "decision", "attempts")
