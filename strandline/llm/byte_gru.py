@@ -13,7 +13,6 @@ Repeated rows get equal results. Only the text is an input of a prediction; othe
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,6 @@ from strandline.plans.runtime import cut, join_small
 
 WIDTH = 64
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _WEIGHT = np.array([float(chr(b).isalpha() if b < 128 else 1) for b in range(256)], np.float32)
 
 
@@ -246,7 +244,7 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole):
-                lettered = [t is not None and _LETTER.search(t) is not None for t in batch.column("text").to_pylist()]
+                lettered = [any(map(str.isalpha, t or "")) for t in batch.column("text").to_pylist()]
                 if net is None:
                     pred = [langs[0] if ok and langs else UND for ok in lettered]
                     score = [float(ok and bool(langs)) for ok in lettered]

@@ -9,8 +9,8 @@ A text is a row of words and signs: words end at spaces, at signs (: = quotes br
 follow them, and, if there are such signs, the last word with them alone (token = "). Patterns are taken from seeds
 and candidates, and counted over all words of the corpus, by the same rule.
 
-Spark then scores the graph of patterns and instances in rounds: a pattern scores by the share of all its occurrences
-in the corpus, whatever word follows, that lead to a believed instance, and an instance by the patterns that hold it
+Spark then scores the graph of patterns and instances in rounds, until nothing changes: a pattern scores by the share of all its occurrences
+in the corpus, whatever word follows, that lead to a believed instance (a candidate that is not believed counts less against it than a plain word), and an instance by the patterns that hold it
 (noisy or). Patterns that reach ``min_score`` with ``min_support`` distinct believed instances make spans of the kind ``id``
 of what follows them and is no base span. So words that stand before anything, like articles, are never patterns.
 
@@ -127,20 +127,19 @@ def named(before: str, last: str, signs: str) -> list[str]:
     return [*long, f"{last} {signs}"] if signs else long
 
 
-def _patterns(text: str, start: int) -> list[str]:
-    """The patterns before a place; none inside a word. Signs and white space end words, so reading back to the second run before it will do."""
-    at = start
-    while at and text[at - 1] not in _BREAKS:
-        at -= 1
-    if at < start and not any(m.start() == start for m in _TOKEN.finditer(text, at, start + 1)):
-        return []
-    for _ in range(2):
-        while at and text[at - 1] in _BREAKS:
-            at -= 1
-        while at and text[at - 1] not in _BREAKS:
-            at -= 1
-    tokens = [folded(w) for w in _TOKEN.findall(text, at, start)]
-    return next((named(*p) for p in [*patterns_of([*tokens, "x"])][-1:]), [])
+def contexts(text: str, starts: set[int]) -> dict[int, list[str]]:
+    """The patterns before each of the places ``starts`` at which a word begins; one reading of the text."""
+    out: dict[int, list[str]] = {}
+    before = last = ""
+    signs: list[str] = []
+    for m in _TOKEN.finditer(text):
+        if m[0] in _SIGNS:
+            signs.append(m[0])
+            continue
+        if last and m.start() in starts:
+            out[m.start()] = named(folded(before), folded(last), "".join(signs))
+        before, last, signs = last, m[0], []
+    return out
 
 
 def candidates(text: str, spans: list[tuple[int, int, str, int]]) -> list[dict]:
@@ -148,7 +147,7 @@ def candidates(text: str, spans: list[tuple[int, int, str, int]]) -> list[dict]:
 
     def found(a: int, b: int, seed: bool, base: bool) -> dict:
         value = hashlib.md5(text[a:b].lower().encode(), usedforsecurity=False).digest()
-        return {"start": a, "stop": b, "value": value, "patterns": _patterns(text, a), "seed": seed, "base": base}
+        return {"start": a, "stop": b, "value": value, "patterns": [], "seed": seed, "base": base}
 
     out = [found(a, b, True, True) for a, _, _, b in spans]
     by_start, k = sorted((a, b) for a, _, _, b in spans), 0
@@ -165,6 +164,9 @@ def candidates(text: str, spans: list[tuple[int, int, str, int]]) -> list[dict]:
         word = text[start:end]
         if "@" in word or len(_NOT_DIGIT.sub("", word)) >= 4:
             out.append(found(start, end, _KEY.fullmatch(word.lower()) is not None, False))
+    patterns = contexts(text, {c["start"] for c in out}) if out else {}
+    for c in out:
+        c["patterns"] = patterns.get(c["start"], [])
     return out
 
 
@@ -236,21 +238,37 @@ def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") ->
     return counted.groupBy("pattern").agg(F.sum("n").alias("n")).join(patterns, "pattern", "left_semi")
 
 
-def trusted_patterns(edges: DataFrame, totals: DataFrame, rounds: int = 3, min_score: float = 0.5, min_support: int = 3) -> DataFrame:
-    """Patterns worth trusting, from (pattern, value, seed, n) of all instances and the patterns' own totals."""
-    known = edges.join(totals.withColumnRenamed("n", "total"), "pattern")
-    seeds = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("belief"))
-    believed, patterns = seeds, None
-    for _ in range(rounds):
-        scored = known.join(believed, "value").groupBy("pattern").agg(
-            F.least(F.sum(F.col("belief") * F.col("n")) / F.first("total"), F.lit(1.0)).alias("score"), F.count_if(F.col("belief") >= min_score).alias("support")
+def trusted_patterns(edges: DataFrame, totals: DataFrame, min_score: float = 0.5, min_support: int = 3, unknown: float = 0.25, tolerance: float = 1e-4) -> DataFrame:
+    """Patterns worth trusting, from (pattern, value, seed, n) of all instances and the patterns' own totals.
+
+    A word that is no candidate counts against the pattern before it in full, a candidate only by ``unknown`` as far as it is not believed.
+    Beliefs only grow from round to round, and with them scores and the set of trusted patterns. Rounds go on until that set stays
+    as it is and no belief grows by ``tolerance`` any more, however many it takes.
+    """
+    known = cut(join_small(edges.drop("seed"), totals.withColumnRenamed("n", "total"), ["pattern"], "inner"), "known")
+    believed = cut(edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("belief")), "beliefs")
+    patterns, trusted, good = None, -1, F.sum(F.col("belief") * F.col("n"))
+    while True:
+        scored = join_small(known, believed, ["value"], "inner").groupBy("pattern").agg(
+            (good / F.greatest(good, F.first("total") - (1 - unknown) * (F.sum("n") - good))).alias("score"), F.count_if(F.col("belief") >= min_score).alias("support")
         )
+        if patterns is not None:
+            discard(patterns)
         patterns = cut(scored.filter((F.col("score") >= min_score) & (F.col("support") >= min_support)), "patterns")
-        if patterns.isEmpty():
+        before, trusted = trusted, patterns.count()
+        if not trusted:
             break
         doubt = F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999))))
-        heard = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("heard"))
-        believed = cut(seeds.join(heard, "value", "left").select("value", F.greatest("belief", F.coalesce("heard", F.lit(0.0))).alias("belief")), "beliefs")
+        heard = cut(join_small(known, patterns, ["pattern"], "inner").groupBy("value").agg((1 - F.exp(doubt)).alias("heard")), "heard")
+        grown = join_small(believed, heard, ["value"]).select("value", F.greatest("belief", F.coalesce("heard", F.lit(0.0))).alias("belief"), "belief")
+        grown = cut(grown.toDF("value", "belief", "was"), "beliefs")
+        rise = grown.agg(F.max(F.col("belief") - F.col("was"))).first()[0]
+        discard(believed, heard)
+        believed = grown.drop("was")
+        believed.written_at = grown.written_at
+        if trusted == before and rise < tolerance:
+            break
+    discard(known, believed)
     return patterns.select("pattern")
 
 
@@ -286,7 +304,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     none = F.array().cast(SPAN)
     if added is None:
         return found.select("doc_id", "base", F.col("base").alias("spans"))
-    joined = found.filter("text_key is not null").join(added, "text_key", "left")
+    joined = join_small(found.filter("text_key is not null"), cut(added, "added"), ["text_key"])
     joined = joined.select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("added", none))).alias("spans"))
     return joined.unionByName(found.filter("text_key is null").select("doc_id", "base", F.col("base").alias("spans")))
 
@@ -314,7 +332,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **gr
     if added is None:
         rows = rows.select("row", F.array().cast(SPAN).alias("added"))
     else:
-        rows = rows.join(added, "text_key", "left").select("row", "added")
+        rows = join_small(rows, cut(added, "added"), ["text_key"]).select("row", "added")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

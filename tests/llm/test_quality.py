@@ -125,8 +125,8 @@ def test_patterns_are_counted_where_they_are_taken():
             assert set(c["patterns"]) <= every, (text, c)
 
 
-def brute_added(texts, rounds=3, min_score=0.5, min_support=3):
-    """Spans added to each text, by counting and scoring everything in dictionaries."""
+def brute_added(texts, rounds=60, min_score=0.5, min_support=3):
+    """Spans added to each text, by counting and scoring everything in dictionaries, in far more rounds than are needed."""
     total, edges, beliefs, places = Counter(), Counter(), {}, []
     for k, t in enumerate(texts):
         for place in pii_bootstrap.patterns_of(pii_bootstrap._TOKEN.findall(pii_bootstrap.folded(t))):
@@ -139,11 +139,13 @@ def brute_added(texts, rounds=3, min_score=0.5, min_support=3):
                 beliefs[c["value"]] = max(beliefs.get(c["value"], 0.0), float(c["seed"]))
     seeds, trusted = dict(beliefs), {}
     for _ in range(rounds):
-        score, support = Counter(), Counter()
+        score, support, doubtful = Counter(), Counter(), Counter()
         for (p, v), n in edges.items():
             score[p] += beliefs[v] * n
+            doubtful[p] += (1 - beliefs[v]) * n
             support[p] += beliefs[v] >= min_score
-        trusted = {p: min(s / total[p], 1) for p, s in score.items() if s / total[p] >= min_score and support[p] >= min_support}
+        score = {p: s / max(s, total[p] - 0.75 * doubtful[p]) for p, s in score.items() if s}
+        trusted = {p: s for p, s in score.items() if s >= min_score and support[p] >= min_support}
         doubt = {}
         for p, v in edges:
             if p in trusted:
@@ -172,6 +174,59 @@ def test_graph_equals_brute_force(spark):
     assert len({k for k, _, _ in got} & set(named)) == len(named)
 
 
+def found_ids(spark, texts, partitions=4):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(partitions)
+    return {(r["doc_id"], r["s"]["start"], r["s"]["stop"]) for r in pii_bootstrap.personal_data(frame).selectExpr("doc_id", "explode(spans) as s").filter("s.kind = 'id'").collect()}
+
+
+def test_rounds_go_on_until_nothing_changes(spark):
+    """Each context is trusted only by what the one before it names; the last of six is far beyond three rounds."""
+    texts = [f"w{i} alpha0 beta0 u{i}@x.com" for i in range(4)] + [f"w{i} alpha0 beta0 x{i}-0-1234" for i in range(4)]
+    for k in range(1, 7):
+        texts += 2 * [f"w{i} alpha{'abcdefg'[k]} beta{'abcdefg'[k]} x{i}-{k - 1}-1234" for i in range(4)]
+        texts += [f"w{i} alpha{'abcdefg'[k]} beta{'abcdefg'[k]} x{i}-{k}-1234" for i in range(4)]
+    got = found_ids(spark, texts)
+    assert got == brute_added(texts)
+    assert {k for k, _, _ in got} == set(range(4, len(texts)))
+    assert len(brute_added(texts, rounds=3)) < len(got)
+
+
+def test_recall_of_identifiers_that_are_no_seeds(spark):
+    """Six kinds of labels over many texts; two thirds of the identifiers have forms that no base pattern and no key has."""
+    rng = np.random.default_rng(12)
+    labels = ["patient no. {} was seen", "badge ({}) issued", "member: {} joined", "case id={} closed", "write to {} soon", "ref <{}> filed"]
+    unseen = ["MRN-{:06d}", "{:05d}/B", "Z{:04d}Q", "kp#{:07d}"]
+    base = ["u{}@mail.org", "10.1.{}.9", "+49 (30) 555-{:05d}"]
+    texts, planted = [], set()
+    for i in range(900):
+        noise = " ".join(f"n{'abcdefghij'[j]}" for j in rng.integers(0, 10, 8))
+        form = labels[int(rng.integers(len(labels)))]
+        if rng.random() < 0.35:
+            k = int(rng.integers(3))
+            value = base[k].format(int(rng.integers(10, 99)) if k < 2 else int(rng.integers(10**5)))
+        else:
+            value = unseen[int(rng.integers(4))].format(int(rng.integers(10**4)))
+            start = len(noise) + 1 + form.index("{")
+            planted.add((i, start, start + len(value)))
+        texts.append(f"{noise} {form.format(value)} {noise}")
+    texts += [f"in the year {1900 + i} there were {1000 + i} of them" for i in range(100)]
+    got = found_ids(spark, texts)
+    assert len(got & planted) >= 0.9 * len(planted)
+    assert len(got - planted) <= 0.02 * len(got)
+
+
+@pytest.mark.parametrize("piece", ["1.1.1.1,", "a@b.c ", ":::\"", "x1234 ", "+1 (017) 555-7713;", "1" * 64, "é\u2028<"])
+def test_long_texts_take_linear_time(piece):
+    import time
+
+    text = piece * (1_000_000 // len(piece))
+    start = time.time()
+    spans = pii_bootstrap.base_spans(text)
+    pii_bootstrap.candidates(text, spans)
+    list(pii_bootstrap.patterns_of(pii_bootstrap._TOKEN.findall(pii_bootstrap.folded(text))))
+    assert time.time() - start < 5
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     net = byte_gru.ByteGRU(3, 4)
