@@ -10,7 +10,6 @@ from __future__ import annotations
 import contextlib
 import json
 import math
-import re
 import sys
 
 import pandas as pd
@@ -28,8 +27,7 @@ PARSED = (
 )
 
 
-#: A code fence around a text: its first line, the text, and a last line that closes it, if there is one.
-_FENCE = re.compile(r"```[^\n\r\v\f\x1c-\x1e\x85\u2028\u2029]*(?:\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]|\Z)(?P<body>.*?)(?:(?:^|(?<=[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]))\s*```)?", re.S)
+FENCE = "```"
 
 
 def finite(value: object) -> float | None:
@@ -39,12 +37,20 @@ def finite(value: object) -> float | None:
     return value if type(value) is float and math.isfinite(value) else None
 
 
+def unfenced(text: str) -> str:
+    """A text without the code fence around it: its first line goes, and its last one if it is a fence only."""
+    text = text.strip()
+    if not text.startswith(FENCE):
+        return text
+    rows = text.splitlines()
+    end = len(rows) - (rows[-1].strip() == FENCE)
+    return "\n".join(rows[1:end])
+
+
 def decode(text: str | None) -> dict | None:
     """The object in a text, which may stand in a code fence; None if there is no object."""
-    body = (text or "").strip()
-    fenced = _FENCE.fullmatch(body)
     with contextlib.suppress(ValueError, RecursionError):
-        value = json.loads(fenced["body"] if fenced else body)
+        value = json.loads(unfenced(text or ""))
         return value if isinstance(value, dict) else None
     return None
 

@@ -130,3 +130,54 @@ def release_faults(
         own = own.unionByName(each.select(F.concat(F.col(stage_col), F.lit(f" {name}: "), F.coalesce(F.col("n").cast("string"), F.lit("no")), F.lit(" records")).alias("fault")))
     extra = matrix.join(stages, stage_col, "left_anti").select(F.concat(F.col(stage_col), F.lit(": unknown stage")).alias("fault"))
     return own.unionByName(extra)
+
+
+ARTIFACTS = ("predictions.jsonl", "reward_report.json")
+ADAPTER = ("adapter_config.json", "adapter_model.safetensors")
+MANIFEST, CARD, EVALUATION = "stage_manifest.json", "MODEL_CARD.md", "stage_matrix.json"
+PENDING, LICENCE = "FINAL_EVAL_TABLE", "license: mit"
+
+
+def package_faults(files: DataFrame, lines: DataFrame, expected_records: int, seed: int = 42) -> DataFrame:
+    """(fault) of everything that keeps the files of a release back; no row if it may go out.
+
+    ``files`` (file) names the files that there are, ``lines`` (file, line, value) has the lines of those that are text. The answers of the stages are counted
+    where they stand; only the few other files, a manifest, a card, an evaluation and reports, are put together.
+    """
+    spark = files.sparkSession
+    artifacts = [f"{stage}_{a}" for stage in STAGES for a in ARTIFACTS]
+    needed = spark.createDataFrame([(f,) for f in (*ADAPTER, MANIFEST, CARD, EVALUATION, *artifacts)], "file string")
+    faults = needed.join(files.select("file").distinct(), "file", "left_anti").select(F.concat("file", F.lit(": missing")).alias("fault"))
+
+    answers = [f"{stage}_{ARTIFACTS[0]}" for stage in STAGES]
+    counted = lines.filter(F.col("file").isin(answers) & F.col("value").rlike("\\S")).groupBy("file").agg(F.count("*").alias("n"))
+    there = files.filter(F.col("file").isin(answers)).select("file").distinct().join(counted, "file", "left").select("file", F.coalesce("n", F.lit(0)).alias("n"))
+    wrong = F.concat("file", F.lit(": "), F.col("n").cast("string"), F.lit(" rows"))
+    faults = faults.unionByName(there.filter(F.col("n") != expected_records).select(wrong.alias("fault")))
+
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n")
+    small = needed.join(lines.filter(~F.col("file").isin(answers)), "file").groupBy("file").agg(whole.alias("text")).withColumn("v", F.try_parse_json("text"))
+
+    def at(path: str, kind: str = "string") -> Column:
+        return F.try_variant_get("v", f"$.{path}", kind)
+
+    def unlike(path: str, value: object, kind: str = "string") -> Column:
+        return ~F.coalesce(at(path, kind) == value, F.lit(False))
+
+    digest = at("selection.sample_ids_sha256")
+    report = F.col("file").endswith(ARTIFACTS[1])
+    names = F.array_sort(F.coalesce(F.map_keys(at("stages", "map<string,variant>")), F.array().cast("array<string>")))
+    checks = {
+        "no finished grpo run": (F.col("file") == MANIFEST) & (unlike("stage", "grpo") | unlike("status", "complete")),
+        "final evaluation pending": (F.col("file") == CARD) & F.contains("text", F.lit(PENDING)),
+        "no licence": (F.col("file") == CARD) & ~F.contains("text", F.lit(LICENCE)),
+        "not complete": (F.col("file") == EVALUATION) & unlike("status", "complete"),
+        "other stages": (F.col("file") == EVALUATION) & (names != F.array(*map(F.lit, sorted(STAGES)))),
+        "other number of records": (F.col("file") == EVALUATION) & unlike("records", expected_records, "long"),
+        "not uniform without replacement": (F.col("file") == EVALUATION) & unlike("selection.method", "uniform_without_replacement"),
+        "another seed": (F.col("file") == EVALUATION) & unlike("selection.seed", seed, "long"),
+        "no digest of ids": (F.col("file") == EVALUATION) & ~F.coalesce(F.length(digest) == 64, F.lit(False)),
+        "other number of samples": report & unlike("num_samples", expected_records, "long"),
+    }
+    said = F.filter(F.array(*[F.when(found, F.lit(what)) for what, found in checks.items()]), lambda x: x.isNotNull())
+    return faults.unionByName(small.select("file", F.explode(said).alias("what")).select(F.concat("file", F.lit(": "), "what").alias("fault")))

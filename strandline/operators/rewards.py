@@ -211,15 +211,32 @@ def ablation_totals() -> list[Column]:
     return [weighted_total(parts, {k: 0.0}).alias(f"without_{k}") for k in COMPONENTS]
 
 
+CONTEXT = "struct<noise_type:string,snr_db:double,reverb_rt60:double,bandlimit_hz:array<double>,noise_given:boolean>"
+
+
 def score_batches(batches: DataFrame, completions_col: str = "completions", contexts_col: str = "contexts", key: str = "batch") -> DataFrame:
-    """(key, rewards) for rows with arrays of completions and of as many contexts; other lengths raise in the job.
+    """(key, rewards) for rows with an array of completions and their contexts, in order; ``key`` names a row.
 
-    One context serves all completions of its batch.
+    Contexts may be an array with one context for each completion (another number raises in the job), a single struct that all completions share, or
+    null: then there is no context. In a context, or one that is null in the array, what is null is not given; a null noise type reads as the word
+    "none" unless the field ``noise_given`` is false, and is not given at all where the whole context is null. A row without completions has no rewards.
     """
-    texts, contexts = F.col(completions_col), F.col(contexts_col)
-    spread = F.when(F.size(contexts) == 1, F.transform(texts, lambda _: contexts[0])).otherwise(contexts)
-    fault = F.when(F.size(spread) != F.size(texts), F.raise_error(F.lit("contexts and completions must have the same length")).cast("int"))
-    pairs = F.transform(texts, lambda t, i: F.struct(t.alias("response"), F.get(spread, i + F.coalesce(fault, F.lit(0))).alias("context")))
-    rows = batches.select(key, F.posexplode(pairs).alias("at", "pair")).select(key, "at", "pair.response", "pair.context.*")
-    totals = F.array_sort(F.collect_list(F.struct("at", "total")))
-    return score(rows).groupBy(key).agg(F.transform(totals, lambda x: x["total"]).alias("rewards"))
+    texts, given = F.col(completions_col), F.col(contexts_col)
+    if batches.schema[contexts_col].dataType.typeName() == "struct":
+        spread = F.transform(texts, lambda _: given)
+    else:
+        wrong = F.raise_error(F.lit("contexts and completions must have the same length")).cast(batches.schema[contexts_col].dataType)
+        spread = F.when(F.size(given) != F.size(texts), wrong).otherwise(given)
+    pairs = F.transform(texts, lambda t, i: F.struct(t.alias("response"), F.get(spread, i).alias("context")))
+    rows = batches.select(key, F.posexplode_outer(pairs).alias("at", "pair"))
+    context = F.col("pair.context")
+    fields = set(rows.select("pair.context.*").columns)
+
+    def of(name: str, kind: str) -> Column:
+        return context[name] if name in fields else F.lit(None).cast(kind)
+
+    named = context.isNotNull() & F.coalesce(of("noise_given", "boolean"), F.lit(True))
+    flat = rows.select(key, "at", F.col("pair.response").alias("response"), of("noise_type", "string").alias("noise"), of("snr_db", "double").alias("snr"), of("reverb_rt60", "double").alias("rt60"), of("bandlimit_hz", "array<double>").alias("band"), named.alias("named"))
+    scored = score(flat, noise=F.col("noise"), snr=F.col("snr"), rt60=F.col("rt60"), bandlimit=F.col("band"), noise_given=F.col("named"))
+    totals = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "total"))))
+    return scored.groupBy(key).agg(F.transform(totals, lambda x: x["total"]).alias("rewards"))
