@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import configs, derive, evaluate
+from strandline.operators import configs, contracts, derive, evaluate
 from strandline.operators.rewards import score_batches
 from strandline.plans.bridge import BRIDGE_SQL, bridge
 from strandline.plans.runtime import table
@@ -91,6 +91,44 @@ def unsafe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge(spark, sf_dir).select("sample_id", derive.corrupt_text(text).alias("rejected"))
 
 
+#: For each edit of a record that the query below makes: the JSON that takes the place of a part (none: the part goes), and what is found wrong.
+EDITS = [
+    ("schema_version", '"x"', "schema_version"), ("sample_id", "5", "sample_id: not string"), ("sample_id", None, "sample_id: missing"), ("audio", None, "audio: missing"), ("audio", '"a"', "audio: not object"),
+    ("noisy_path", None, "audio.noisy_path: missing"), ("noisy_path", "1", "audio.noisy_path: not string"), ("sample_rate", None, "audio.sample_rate: missing"), ("sample_rate", '"16000"', "audio.sample_rate: not integer"),
+    ("sample_rate", "16000.5", "audio.sample_rate: not integer"), ("sample_rate", "100", "audio.sample_rate: outside [8000, 192000]"), ("duration_seconds", "0", "audio.duration_seconds: not positive"),
+    ("duration_seconds", '"3"', "audio.duration_seconds: not positive"), ("acoustics", None, "acoustics: missing"), ("acoustics", "[]", "acoustics: not object"), ("noise_type", None, "acoustics.noise_type: missing"), ("noise_type", '" "', "acoustics.noise_type: empty"),
+    ("noise_type", "3", "acoustics.noise_type: not string"), ("snr_db", "81", "acoustics.snr_db: outside [-30, 80]"), ("snr_db", '"x"', "acoustics.snr_db: outside [-30, 80]"), ("target", None, "target: missing"), ("target", "[]", "target: not object"),
+    ("diagnosis", None, "target.diagnosis: missing"), ("diagnosis", "[]", "target.diagnosis: not object"), ("actions", None, "target.actions: missing"), ("actions", "{}", "target.actions: not array"), ("actions", "[]", "target.actions: empty"),
+    ("rationale", None, "target.rationale: missing"), ("rationale", "null", "target.rationale: not string"), ("split", '"dev"', "split: unknown"), ("", "[1]", "record: not object"),
+]
+
+
+def contract_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records of a manifest, each with one edit or none; all messages of the contract come up."""
+    edit = F.col("event_id") % (len(EDITS) + 3)
+
+    def part(name: str, text: Column) -> Column:
+        changed = F.lit(None).cast("string")
+        for n, (where, by, _) in enumerate(EDITS):
+            if where == name and by is not None:
+                changed = F.coalesce(changed, F.when(edit == n, by))
+        gone = edit.isin([n for n, (where, by, _) in enumerate(EDITS) if where == name and by is None] or [-1])
+        return F.when(~gone, F.concat(F.lit(f'"{name}": '), F.coalesce(changed, text)))
+
+    def all_of(*parts: Column) -> Column:
+        return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+    inner = {
+        "audio": all_of(part("noisy_path", F.lit('"x.wav"')), part("sample_rate", F.lit("16000")), part("duration_seconds", F.lit("3.5"))),
+        "acoustics": all_of(part("noise_type", F.lit('"white"')), part("snr_db", F.lit("8"))),
+        "target": all_of(part("diagnosis", F.lit("{}")), part("actions", F.lit('[{"type": "x"}]')), part("rationale", F.lit('""'))),
+    }
+    whole = all_of(part("schema_version", F.lit(f'"{contracts.AUDIO_SCHEMA}"')), part("sample_id", F.lit('"a"')), part("split", F.lit('"train"')), *[part(k, v) for k, v in inner.items()])
+    record = F.parse_json(F.when(edit == len(EDITS) - 1, EDITS[-1][1]).otherwise(whole))
+    rows = table(spark, sf_dir, "events").select("event_id", record.alias("record"))
+    return rows.select("event_id", F.array_join(contracts.audio_violations(F.col("record")), "|").alias("violations"))
+
+
 def _fault(*items: tuple[str, str]) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {found} THEN '{said}' END" for said, found in items) + "], lambda x: x IS NOT NULL)"
 
@@ -107,9 +145,10 @@ def _total(noise: str, clean: str) -> str:
      - 0.25 * ({clean} AND {red} > 12)::INT) END::DOUBLE) / 5, 6)"""
 
 
-QUERIES = {q.__name__: q for q in (config_faults, stage_plans, launch_profile_faults, batch_rewards, release_package, unsafe_texts)}
+QUERIES = {q.__name__: q for q in (config_faults, stage_plans, launch_profile_faults, batch_rewards, release_package, unsafe_texts, contract_faults)}
 _K = "k AS (SELECT c_custkey AS k FROM customer)"
 ORACLE_SQL = {
+    "contract_faults": f"SELECT event_id, coalesce({[said for _, _, said in EDITS]}[event_id % {len(EDITS) + 3} + 1], '') AS violations FROM events",
     "config_faults": f"""WITH {_K}, f AS (SELECT k, CASE WHEN k % 13 = 0 THEN
   ['|not an object', 'project|missing', 'model|missing', 'data|missing', 'training|missing', 'project.seed|missing', 'model.name_or_path|missing', 'training.stages.sft|missing', 'training.stages.dpo|missing', 'training.stages.grpo|missing',
    'training.stages.sft.per_device_train_batch_size|missing', 'training.stages.dpo.per_device_train_batch_size|missing', 'training.stages.grpo.per_device_train_batch_size|missing']

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.operators.completions import normalized
 from strandline.operators import contracts, derive, evaluate
 from strandline.operators.degradation import group_advantages
 from strandline.operators.rewards import COMPONENTS, score
@@ -152,10 +153,12 @@ def chat_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text of each conversation's answers, as one completion."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("content"))))
+    """The text of each conversation's answers, as one completion: messages and bare texts in nested lists."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("content"))))
     rows = table(spark, sf_dir, "conversations").filter("role = 'assistant'").groupBy("conv_id").agg(turns.alias("ts"))
-    return rows.select("conv_id", F.array_join(F.transform("ts", lambda m: F.coalesce(m["content"], F.lit(""))), "").alias("completion"))
+    texts = F.to_variant_object(F.transform("ts", lambda m: F.array(m["content"])))
+    shape = F.when(F.col("conv_id") % 3 == 0, F.to_variant_object(F.array(F.col("ts")))).when(F.col("conv_id") % 3 == 1, texts).otherwise(F.to_variant_object(F.col("ts")))
+    return normalized(rows.select("conv_id", shape.alias("c")), "c").select("conv_id", "completion")
 
 
 def preference_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,7 +113,9 @@ def preference_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spectral_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _waves(spark, sf_dir).select("vec_id", dsp.spectral_gate(F.col("y"), 0.5).alias("y"))
+    """The energy that is left, and the first and the middle sample, after half of the frequencies have gone."""
+    rows = _waves(spark, sf_dir).select("vec_id", dsp.spectral_gate(F.col("y"), 0.5).alias("y"))
+    return rows.select("vec_id", F.size("y").alias("n"), F.round(waveforms.power(F.col("y")), 5).alias("power"), (F.round(F.col("y")[0].cast("double"), 4) + 0.0).alias("first"), (F.round(F.col("y")[32].cast("double"), 4) + 0.0).alias("middle"))
 
 
 def pink_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +127,8 @@ def bandlimit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wave_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _waves(spark, sf_dir).select("vec_id", dsp.features(F.col("y")).alias("f")).select("vec_id", "f.*")
+    found = _waves(spark, sf_dir).select("vec_id", dsp.features(F.col("y")).alias("f")).select("vec_id", "f.*")
+    return found.withColumn("spectral_centroid_hz", F.round("spectral_centroid_hz", 4))
 
 
 def spectral_subtraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +190,27 @@ def _bridge(body: str) -> str:
     return f"WITH {BRIDGE_SQL}\n{body}"
 
 
+#: Magnitudes and parts of the transform of 64 samples, by the sum that defines it.
+_DFT = _Y + """, t AS (SELECT vec_id, y, unnest(range(0, 33)) AS k FROM w),
+x AS (SELECT vec_id, k, list_sum(list_transform(range(0, 64), lambda n: y[n + 1] * cos(2 * pi() * k * n / 64))) AS re,
+  -list_sum(list_transform(range(0, 64), lambda n: y[n + 1] * sin(2 * pi() * k * n / 64))) AS im FROM t),
+m AS (SELECT *, sqrt(re * re + im * im) AS mag, CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS twice FROM x),
+g AS (SELECT m.*, mag >= q AS kept FROM m JOIN (SELECT vec_id, quantile_cont(mag, 0.5) AS q FROM m GROUP BY vec_id) USING (vec_id))
+"""
+
 ORACLE_SQL = {
+    "spectral_gate": _DFT
+    + """SELECT vec_id, 64::INTEGER AS n, round(sum(twice * mag * mag) FILTER (kept) / 64 / 64, 5) AS power, round(sum(twice * re) FILTER (kept) / 64, 4) + 0.0 AS first,
+  round(sum(twice * re * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) FILTER (kept) / 64, 4) + 0.0 AS middle FROM g GROUP BY vec_id""",
+    "wave_features": _Y
+    + """, t AS (SELECT vec_id, y, unnest(range(0, 1025)) AS k FROM w),
+h AS (SELECT vec_id, y, k, list_transform(range(0, 64), lambda n: y[n + 1] * (0.5 - 0.5 * cos(2 * pi() * (n + 1024) / 2048))) AS z FROM t),
+x AS (SELECT vec_id, k, list_sum(list_transform(range(0, 64), lambda n: z[n + 1] * cos(2 * pi() * ((k * (n + 1024)) % 2048) / 2048))) AS re,
+  list_sum(list_transform(range(0, 64), lambda n: z[n + 1] * sin(2 * pi() * ((k * (n + 1024)) % 2048) / 2048))) AS im FROM h),
+m AS (SELECT vec_id, k, sqrt(re * re + im * im) AS mag FROM x),
+f AS (SELECT vec_id, exp(avg(ln(greatest(mag * mag, 1e-10)))) / avg(greatest(mag * mag, 1e-10)) AS flat, sum(k * 16000.0 / 2048 * mag) / sum(mag) AS centre FROM m GROUP BY vec_id)
+SELECT vec_id, round(sqrt(list_sum(list_transform(y, lambda v: v * v)) / 64), 6) AS rms, round(flat, 6) AS spectral_flatness, round(round(centre, 6), 4) AS spectral_centroid_hz,
+  round(len(list_filter(range(2, 65), lambda i: (y[i] < 0) <> (y[i - 1] < 0))) / 63, 6) AS zero_crossing_rate, round(64 / 16000, 6) AS duration_seconds FROM w JOIN f USING (vec_id)""",
     "wave_rms": _Y + "SELECT vec_id, round(sqrt(list_sum(list_transform(y, lambda x: x * x)) / len(y)), 6) AS rms, round(list_max(list_transform(y, lambda x: abs(x))), 6) AS peak FROM w",
     "wave_zcr": _Y + "SELECT vec_id, len(list_filter(range(2, len(y) + 1), lambda i: (y[i] < 0) <> (y[i - 1] < 0)))::INTEGER AS changes FROM w",
     "wave_dc_remove": _Y
