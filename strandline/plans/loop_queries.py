@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions import waveforms
 from strandline.operators import closed_loop
 from strandline.plans.runtime import shared_dir, table
-from strandline.streaming import enhancement
+from strandline.streaming import enhancement, status
 
 REVISIONS, LEAST = 2, 0.01
 
@@ -78,7 +78,17 @@ def closed_loop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"closed_loop_revised": closed_loop_revised, "closed_loop_stream": closed_loop_stream}
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a run over a stream of events, once it is over, with the sum of what it wrote."""
+    path = f"{shared_dir(spark)}/strandline/run-{uuid.uuid4().hex}"
+    rows = _stream(spark, sf_dir, "events").select("event_id", "value")
+    query = status.start_tracked(rows, "events", f"{path}/rows", f"{path}/checkpoint", f"{path}/status.json")
+    state = status.finish(query, f"{path}/status.json")
+    told = [F.lit(state["name"]).alias("name"), F.lit(state["status"]).alias("status"), F.lit(state["rows"]).cast("long").alias("rows")]
+    return spark.read.parquet(f"{path}/rows").agg(F.sum("event_id").alias("id_sum")).select(*told, "id_sum")
+
+
+QUERIES = {"stream_status": stream_status, "closed_loop_revised": closed_loop_revised, "closed_loop_stream": closed_loop_stream}
 
 
 def _utility(y: str) -> str:
@@ -100,6 +110,7 @@ v{n} AS (SELECT vec_id, y, CASE WHEN g > 2 THEN g * 0.5 ELSE g * 1.5 END AS g, u
 
 
 ORACLE_SQL = {
+    "stream_status": "SELECT 'events' AS name, 'complete' AS status, count(*) AS rows, sum(event_id)::BIGINT AS id_sum FROM events",
     "closed_loop_revised": _attempts_sql()
     + """SELECT vec_id, arg_max(decision, attempt) AS decision, count(*)::INTEGER AS n_attempts, string_agg(decision, ',' ORDER BY attempt) AS steps,
        string_agg(g::VARCHAR, ',' ORDER BY attempt) AS gains, round(arg_max(d, attempt), 6) + 0.0 AS utility_gain,

@@ -109,7 +109,7 @@ def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preference_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, k = F.col("snr_db"), F.col("k")
     loss = degradation.preference_loss(-k / 10.0, -k / 8.0, -v / 100, -v / 90, 0.1, 0.1)
-    return bridge(spark, sf_dir).filter("snr_db is not null").select("sample_id", F.round(loss, 6).alias("loss"))
+    return bridge(spark, sf_dir).select("sample_id", F.round(loss, 6).alias("loss"))
 
 
 def spectral_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,9 +137,8 @@ def spectral_subtraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, degradation.NOISES)), (F.col("label") % 4 + 1).cast("int"))
-    none = F.lit(None).cast("double")
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select("vec_id", dsp.degrade(F.col("embedding"), F.col("vec_id"), kind, F.lit(12.0), F.when(F.col("vec_id") % 2 == 0, 0.001), none, none).alias("y"))
+    return rows.select("vec_id", dsp.degrade(F.col("embedding"), F.col("vec_id"), kind, F.lit(12.0), F.lit(0.001), F.lit(300.0), F.lit(3400.0)).alias("y"))
 
 
 def loss_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,6 +235,6 @@ SELECT vec_id, round(sqrt(list_sum(list_transform(y, lambda v: v * v)) / 64), 6)
     "loss_series": "SELECT user_id AS run, count(*) AS optimizer_steps, arg_min(value, event_id) AS initial_loss, arg_max(value, event_id) AS final_loss, round(avg(value), 6) AS mean_loss, true AS all_losses_finite FROM events GROUP BY user_id",
     "tones": "SELECT n_nationkey, 160 AS n, round(list_sum(list_transform(range(0, 160), lambda i: 0.08 * sin(2 * pi() * (200.0 + n_nationkey * 10) * i / 16000))), 4) + 0.0 AS total FROM nation",
     "preference_loss": _bridge(
-        "SELECT sample_id, round(0.9 * ln(1 + exp(-m)) + 0.1 * ln(1 + exp(m)), 6) AS loss FROM (SELECT sample_id, 0.1 * ((-k / 10.0::DOUBLE + snr_db / 100) - (-k / 8.0::DOUBLE + snr_db / 90)) AS m FROM b WHERE snr_db IS NOT NULL)"
+        "SELECT sample_id, round(0.9 * ln(1 + exp(-m)) + 0.1 * ln(1 + exp(m)), 6) AS loss FROM (SELECT sample_id, 0.1 * ((-k / 10.0::DOUBLE + snr_db / 100) - (-k / 8.0::DOUBLE + snr_db / 90)) AS m FROM b)"
     ),
 }
