@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings with a logarithmic family of sparse suffix arrays.
+"""Removal of repeated byte strings with a logarithmic family of indexes of sampled suffixes.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts anywhere else, in the same
 document or another; matches do not cross documents and are judged on the input.
@@ -7,8 +7,8 @@ document or another; matches do not cross documents and are judged on the input.
    with the least hash in it (the first of equals). Equal windows have equal anchors at equal places, so
    windows are only ever compared with windows of the same anchor. Neighbouring windows with one anchor
    are a run.
-2. Documents come in batches. Each batch gets an index of its anchors, in order of their hash, with the bytes of
-   their runs. It is merge-scanned against all levels that exist, which tells the anchors that occur
+2. Documents come in batches. Each batch gets an index of its anchors, by their hash with the number of their
+   runs and bytes. It is joined with all levels that exist, which tells the anchors that occur
    again, and becomes a level itself; two levels of equal size class merge into one of the next. Levels are
    tables in the shared folder, so another batch can be added to them at any later time.
 3. The bytes around the runs of these anchors are dealt by anchor. There the suffixes from the anchors on are put in

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -293,7 +294,7 @@ def test_predictions_equal_plain_loops(spark):
     langs, net = byte_gru.train(sample)
     got = {r["doc_id"]: r for r in byte_gru.identify(docs, F.lit(True), keep=["doc_id"]).collect()}
     for r in docs.collect():
-        if r["text"] and byte_gru._LETTER.search(r["text"]):
+        if any(unicodedata.category(c).startswith("L") for c in r["text"] or ""):
             p = brute_probabilities(net, r["text"])
             assert got[r["doc_id"]]["score"] == pytest.approx(p.max(), abs=2e-3) and (got[r["doc_id"]]["lang_pred"] == langs[p.argmax()] or np.ptp(np.sort(p)[-2:]) < 4e-3)
         else:
@@ -306,6 +307,12 @@ def test_languages_of_odd_texts(spark, hard, none):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (0, 1, 2)} == {"und"}
     assert {r["lang_pred"] for r in got if r["doc_id"] in (3, 7, 8)} <= {"en", "de"}
     assert byte_gru.identify(none, F.lit(True), keep=["doc_id"]).count() == 0
+    json.dumps([r["score"] for r in got])
+
+
+def test_numerals_are_no_letters(spark, hard):
+    rows = hard.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(900, "½ ² ① 12 _", "en"), (901, "½ a", "en"), (902, "ª", "en")], "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in byte_gru.identify(rows, F.lit(True), keep=["doc_id"], epochs=1).collect()}
+    assert got[900] == ("und", 0.0) and got[901][0] != "und" != got[902][0]
     nothing = byte_gru.identify(hard, F.lit(False), keep=["doc_id"]).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
-    json.dumps([r["score"] for r in got])
