@@ -11,8 +11,9 @@ import contextlib
 import json
 import math
 import sys
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +28,9 @@ PARSED = (
 )
 
 
+_ACTION_TYPE = pa.struct([("object", pa.bool_()), ("kind", pa.string()), ("highpass", pa.bool_()), *[f for k in BOUNDS for f in ((f"has_{k}", pa.bool_()), (k, pa.float64()))]])
+_TYPES = {"missing": pa.list_(pa.string()), "noise_type": pa.string(), "actions": pa.list_(_ACTION_TYPE)}
+_FIELDS = [pa.field(n, _TYPES.get(n, pa.bool_())) for n in (part.split(" ")[0] for part in PARSED.split(", "))]
 FENCE = "```"
 
 
@@ -84,15 +88,22 @@ def describe(text: str | None) -> dict:
     }
 
 
-def _parse(texts: pd.Series) -> pd.DataFrame:
-    names = [part.split()[0] for part in PARSED.split(", ")]
-    rows = [describe(t) for t in texts]
-    return pd.DataFrame({n: [r.get(n, False) if n not in ("missing", "actions", "noise_type") else r.get(n, "") for r in rows] for n in names})
+#: What a field is where an answer does not tell it.
+UNTOLD = {"missing": [], "actions": [], "noise_type": ""}
+
+
+def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Structs of PARSED, made by column; each distinct text of a batch is decoded once."""
+    for texts in batches:
+        coded = texts.dictionary_encode()
+        rows = [describe(t) for t in coded.dictionary.to_pylist()]
+        columns = [pa.array([r.get(f.name, UNTOLD.get(f.name, False)) for r in rows], f.type) for f in _FIELDS]
+        yield pa.StructArray.from_arrays(columns, fields=list(_FIELDS)).take(coded.indices)
 
 
 def parse_prescription(text: Column | str) -> Column:
     """A struct of what the rules need to know of an answer; null texts count as empty."""
-    parse = F.pandas_udf(_parse, PARSED)
+    parse = F.arrow_udf(_parse, f"struct<{PARSED.replace(' ', ':').replace(',:', ', ')}>")
     return parse(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
