@@ -8,16 +8,25 @@ its UTF-8 bytes by byte pieces, at ten below the least score.
 A space is the marker U+2581 and one is put before the text; decoding turns markers into spaces and
 takes that one away. A marker that stands in the text itself is written by byte pieces, so that decoding
 returns every text exactly. No piece has a marker after another character, so a text falls into units at
-spaces (and at characters in no piece) whose best paths together are the best path of the text; equal
-units of a task are solved once, many units at a time, position by position.
-
-A null text has null ids, an empty one no ids. All columns of the input stay; the new columns replace
-columns of the same name. Nothing is truncated.
+spaces (and at characters in no piece) whose best paths together are the best path of the text.
+
+Equal units of a task are solved once. Units of any length go one way: the trie is walked from all characters of
+a stretch of bytes at once, and one pass over the pieces found, in order of their starts, keeps the best score
+at each end. Characters at one place of many units take this step together, the others one after another, which
+changes nothing but the time. The state of the pass is 16 bytes for each byte of the units at hand, besides one
+stretch; what is remembered of earlier units is bounded by bytes.
+
+A null text has null ids, an empty one no ids. Null ids decode to a null text, no ids to an empty one. An id
+that is null or that the file does not have decodes to U+FFFD, control pieces to nothing. A file without all 256
+byte pieces gives a character in no piece the unknown id, which decodes to U+FFFD, so such a character is not
+brought back. All columns of the input stay; the new columns replace columns of the same name. Nothing is
+truncated.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 MARKER = "▁"
-#: Units that a task remembers, and the length in bytes from which a unit is solved by itself.
-REMEMBERED, LONG_UNIT = 200_000, 96
+#: What stands for an id or a character that cannot be named.
+REPLACEMENT = "\ufffd".encode()
+#: Bytes of units and ids that a task remembers, bytes of units solved together, characters walked at once.
+REMEMBERED, TOGETHER, STRETCH = 64 << 20, 1 << 20, 1 << 16
+#: So many rows are worth an array operation; fewer go one by one.
+ABREAST = 64
 
 
 class DoubleArray:
@@ -95,135 +108,151 @@ class Pieces:
         self.scores[normal] = scores
         self.unknown = float(scores.min() - 10)
         self.trie = DoubleArray({names[i].replace(MARKER, " ").encode(): i for i in normal})
-        self.byte_id = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.bytes_of = [names[i].replace(MARKER, " ").encode() if self.scores[i] > -np.inf else b"" for i in range(n)]
-        for b, i in enumerate(self.byte_id.tolist()):
-            self.bytes_of[i] = bytes([b])
+        self.unknown_id = model.unk_id()
+        if self.unknown_id >= 0:
+            self.bytes_of[self.unknown_id] = REPLACEMENT
+        self.byte_id = None
+        if sum(map(model.is_byte, range(n))) == 256:
+            self.byte_id = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
+            for b, i in enumerate(self.byte_id.tolist()):
+                self.bytes_of[i] = bytes([b])
+        elif self.unknown_id < 0:
+            raise ValueError("a piece file needs byte pieces or an unknown piece")
         inner = {c for i in normal for c in names[i]}
         if any(MARKER in names[i].lstrip(MARKER) for i in normal):
             raise ValueError("a piece has a marker after another character")
         self.alone = "" if "\n" in inner else "\n"
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def units(self, text: str) -> list[str]:
         own = self.alone
         return re.findall(f"{own}| *[^ {own}]+| +" if own else " *[^ ]+| +", " " + text)
 
-    def _long(self, unit: bytes) -> bytes:
-        """The best path of one unit, position by position."""
-        t = self.trie
-        n, base, check, value = len(unit), t.base, t.check, t.value
-        best, back = [-np.inf] * (n + 1), [(0, 0)] * (n + 1)
-        best[0] = 0.0
-        for s in range(n):
-            if best[s] == -np.inf or unit[s] & 0xC0 == 0x80:
-                continue
-            end = s + 1
-            while end < n and unit[end] & 0xC0 == 0x80:
-                end += 1
-            state, single = 0, False
-            for e in range(s, n):
-                to = int(base[state]) + unit[e] + 1
-                if check[to] != state:
-                    break
-                state, piece = to, int(value[to])
-                if piece >= 0:
-                    single |= e + 1 == end
-                    if best[s] + self.scores[piece] > best[e + 1]:
-                        best[e + 1], back[e + 1] = best[s] + self.scores[piece], (s, piece)
-            if not single and best[s] + self.unknown > best[end]:
-                best[end], back[end] = best[s] + self.unknown, (s, -1)
-        out, e = [], n
-        while e:
-            s, piece = back[e]
-            out.append([piece] if piece >= 0 else self.byte_id[list(unit[s:e])].tolist())
-            e = s
-        return np.array([i for part in reversed(out) for i in part], np.int32).tobytes()
-
-    def _many(self, raw: list[bytes]) -> list[bytes]:
-        """The best paths of many units of like length, all advanced together."""
+    def _found(self, data: np.ndarray, stop: np.ndarray, starts: np.ndarray, char_end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row of starts, end, piece) of all pieces that begin at ``starts``; -1 is a character in no piece."""
         t = self.trie
-        lens = np.array([len(u) for u in raw])
-        width = int(lens.max())
-        text = np.frombuffer(b"".join(u.ljust(width, b"\0") for u in raw), np.uint8).reshape(-1, width)
-        inside = (text & 0xC0) == 0x80
-        char_end = np.full((len(raw), width), width)
-        for s in range(width - 1, -1, -1):
-            nxt = np.full(len(raw), width) if s + 1 == width else np.where(inside[:, s + 1], char_end[:, s + 1], s + 1)
-            char_end[:, s] = np.minimum(nxt, lens)
-        best = np.full((len(raw), width + 1), -np.inf)
-        best[:, 0] = 0
-        back, piece_of = np.zeros((len(raw), width + 1), np.int32), np.full((len(raw), width + 1), -1, np.int32)
-        for s in range(width):
-            at = np.flatnonzero((lens > s) & (best[:, s] > -np.inf) & ~inside[:, s])
-            if not len(at):
-                continue
-            rows, state, single, e = at, np.zeros(len(at), np.int64), np.zeros(len(raw), bool), s
-            while len(rows) and e < width:
-                to = t.base[state] + text[rows, e].astype(np.int64) + 1
-                ok = (t.check[to] == state) & (lens[rows] > e)
-                rows, state = rows[ok], to[ok]
-                e += 1
-                piece = t.value[state]
-                has = piece >= 0
-                r, p = rows[has], piece[has]
-                single[r[char_end[r, s] == e]] = True
-                score = best[r, s] + self.scores[p]
-                up = score > best[r, e]
-                r = r[up]
-                best[r, e], back[r, e], piece_of[r, e] = score[up], s, p[up]
-            r = at[~single[at]]
-            e2 = char_end[r, s]
-            up = best[r, s] + self.unknown > best[r, e2]
-            r, e2 = r[up], e2[up]
-            best[r, e2], back[r, e2], piece_of[r, e2] = best[r, s] + self.unknown, s, -1
-        # walk all paths back together, longest first, then cut them apart
-        ids = np.full((len(raw), width), -1, np.int32)
-        end = lens.copy()
-        rows = np.arange(len(raw))
-        while len(rows):
-            e = end[rows]
-            s, p = back[rows, e], piece_of[rows, e]
-            known = p >= 0
-            ids[rows[known], s[known]] = p[known]
-            for r, a, b in zip(rows[~known].tolist(), s[~known].tolist(), e[~known].tolist(), strict=True):
-                ids[r, a:b] = self.byte_id[text[r, a:b]]
-            end[rows] = s
-            rows = rows[s > 0]
-        flat, counts = ids[ids >= 0].tobytes(), (ids >= 0).sum(axis=1)
-        ends = np.cumsum(counts).tolist()
-        return [flat[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        end, state, row = starts, np.zeros(len(starts), np.int64), np.arange(len(starts))
+        single, rows, ends, pieces = np.zeros(len(starts), bool), [], [], []
+        while len(row):
+            to = t.base[state] + data[end].astype(np.int64) + 1
+            ok = t.check[to] == state
+            end, state, row = end[ok] + 1, to[ok], row[ok]
+            piece = t.value[state]
+            has = piece >= 0
+            single[row[has & (end == char_end[row])]] = True
+            rows.append(row[has])
+            ends.append(end[has])
+            pieces.append(piece[has])
+            inside = end < stop[row]
+            end, state, row = end[inside], state[inside], row[inside]
+        bare = np.flatnonzero(~single)
+        return np.concatenate([*rows, bare]), np.concatenate([*ends, char_end[bare]]), np.concatenate([*pieces, np.full(len(bare), -1)])
+
+    def solve(self, raw: list[bytes]) -> list[bytes]:
+        """The best path of each unit: of equal scores, the one whose last piece starts first."""
+        sizes = np.array([len(u) for u in raw])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        first = np.flatnonzero((data & 0xC0) != 0x80)
+        char_end = np.append(first[1:], len(data))
+        unit = np.repeat(np.arange(len(raw)), sizes)
+        stops = np.cumsum(sizes)
+        nth = np.arange(len(first)) - np.searchsorted(first, stops - sizes)[unit[first]]
+        # a unit of n bytes has n + 1 places, so that its end is not the start of the next
+        n, heads = len(data) + len(raw), stops - sizes + np.arange(len(raw))
+        best, back, with_piece = array("d", [-np.inf]) * n, array("i", [-1]) * n, array("i", [-1]) * n
+        bests, backs, pieces = np.frombuffer(best), np.frombuffer(back, np.int32), np.frombuffer(with_piece, np.int32)
+        bests[heads] = 0.0
+        scores = np.append(self.scores, self.unknown)
+        for a in range(0, len(first), STRETCH):
+            own, level = first[a : a + STRETCH], nth[a : a + STRETCH]
+            row, e, piece = self._found(data, stops[unit[own]], own, char_end[a : a + STRETCH])
+            s, gain = own[row] + unit[own[row]], scores[piece]
+            e = e + unit[own[row]]
+            # characters that many units have at one place are taken together: their pieces end apart
+            wide = int(np.argmin(np.append(np.bincount(np.minimum(level, STRETCH)), 0) >= ABREAST))
+            together = level[row] < wide
+            at = np.flatnonzero(together)
+            at = at[np.argsort(level[row[at]].astype(np.uint16), kind="stable")]
+            cuts = np.searchsorted(level[row[at]], np.arange(wide + 1))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                i = at[lo:hi]
+                score = bests[s[i]] + gain[i]
+                up = score > bests[e[i]]
+                i = i[up]
+                bests[e[i]], backs[e[i]], pieces[e[i]] = score[up], s[i], piece[i]
+            at = np.flatnonzero(~together)
+            at = at[np.argsort(row[at].astype(np.uint16), kind="stable")]
+            for x, y, p, g in zip(s[at].tolist(), e[at].tolist(), piece[at].tolist(), gain[at].tolist(), strict=True):
+                score = best[x] + g
+                if score > best[y]:
+                    best[y], back[y], with_piece[y] = score, x, p
+        on_path = np.zeros(n, bool)
+        place = stops + np.arange(len(raw))
+        while len(place) >= ABREAST:
+            on_path[place] = True
+            place = backs[place]
+            place = place[backs[place] >= 0]
+        for x in place.tolist():
+            came = array("q")
+            while back[x] >= 0:
+                came.append(x)
+                x = back[x]
+            on_path[came] = True
+        ends = np.flatnonzero(on_path)
+        starts, piece = backs[ends], pieces[ends]
+        of_unit = np.searchsorted(stops + np.arange(len(raw)), ends)
+        bare = piece < 0
+        counts = np.where(bare & (self.byte_id is not None), ends - starts, 1)
+        ids = np.repeat(np.where(bare, self.unknown_id, piece), counts).astype(np.int32)
+        if self.byte_id is not None:
+            nth = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+            spelt = np.repeat(bare, counts)
+            ids[spelt] = self.byte_id[data[(np.repeat(starts - of_unit, counts) + nth)[spelt]]]
+        flat, cuts = ids.tobytes(), np.cumsum(np.bincount(of_unit, counts, len(raw)).astype(np.int64)).tolist()
+        return [flat[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     def learn(self, units: set[str]) -> None:
         """Solve the units that are not known yet."""
-        new = [u for u in units if u not in self.known]
-        raw = {u: u.encode() for u in new}
-        new.sort(key=lambda u: len(raw[u]))
-        at = 0
-        while at < len(new):
-            n = len(raw[new[at]])
-            if n > LONG_UNIT:
-                self.known[new[at]] = self._long(raw[new[at]])
-                at += 1
+        names: list[str] = []
+        raw: list[bytes] = []
+        size = 0
+        for unit in units:
+            if unit in self.known:
                 continue
-            end = at
-            while end < len(new) and end - at < 20_000 and len(raw[new[end]]) <= min(n + max(1, n // 8), LONG_UNIT):
-                end += 1
-            part = new[at:end]
-            self.known.update(zip(part, self._many([raw[u] for u in part]), strict=True))
-            at = end
+            names.append(unit)
+            raw.append(unit.encode())
+            size += len(raw[-1])
+            if size >= TOGETHER:
+                self._remember(names, raw)
+                names, raw, size = [], [], 0
+        if names:
+            self._remember(names, raw)
+
+    def _remember(self, names: list[str], raw: list[bytes]) -> None:
+        solved = self.solve(raw)
+        self.known.update(zip(names, solved, strict=True))
+        self.held += sum(map(len, raw)) + sum(map(len, solved)) + 200 * len(names)
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """For each text its ids as the bytes of 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
         units = [self.units(t) if t else [] for t in texts]
         self.learn({u for us in units for u in us})
         get = self.known.__getitem__
         return [None if t is None else b"".join(map(get, us)) for t, us in zip(texts, units, strict=True)]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
+    def decode(self, ids: list[int | None]) -> str:
+        n, of = len(self.bytes_of), self.bytes_of
+        try:
+            raw = b"".join(map(of.__getitem__, ids)) if not ids or min(ids) >= 0 else None
+        except (TypeError, IndexError):
+            raw = None
+        if raw is None:  # an id that is null or out of range
+            raw = b"".join(of[i] if i is not None and 0 <= i < n else REPLACEMENT for i in ids)
+        return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
 def _slices(texts: list[str | None], limit: int = 1 << 21) -> Iterator[list[str | None]]:

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from oracle import SF, check
 from pyspark.sql import functions as F
 
-from strandline.llm import chat_parts, queries_tokens, temperature_mix
+from strandline.llm import chat_parts, queries_tokens, temperature_mix, unigram_pieces
 from strandline.llm.unigram_pieces import Pieces, decode_pieces, default_model, encode_pieces
 from strandline.plans.runtime import table
 
@@ -180,15 +181,58 @@ def brute_best(p, unit):
     return best.get(len(unit))
 
 
-def test_trie_search_equals_brute_force(spark):
+@pytest.mark.parametrize("abreast, stretch", [(64, 1 << 16), (1, 1 << 16), (10**9, 1 << 16), (2, 7), (64, 1)])
+def test_trie_search_equals_brute_force(spark, monkeypatch, abreast, stretch):
+    monkeypatch.setattr(unigram_pieces, "ABREAST", abreast)
+    monkeypatch.setattr(unigram_pieces, "STRETCH", stretch)
     p = Pieces(default_model(spark))
     p.names = {b: i for i, b in enumerate(p.bytes_of) if b and p.scores[i] > -np.inf}
     rng = np.random.default_rng(2)
     units = ["".join(rng.choice(list(" etaoinshr"), rng.integers(1, 14))).encode() for _ in range(300)]
-    for u, many in zip(units, p._many(units), strict=True):
-        ids = np.frombuffer(many, np.int32)
-        assert sum(p.scores[ids]) == pytest.approx(brute_best(p, u))
-        assert p._long(u) == many
+    units += ["".join(rng.choice(list("etaoin日é"), n)).encode() for n in (90, 100, 400)]
+    for u, own in zip(units, p.solve(units), strict=True):
+        ids = np.frombuffer(own, np.int32)
+        assert sum(p.scores[ids]) == pytest.approx(brute_best(p, u)) and p.solve([u]) == [own]
+
+
+@pytest.mark.parametrize("make", [lambda c: "".join(c(list("etaoinshrdlu"), 200_000)), lambda c: "".join(map(chr, c(np.arange(0x4E00, 0x9FFF), 70_000))), lambda c: "x" * 200_000, lambda c: "\U0001f9ff" * 50_000])
+def test_long_units_take_linear_time(spark, make):
+    p, text = Pieces(default_model(spark)), make(np.random.default_rng(3).choice)
+    start = time.time()
+    (ids,) = p.encode([text])
+    assert time.time() - start < 4 and p.decode(np.frombuffer(ids, np.int32).tolist()) == text
+
+
+def test_what_is_remembered_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(unigram_pieces, "REMEMBERED", 5000)
+    p = Pieces(default_model(spark))
+    for i in range(50):
+        assert p.encode([f"text{i} " + "long" * 100]) == Pieces.encode(p, [f"text{i} " + "long" * 100])
+        assert p.held < 5000 + 4000 and sum(map(len, p.known)) < p.held
+
+
+def test_bad_ids_decode_to_replacements(spark):
+    file = default_model(spark)
+    p = Pieces(file)
+    good = np.frombuffer(p.encode(["a word"])[0], np.int32).tolist()
+    rows = [(1, good), (2, [None, *good]), (3, [*good, 10**6, -1, -40_000]), (4, []), (5, None), (6, good[1:]), (7, [1, 2]), (8, [0]), (9, [None])]
+    got = decode_pieces(spark.createDataFrame(rows, "doc_id long, ids array<int>"), file).collect()
+    bad = "\ufffd"
+    assert {r["doc_id"]: r["decoded"] for r in got} == {1: "a word", 2: bad + " a word", 3: "a word" + 3 * bad, 4: "", 5: None, 6: p.decode(good[1:]), 7: "", 8: bad, 9: bad}
+    assert "".join([p.decode(good[:1]), p.decode(good[1:])]) in ("a word", "aword")
+
+
+def test_a_file_without_byte_pieces(spark, tmp_path):
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    model = pb.ModelProto()
+    model.trainer_spec.model_type = 1
+    for piece, score, kind in [("<unk>", 0, 2), ("▁a", -1.5, 1), ("b", -2.5, 1), ("▁", -3.25, 1), ("ab", -2.75, 1)]:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    file = tmp_path / "small.model"
+    file.write_bytes(model.SerializeToString())
+    docs = spark.createDataFrame([(1, "ab bé b"), (2, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decode_pieces(encode_pieces(docs, str(file)), str(file)).collect()}
+    assert got[1]["ids"] == [1, 2, 3, 2, 0, 3, 2] and got[1]["decoded"] == "ab b\ufffd b" and got[2]["decoded"] == ""
 
 
 def test_pieces_of_hard_texts(spark, hard, none):
