@@ -9,13 +9,16 @@ in all: as soon as the k-th verified distance is below that, the k nearest are c
 query asks no more. Its best rows so far go on from radius to radius, whatever part of the index they came from.
 
 Only values that stand in the index are looked up: there are 65,536 for each segment at most, whatever the number of
-rows, so these four lists are sent to all tasks. Equal vectors have one code, which carries the least ids of its rows
+rows, so these four lists are sent to all tasks, with the number of parts of each value: the codes of a value that
+many share are dealt over parts of about ``PART_CODES``, and each part is asked by itself. Equal vectors have one code, which carries the least ids of its rows
 with their numbers, as many as any query can need, so a vector that a third of all rows share is one entry. Equal
 queries are asked once.
 
 Rows with a null vector or a null component are neither found nor asked; a short vector lacks the missing
 signs (they count as not positive), and a longer one than 64 is an error. Ties go to the lesser id. A repeated row is
-found as often as it stands; a query does not find the rows of its own id. An id that asks with several vectors
+found as often as it stands; a query does not find the rows of its own id. Of an id with more than k codes a
+query keeps the k nearest, as no answer can need more; so twice k rows are enough for every query, whatever ids
+share its code. An id that asks with several vectors
 gets an answer for each of them, without mark which. Other columns are not read. With fewer than k others, all
 of them are returned.
 """
@@ -30,10 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.plans.runtime import cut, discard
+from strandline.plans.runtime import cut, discard, join_small
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
+#: Codes of one segment value that are dealt together.
+PART_CODES = 4096
 
 
 def sign_code(vector: Column) -> Column:
@@ -48,19 +53,22 @@ def segment(code: Column, i: int) -> Column:
     return F.shiftrightunsigned(code, i * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long")).cast("int")
 
 
-def _probes(values: list[np.ndarray], radius: int):
-    """For each query code the values of the index at ``radius`` from its own, segment by segment."""
+def _probes(values: list[tuple[np.ndarray, np.ndarray]], radius: int):
+    """For each query code the values of the index at ``radius`` from its own and all their parts, segment by segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column("query").to_numpy().view(np.uint64)
             for start in range(0, len(codes), 256):
                 part = codes[start : start + 256]
-                for s, have in enumerate(values):
+                for s, (have, parts) in enumerate(values):
                     own = ((part >> np.uint64(s * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.uint16)
                     q, v = np.nonzero(np.bitwise_count(own[:, None] ^ have[None, :]) == radius)
-                    columns = [pa.array(part[q].view(np.int64)), pa.array(np.full(len(q), s, np.int32)), pa.array(have[v].astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query", "segment", "value"])
+                    times = parts[v]
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    q, v = np.repeat(q, times), np.repeat(v, times)
+                    columns = [part[q].view(np.int64), np.full(len(q), s, np.int32), have[v].astype(np.int32), nth.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "segment", "value", "part"])
 
     return run
 
@@ -82,32 +90,47 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     coded = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), sign_code(F.col(f"`{vector_col}`")).alias("code"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     coded = cut(coded.filter("id is not null and code is not null"), "codes")
     stood = cut(coded.groupBy("code", "id").agg(F.count("*").alias("n"), F.max("asks").alias("asks")), "stood")
-    # a query leaves out its own id, which may have several codes: so many more rows are kept
-    own = stood.groupBy("id").agg(F.count("*").alias("codes")).agg(F.max("codes")).first()[0] or 1
-    wanted = k + own
+    # a query leaves out its own id, which may have several codes: so many more rows are kept, k at most
+    codes_of = stood.groupBy("id").agg(F.count("*").alias("codes"))
+    most = codes_of.agg(F.max("codes")).first()[0] or 1
+    wanted = k + min(most, k)
+    if most > k:
+        crowds = cut(codes_of.filter(F.col("codes") > k).select("id", F.lit(True).alias("crowded")), "crowds")
+        stood = join_small(stood, crowds, ["id"]).withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    else:
+        stood = stood.withColumn("crowded", F.lit(False))
     least = stood.withColumn("at", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("at") <= wanted)
-    entries = cut(least.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id", F.least("n", F.lit(k)).alias("n")))).alias("ids")), "entries")
+    entries = cut(least.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id", F.least("n", F.lit(k)).alias("n"), "crowded"))).alias("ids")), "entries")
     index = F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), segment(F.col("code"), s).alias("value")) for s in range(SEGMENTS)]))
     index = cut(entries.select("code", index.alias("i")).select("i.segment", "i.value", "code"), "segments")
     listed = entries.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
-    values = [np.zeros(0, np.uint16)] * SEGMENTS
-    for r in index.groupBy("segment").agg(F.sort_array(F.collect_set("value")).alias("values")).collect():
-        values[r["segment"]] = np.array(r["values"], np.uint16)
+    # one row for each value of a segment: 4 * 65,536 at most
+    parts = F.ceil(F.count("*") / PART_CODES).cast("int").alias("parts")
+    sizes = cut(index.groupBy("segment", "value").agg(parts), "values")
+    values = [(np.zeros(0, np.uint16), np.zeros(0, np.int64))] * SEGMENTS
+    for r in sizes.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("value", "parts"))).alias("values")).collect():
+        values[r["segment"]] = (np.array([v["value"] for v in r["values"]], np.uint16), np.array([v["parts"] for v in r["values"]], np.int64))
+    index = index.join(F.broadcast(sizes), ["segment", "value"])
+    index = index.select("segment", "value", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int").alias("part"), "code")
 
     open_queries = cut(stood.filter("asks").select(F.col("code").alias("query")).distinct(), "queries")
     best = found = None
     order = Window.partitionBy("query").orderBy("distance", "id")
     for radius in range(WIDTH + 1):
-        probes = open_queries.mapInArrow(_probes(values, radius), "query long, segment int, value int")
-        near = probes.join(index, ["segment", "value"]).filter(_first_met(radius))
+        probes = open_queries.mapInArrow(_probes(values, radius), "query long, segment int, value int, part int")
+        near = probes.join(index, ["segment", "value", "part"]).filter(_first_met(radius))
         near = near.select("query", "code", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("long").alias("distance"))
-        new = near.join(entries, "code").select("query", "distance", F.explode("ids").alias("e")).select("query", "distance", "e.id", "e.n")
+        new = near.join(entries, "code").select("query", "distance", F.explode("ids").alias("e")).select("query", "distance", "e.*")
         kept = new if best is None else new.unionByName(best)
+        if most > k:
+            of_id = F.row_number().over(Window.partitionBy("query", "id").orderBy("distance"))
+            crowd = kept.filter("crowded").withColumn("of_id", of_id).filter(F.col("of_id") <= k).drop("of_id")
+            kept = kept.filter("not crowded").unionByName(crowd)
         kept = kept.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= wanted)
-        kept = cut(kept.select("query", "distance", "id", "n", (F.max("at").over(Window.partitionBy("query")) == min(wanted, listed)).alias("full"), F.max("distance").over(Window.partitionBy("query")).alias("last")), "best")
+        kept = cut(kept.select("query", "distance", "id", "n", "crowded", (F.max("at").over(Window.partitionBy("query")) == min(wanted, listed)).alias("full"), F.max("distance").over(Window.partitionBy("query")).alias("last")), "best")
         # certain if what is left is farther, or if nothing is left
         sure = F.col("full") & ((F.col("last") < SEGMENTS * (radius + 1)) | F.lit(listed <= wanted)) if radius < WIDTH else F.lit(True)
-        columns = ["query", "distance", "id", "n"]
+        columns = ["query", "distance", "id", "n", "crowded"]
         done = kept.filter(sure).select(*columns, F.lit(radius).cast("long").alias("radius"))
         found = done if found is None else found.unionByName(done)
         settled = kept.filter(sure).select("query").distinct()

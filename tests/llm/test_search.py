@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -32,6 +33,29 @@ def test_search_equals_brute_force(spark, k):
     assert multi_index.top_k(frame.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("part_codes", [1, 4096])
+def test_crowded_ids_and_hot_values(spark, monkeypatch, part_codes):
+    """Ids with many codes, one of which asks, and a segment value that most codes share."""
+    monkeypatch.setattr(multi_index, "PART_CODES", part_codes)
+    rng = np.random.default_rng(8)
+
+    def near(n):
+        v = np.where(np.arange(64) < 16, 1.0, -1.0)
+        v[16 + rng.choice(48, n, replace=False)] *= -1
+        return v.tolist()
+
+    rows = [(i, near(i % 9)) for i in range(120)] + [(7, near(i % 7)) for i in range(40)] + [(50, near(i % 4)) for i in range(12)] + [(51, near(0))] * 3
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    k = 3
+    got = Counter((r["query_id"], r["rank"], r["distance"], r["id"]) for r in multi_index.top_k(frame, F.col("vec_id") % 50 == 0, k=k).collect())
+    signs = [(i, np.array(v) > 0) for i, v in rows]
+    want = Counter()
+    for q, code in {(i, tuple(c)) for i, c in signs if i % 50 == 0}:
+        best = sorted((int((c != np.array(code)).sum()), i) for i, c in signs if i != q)[:k]
+        want.update((q, n + 1, d, i) for n, (d, i) in enumerate(best))
+    assert got == want
+
+
 def test_radius_stops_when_covered(spark):
     def row(i, bits):
         return i, [1.0 if b in bits else -1.0 for b in range(64)]
