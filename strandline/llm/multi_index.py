@@ -108,10 +108,14 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     parts = F.ceil(F.count("*") / PART_CODES).cast("int").alias("parts")
     sizes = cut(index.groupBy("segment", "value").agg(parts), "values")
     values = [(np.zeros(0, np.uint16), np.zeros(0, np.int64))] * SEGMENTS
-    for r in sizes.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("value", "parts"))).alias("values")).collect():
-        values[r["segment"]] = (np.array([v["value"] for v in r["values"]], np.uint16), np.array([v["parts"] for v in r["values"]], np.int64))
-    index = index.join(F.broadcast(sizes), ["segment", "value"])
-    index = index.select("segment", "value", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int").alias("part"), "code")
+    listing = F.sort_array(F.collect_list(F.struct("value", "parts")))
+    for r in sizes.groupBy("segment").agg(listing.alias("v")).select("segment", "v.value", "v.parts").collect():
+        values[r["segment"]] = (np.array(r["value"], np.uint16), np.array(r["parts"], np.int64))
+    # the values of several parts are sent to all tasks once, when the index is written with its parts
+    dealt = index.join(F.broadcast(sizes.filter("parts > 1")), ["segment", "value"], "left")
+    whole, part = index, F.coalesce(F.pmod(F.xxhash64("code"), F.col("parts")), F.lit(0)).cast("int")
+    index = cut(dealt.select("segment", "value", part.alias("part"), "code"), "segments")
+    discard(whole, sizes)
 
     open_queries = cut(stood.filter("asks").select(F.col("code").alias("query")).distinct(), "queries")
     best = found = None
