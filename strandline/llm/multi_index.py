@@ -6,7 +6,11 @@ radius: at radius r each looks up the values that differ from its own in exactly
 full Hamming distances of the codes found are verified. A code is met once only, at the segment that is nearest to
 the query's. A code not met at radius r differs by more than r in every segment, so by at least 4 (r + 1)
 in all: as soon as the k-th verified distance is below that, the k nearest are certain, ties included, and the
-query asks no more. Its best rows so far go on from radius to radius, whatever part of the index they came from.
+query asks no more. Its best rows so far go on from radius to radius, whatever part of the index they came from, and so
+does the distance of the last of them, beyond which no code is looked at any more.
+
+The index is written once, bucketed by segment, value and part, so only what queries ask for is shuffled at each radius.
+That is merged with it, never broadcast: Spark cannot know how many rows the probes of a few queries become.
 
 Only values that stand in the index are looked up: there are 65,536 for each segment at most, whatever the number of
 rows, so these four lists are sent to all tasks, with the number of parts of each value: the codes of a value that
@@ -25,6 +29,7 @@ of them are returned.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.plans.runtime import cut, discard, join_small
+from strandline.plans.runtime import cut, discard, join_small, shared_dir
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
 #: Codes of one segment value that are dealt together.
 PART_CODES = 4096
+#: Rows of the index in one bucket, up to as many buckets as the session shuffles into.
+BUCKET_ROWS = 1 << 16
+KEYS = ["segment", "value", "part"]
 
 
 def sign_code(vector: Column) -> Column:
@@ -58,21 +66,32 @@ def _probes(values: list[tuple[np.ndarray, np.ndarray]], radius: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = batch.column("query").to_numpy().view(np.uint64)
+            codes, bounds = batch.column("query").to_numpy().view(np.uint64), batch.column("bound").to_numpy()
             for start in range(0, len(codes), 256):
-                part = codes[start : start + 256]
+                part, bound = codes[start : start + 256], bounds[start : start + 256]
                 for s, (have, parts) in enumerate(values):
                     own = ((part >> np.uint64(s * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.uint16)
                     q, v = np.nonzero(np.bitwise_count(own[:, None] ^ have[None, :]) == radius)
                     times = parts[v]
                     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     q, v = np.repeat(q, times), np.repeat(v, times)
-                    columns = [part[q].view(np.int64), np.full(len(q), s, np.int32), have[v].astype(np.int32), nth.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "segment", "value", "part"])
+                    columns = [part[q].view(np.int64), bound[q], np.full(len(q), s, np.int32), have[v].astype(np.int32), nth.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "bound", *KEYS])
 
     return run
 
 
+def _bucketed(index: DataFrame, rows: int) -> tuple[DataFrame, str]:
+    """``index`` below the shared folder as a table that is bucketed by its keys, and the table's name."""
+    spark, name = index.sparkSession, f"strandline_{uuid.uuid4().hex}"
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS)))
+    path = f"{shared_dir(spark)}/strandline/{name}"
+    index.repartition(n, *KEYS).write.bucketBy(n, *KEYS).sortBy(*KEYS).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.written_at = path
+    return out, name
+
+
 def _first_met(radius: int) -> Column:
     """Whether this probe is the one that meets the code: its segment is the nearest, the first of equals."""
     apart = [F.bit_count(segment(F.col("query"), s).bitwiseXOR(segment(F.col("code"), s))) for s in range(SEGMENTS)]
@@ -106,7 +125,7 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     listed = entries.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
     # one row for each value of a segment: 4 * 65,536 at most
     parts = F.ceil(F.count("*") / PART_CODES).cast("int").alias("parts")
-    sizes = cut(index.groupBy("segment", "value").agg(parts), "values")
+    sizes = cut(index.groupBy("segment", "value").agg(parts, F.count("*").alias("rows")), "values")
     values = [(np.zeros(0, np.uint16), np.zeros(0, np.int64))] * SEGMENTS
     listing = F.sort_array(F.collect_list(F.struct("value", "parts")))
     for r in sizes.groupBy("segment").agg(listing.alias("v")).select("segment", "v.value", "v.parts").collect():
@@ -114,16 +133,17 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     # the values of several parts are sent to all tasks once, when the index is written with its parts
     dealt = index.join(F.broadcast(sizes.filter("parts > 1")), ["segment", "value"], "left")
     whole, part = index, F.coalesce(F.pmod(F.xxhash64("code"), F.col("parts")), F.lit(0)).cast("int")
-    index = cut(dealt.select("segment", "value", part.alias("part"), "code"), "segments")
+    index, name = _bucketed(dealt.select("segment", "value", part.alias("part"), "code"), sizes.agg(F.sum("rows")).first()[0] or 0)
     discard(whole, sizes)
 
-    open_queries = cut(stood.filter("asks").select(F.col("code").alias("query")).distinct(), "queries")
+    open_queries = cut(stood.filter("asks").select(F.col("code").alias("query"), F.lit(BITS).cast("long").alias("bound")).distinct(), "queries")
     best = found = None
     order = Window.partitionBy("query").orderBy("distance", "id")
     for radius in range(WIDTH + 1):
-        probes = open_queries.mapInArrow(_probes(values, radius), "query long, segment int, value int, part int")
-        near = probes.join(index, ["segment", "value", "part"]).filter(_first_met(radius))
-        near = near.select("query", "code", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("long").alias("distance"))
+        probes = open_queries.mapInArrow(_probes(values, radius), "query long, bound long, segment int, value int, part int")
+        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("long").alias("distance")
+        near = probes.hint("merge").join(index, KEYS).filter(_first_met(radius)).select("query", "code", "bound", distance)
+        near = near.filter("distance <= bound").drop("bound")
         new = near.join(entries, "code").select("query", "distance", F.explode("ids").alias("e")).select("query", "distance", "e.*")
         kept = new if best is None else new.unionByName(best)
         if most > k:
@@ -137,12 +157,15 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
         columns = ["query", "distance", "id", "n", "crowded"]
         done = kept.filter(sure).select(*columns, F.lit(radius).cast("long").alias("radius"))
         found = done if found is None else found.unionByName(done)
-        settled = kept.filter(sure).select("query").distinct()
-        still = cut(open_queries.join(settled, "query", "left_anti"), "queries")
+        reached = kept.groupBy("query").agg(F.bool_and(sure).alias("sure"), F.first(F.when(F.col("full"), F.col("last"))).alias("last"))
+        still = open_queries.join(reached, "query", "left").filter(~F.coalesce("sure", F.lit(False)))
+        still = cut(still.select("query", F.coalesce("last", "bound").alias("bound")), "queries")
         discard(open_queries)
         open_queries, best = still, kept.filter(~sure).select(*columns)
         if still.isEmpty():
             break
+    discard(index)
+    rows.sparkSession.sql(f"DROP TABLE {name}")
 
     asked = stood.filter("asks").select(F.col("id").alias("query_id"), F.col("code").alias("query"))
     answers = asked.join(found, "query").filter("id <> query_id")
