@@ -11,9 +11,12 @@ over a source permutes its blocks, and the documents in each, anew, and a docume
 within the source's tokens. Whole passes so repeat a source, and the last pass is cut by the budget.
 Positions come from sums by block and running sums within blocks, so no task orders a whole source.
 
+Texts take no part in this: a table of source, id, hash of the text, size and count is all that is ordered, and
+rows are joined with what it says of them once, at the end, where they are repeated too.
+
 Tokens are words. Null and empty texts have none; they are taken once, with the first pass. A null
 source is a source. Rows with the same id, source and size are alike, and ties between them are of no
-consequence. All columns of the input stay; the columns ``mix_pass`` and ``mix_start`` are added, in place of
+consequence; those with the same text too are numbered by the task that joins them, to take one place each. All columns of the input stay; the columns ``mix_pass`` and ``mix_start`` are added, in place of
 columns of these names.
 """
 
@@ -104,10 +107,14 @@ def temperature_mix(
     in a block grows with the square root of all tokens from ``block_tokens`` on.
     """
     tokens, key = F.size(words_of(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).cast("long"), F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit(""))
+    same = ["__key", "__id", "__text"]
+    text = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     # the row is one column, so that no name of the input can clash
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    sized = docs.select(row, tokens.alias("__tokens"), key.alias("__key"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("__id"))
-    totals = cut(sized.groupBy(F.col("__key").alias("key")).agg(F.sum("__tokens").alias("total")), "totals")
+    named = docs.select(row, key.alias("__key"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("__id"), text.alias("__text"), tokens.alias("__tokens"))
+    sizes = cut(named.groupBy(*same).agg(F.max("__tokens").alias("__tokens"), F.count("*").alias("__n")), "sizes")
+    sized = sizes.withColumn("__all", F.col("__tokens") * F.col("__n"))
+    totals = cut(sized.groupBy(F.col("__key").alias("key")).agg(F.sum("__all").alias("total")), "totals")
     whole, n_sources = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_if(F.col("total") > 0)).first()
     budget = whole * budget_share
     alpha = 1.0
@@ -127,7 +134,7 @@ def temperature_mix(
 
     block = F.pmod(_hash(F.lit(f"{seed}:b"), "__key", "__id"), F.col("__n_blocks"))
     dealt = join_small(sized, plans, ["__key"]).withColumn("__block", block)
-    sums = dealt.groupBy("__key", "__block").agg(F.sum("__tokens").alias("n"), F.first("__passes").alias("passes"), F.first("__total").alias("total"))
+    sums = dealt.groupBy("__key", "__block").agg(F.sum("__all").alias("n"), F.first("__passes").alias("passes"), F.first("__total").alias("total"))
     in_pass = sums.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     order = Window.partitionBy("__key", "pass").orderBy(_hash(F.lit(f"{seed}:o"), "pass", "__key", "__block"), "__block")
     before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -135,8 +142,14 @@ def temperature_mix(
     starts = starts.groupBy("__key", "__block").agg(F.collect_list(F.struct("pass", "start")).alias("__starts"))
 
     placed = dealt.join(starts, ["__key", "__block"]).withColumn("__at", F.explode("__starts"))
-    inner = Window.partitionBy("__key", "__block", F.col("__at.pass")).orderBy(_hash(F.lit(f"{seed}:d"), F.col("__at.pass"), "__key", "__id"), "__id", "__tokens")
-    first = F.col("__at.start") + F.sum("__tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__tokens")
+    inner = Window.partitionBy("__key", "__block", F.col("__at.pass")).orderBy(_hash(F.lit(f"{seed}:d"), F.col("__at.pass"), "__key", "__id"), "__id", "__tokens", "__text")
+    first = F.col("__at.start") + F.coalesce(F.sum("__all").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # how many of the rows that are the same end within the quota
+    fit = F.when(F.col("__tokens") > 0, F.least("__n", F.expr("(__quota - __first) div __tokens"))).when(F.col("__first") <= F.col("__quota"), F.col("__n"))
+    drawn = placed.withColumn("__first", first).withColumn("__fit", fit).filter("__fit > 0")
+    drawn = drawn.select(*same, "__tokens", "__fit", "__first", F.col("__at.pass").alias("__pass"))
+
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+    taken = named.select("__row", *same).withColumn("__nth", nth).join(drawn, same).filter("__nth <= __fit")
     keep = [F.col(f"__row.`{c}`") for c in docs.columns if c not in ("mix_pass", "mix_start")]
-    drawn = placed.withColumn("__first", first).filter(F.col("__first") + F.col("__tokens") <= F.col("__quota"))
-    return drawn.select(*keep, F.col("__at.pass").alias("mix_pass"), F.col("__first").alias("mix_start"))
+    return taken.select(*keep, F.col("__pass").alias("mix_pass"), (F.col("__first") + (F.col("__nth") - 1) * F.col("__tokens")).alias("mix_start"))

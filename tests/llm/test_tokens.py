@@ -67,6 +67,25 @@ def test_whole_sources_lose_no_document(spark, hard):
     assert set(twice.values()) == {2} and len(twice) == len(rows)
 
 
+@pytest.mark.parametrize("share", [0.5, 1.0, 2.3])
+def test_copies_take_one_place_each(spark, share):
+    """Rows that repeat, rows that share an id, null ids and wordless texts stand one after another, as a plain walk places them."""
+    rows = [(1, "a b c", "s")] * 7 + [(1, "a b d", "s")] * 2 + [(None, "x y", "s")] * 5 + [(2, "", "s"), (3, None, "s")] * 2 + [(i, "w " * i, "t") for i in range(1, 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixed(frame, entropy_share=None, max_repeats=None, budget_share=share)
+    size = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in "st"}
+    for s in "st":
+        quota, places = int(size[s] * share), [(r["mix_pass"], r["mix_start"], len((r["text"] or "").split())) for r in got if r["source"] == s]
+        assert all(p * size[s] <= a and a + n <= min(quota, (p + 1) * size[s]) for p, a, n in places)
+        worded = sorted((a, n) for _, a, n in places if n)
+        assert len({a for a, _ in worded}) == len(worded) and all(a + n == b for (a, n), (b, _) in zip(worded, worded[1:], strict=False))
+        left = quota - sum(n for _, n in worded)
+        assert 0 <= left < max(len((t or "").split()) for _, t, x in rows if x == s)
+    for p in range(int(share)):
+        whole = Counter((r["doc_id"], r["text"], r["source"]) for r in got if r["mix_pass"] == p)
+        assert whole == Counter(rows)
+
+
 def test_quota_is_exact_beyond_nine_decimals(spark):
     rows = [(3e12 * (1 - 1e-15), 10**12), (2.5e9 + 0.75, 10**10), (4.0 - 1e-13, 7), (3.75, 7), (0.0, 0)]
     got = spark.createDataFrame(rows, "due double, total long").select(temperature_mix._quota(F.col("due"), F.col("total"))).collect()
