@@ -1,11 +1,11 @@
 """Hard negatives by rotated one-bit codes with stored alignment and deterministic intervals.
 
 Vectors become integers, are rotated by one random orthogonal matrix, and keep the signs of their components: a code s of unit
-length, with the alignment a = <x, s> and the length of what is left, |x - a s|. For an anchor q the product <s, q> comes
-from popcounts of the code with the bit planes of q, whose rounding error is summed exactly. As x - a s is orthogonal to
-s, Cauchy and Schwarz bound the rest: <x, q> lies within |x - a s| * |q - <s, q> s| of a <s, q>. What is left has a code of its own at
-the next level (``levels`` of them), which narrows the interval for those that the level before could not decide. Rows
-whose interval misses what an anchor still wants are dropped, the others are scored in integers. So no row is lost, and no estimate is returned.
+length, with the alignment a = <x, s> and the length of what is left, |x - a s|. What is left has a code of its own at
+the next level (``levels`` of them). For an anchor q the products of the signs with the rotated q, weighted by the alignments, give <x, q>
+but for the product of q with what the codes leave, which Cauchy and Schwarz bound by |q| times the stored length. They are taken in single
+precision, for many pairs at once, and intervals are widened by more than its rounding. Rows whose interval misses what an anchor still
+wants are dropped, the others are scored in integers. So no row is lost, and no estimate is returned.
 
 On Spark the anchors, a stated query set, meet all rows in blocks: a task has one block of anchors (``anchor_block`` of them at most
 on average) and streams the packed rows of one part of the table past it, keeping the best few of each anchor. A first pass finds the
@@ -33,9 +33,10 @@ from pyspark.sql.window import Window
 
 from strandline.plans.runtime import cut, discard
 
-PLANES = 8
-SLACK = 1e-9
-CHUNK = 64
+#: Relative error of single precision, with room, for each component of a product.
+SLACK = 2.0**-21
+CHUNK = 256
+PROBES, FEW = 16, 64
 PACKED = "dims int, ids array<long>, labels array<long>, data binary, codes binary, aligned binary, rest binary"
 OUT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
@@ -70,59 +71,64 @@ def encode(x: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 class Anchors:
-    """Anchors of equal dimension, with the bit planes of their rotated vectors."""
+    """Anchors of equal dimension, with their rotated vectors."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
         x = _rotated(vectors)
-        self.length = np.sqrt((x * x).sum(axis=1))
-        self.low = x.min(axis=1)
-        self.step = np.maximum((x.max(axis=1) - self.low) / ((1 << PLANES) - 1), 1e-300)
-        t = np.clip(np.rint((x - self.low[:, None]) / self.step[:, None]), 0, (1 << PLANES) - 1).astype(np.int64)
-        rounded = self.low[:, None] + self.step[:, None] * t
-        self.total, self.root = rounded.sum(axis=1), math.sqrt(x.shape[1])
-        self.error = np.abs(x - rounded).sum(axis=1) / self.root
-        self.planes = np.stack([_words((t >> b & 1).astype(bool)) for b in range(PLANES)])
-
-    def products(self, i: np.ndarray, codes: np.ndarray, pairs: bool) -> np.ndarray:
-        """<s, q> of the anchors ``i`` with all codes, or with as many codes if these are ``pairs``; right but for ``error``."""
-        own = self.planes[:, i] if pairs else self.planes[:, i][:, :, None]
-        ones = np.bitwise_count(codes).sum(axis=-1, dtype=np.int64)
-        count = np.zeros(np.broadcast_shapes(own.shape[1:-1], codes.shape[:-1]), np.int64)
-        for b in range(PLANES):
-            count += np.bitwise_count(own[b] & codes).sum(axis=-1, dtype=np.int64) << b
-        low, step, total = (v[i] if pairs else v[i][:, None] for v in (self.low, self.step, self.total))
-        return (2 * (low * ones + step * count) - total) / self.root
+        self.length = np.sqrt((x * x).sum(axis=1)).astype(np.float32)
+        self.rotated = x.astype(np.float32)
 
 
 class Intervals:
     """The products of pairs (anchor, row), narrowed level by level."""
 
     def __init__(self, anchors: Anchors, codes: np.ndarray, aligned: np.ndarray, rest: np.ndarray):
-        self.anchors, self.codes, self.aligned, self.rest = anchors, codes, aligned, rest
-        self.size = np.sqrt(aligned[0] ** 2 + rest[0] ** 2)
-
-    def _bounds(self, level: int, found: np.ndarray, before: np.ndarray, lost: np.ndarray, i, j) -> tuple[np.ndarray, ...]:
-        a, error, length = self.aligned[level][j], self.anchors.error[i], self.anchors.length[i]
-        mid = before + a * found
-        lost = lost + a * error
-        across = np.sqrt(np.maximum(0.0, length**2 - np.maximum(0.0, np.abs(found) - error) ** 2))
-        width = self.rest[level][j] * across + lost + SLACK * (1 + length * self.size[j])
-        return mid, lost, mid - width, mid + width
+        self.anchors = anchors
+        signs = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8), axis=-1, bitorder="little")
+        width = signs.shape[-1]
+        # what the codes up to each level say of a row
+        self.known = np.cumsum((signs * 2.0 - 1) * (aligned / math.sqrt(width))[..., None], axis=0).astype(np.float32)
+        size = np.sqrt(aligned[0] ** 2 + rest[0] ** 2)
+        self.rest = (rest + SLACK * (width + 8) * size).astype(np.float32)
+
+    def _bounds(self, level: int, i: np.ndarray, j: np.ndarray | slice | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the anchors ``i`` with all rows, with those of a slice, or with as many rows ``j``."""
+        q, known, rest, length = self.anchors.rotated[i], self.known[level], self.rest[level], self.anchors.length[i]
+        if isinstance(j, np.ndarray):
+            mid, width = np.einsum("ij,ij->i", q, known[j]), rest[j] * length
+        else:
+            of = j or slice(None)
+            mid, width = q @ known[of].T, length[:, None] * rest[of]
+        width += np.float32(1e-3)
+        return mid - width, mid + width
+
+    def _first(self, i: np.ndarray, allowed: np.ndarray, wanted) -> int:
+        """The first level that leaves few pairs, by some anchors and rows: levels before it are not worth a look."""
+        if len(i) < 8 * PROBES:
+            return 0
+        some, of = np.arange(0, len(i), len(i) // PROBES), slice(None, None, 8)
+        sure = allowed[some][:, of]
+        for level in range(len(self.rest) - 1):
+            if 16 * np.count_nonzero(sure & wanted(i[some][:, None], *self._bounds(level, i[some], of))) <= np.count_nonzero(sure):
+                return level
+        return len(self.rest) - 1
 
     def survivors(self, i: np.ndarray, allowed: np.ndarray, wanted) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (anchor, row) of the anchors ``i`` that are ``allowed`` and that ``wanted`` (anchors, lower, upper) keeps at every level."""
-        n = self.codes.shape[1]
-        grid = (i[:, None], np.arange(n)[None])
-        found = self.anchors.products(i, self.codes[0], False)
-        mid, lost, lower, upper = self._bounds(0, found, np.zeros_like(found), np.zeros_like(found), *grid)
-        at, j = np.nonzero(allowed & wanted(grid[0], lower, upper))
-        mid, lost, i = mid[at, j], lost[at, j], i[at]
-        for level in range(1, len(self.codes)):
-            found = self.anchors.products(i, self.codes[level][j], True)
-            mid, lost, lower, upper = self._bounds(level, found, mid, lost, i, j)
-            keep = wanted(i, lower, upper)
-            i, j, mid, lost = i[keep], j[keep], mid[keep], lost[keep]
+        """Pairs (anchor, row) of the anchors ``i`` that are ``allowed`` and that ``wanted`` (anchors, lower, upper) keeps at every level.
+
+        While many pairs are left, a level is one product of matrices, then it is looked at for the pairs that are left.
+        """
+        top, j = len(self.rest), None
+        for level in range(self._first(i, allowed, wanted), top):
+            if j is None:
+                allowed = allowed & wanted(i[:, None], *self._bounds(level, i))
+                if level + 2 >= top or 16 * np.count_nonzero(allowed) <= allowed.size:
+                    at, j = np.nonzero(allowed)
+                    i = i[at]
+            else:
+                keep = wanted(i, *self._bounds(level, i, j))
+                i, j = i[keep], j[keep]
         return i, j
 
 
@@ -131,21 +137,28 @@ class Best:
 
     def __init__(self, groups: int, k: int):
         self.k = k
-        self.group, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
+        self.score, self.id = np.zeros((groups, k), np.int64), np.zeros((groups, k), np.int64)
+        self.filled = np.zeros((groups, k), bool)
         self.least = np.full(groups, -np.inf)
 
     def add(self, group: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        fit = score >= self.least[group]
+        group, score, ids = group[fit], score[fit], ids[fit]
         if not len(group):
             return
-        group, score, ids = (np.concatenate(x) for x in ((self.group, group), (self.score, score), (self.id, ids)))
+        touched = np.unique(group)
+        at, place = np.nonzero(self.filled[touched])
+        old = touched[at]
+        group, score, ids = np.concatenate([old, group]), np.concatenate([self.score[old, place], score]), np.concatenate([self.id[old, place], ids])
         order = np.lexsort((ids, -score, group))
         group, score, ids = group[order], score[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         place = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
         kept = place < self.k
-        self.group, self.score, self.id = group[kept], score[kept], ids[kept]
-        full = place[kept] == self.k - 1
-        self.least[self.group[full]] = self.score[full]
+        at = (group[kept], place[kept])
+        self.score[at], self.id[at], self.filled[at] = score[kept], ids[kept], True
+        full = place == self.k - 1
+        self.least[group[full]] = score[full]
 
 
 def _packer(levels: int, block: int, scale: int):
@@ -201,48 +214,63 @@ def _search(levels: int, k: int, low: int, high: int):
             groups[dims] = (Anchors(np.array([a["vector"] for a in own], np.int64)), numbers, floor, top, goal, own[0]["wanted"] is None, Best(len(own) * places, k))
         return groups
 
-    def meet(group: tuple, row: dict) -> None:
-        anchors, numbers, floor, top, goal, same, best = group
-        places, n = floor.shape[1], len(row["ids"])
+    def meet(group: tuple, row: dict, seen: int) -> None:
+        n = len(row["ids"])
         x = np.frombuffer(row["data"], np.int32).reshape(n, row["dims"])
         codes = np.frombuffer(row["codes"], np.uint64).reshape(levels, n, -1)
         aligned, rest = (np.frombuffer(row[c], np.float64).reshape(levels, n) for c in ("aligned", "rest"))
         ids, labels = np.array(row["ids"], np.int64), np.array(row["labels"], np.int64)
+        start = 0
+        while start < n:
+            # few rows at first, as nothing is known yet of the best
+            of = slice(start, start + max(FEW, seen + start))
+            meet_some(group, x[of], codes[:, of], aligned[:, of], rest[:, of], ids[of], labels[of])
+            start = of.stop
+
+    def meet_some(group: tuple, x: np.ndarray, codes: np.ndarray, aligned: np.ndarray, rest: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        anchors, numbers, floor, top, goal, same, best = group
+        places = floor.shape[1]
         intervals = Intervals(anchors, codes, aligned, rest)
-
-        def wanted(i: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
-            out = np.zeros(lower.shape, bool)
-            for p in range(places):
-                out |= (upper >= np.maximum(floor[i, p], best.least[i * places + p])) & (lower <= top[i, p])
-            return out
-
+        highest = np.nextafter(top.max(axis=1).astype(np.float32), np.float32(np.inf))
         for start in range(0, len(numbers["id"]), CHUNK):
             i = np.arange(start, min(start + CHUNK, len(numbers["id"])))
+            # of all places together; each is held against the scores below
+            lowest = np.maximum(floor[i], best.least.reshape(-1, places)[i]).min(axis=1).astype(np.float32)
+            lowest = np.nextafter(lowest, np.float32(-np.inf))
+
+            def wanted(i: np.ndarray, lower: np.ndarray, upper: np.ndarray, lowest=lowest, start=start) -> np.ndarray:
+                return (upper >= lowest[i - start]) & (lower <= highest[i])
+
             allowed = ((numbers["label"][i][:, None] == labels) == same) & (numbers["id"][i][:, None] != ids)
             i, j = intervals.survivors(i, allowed, wanted)
             score = _scores(anchors.vectors, x, i, j)
+            found = []
             for p in range(places):
-                fit = np.ones(len(i), bool) if same else (low * goal[i, p] <= 100 * score) & (100 * score <= high * goal[i, p]) & np.isfinite(floor[i, p])
-                best.add(i[fit] * places + p, score[fit], ids[j[fit]])
+                fit = score >= best.least[i * places + p]
+                if not same:
+                    fit &= (low * goal[i, p] <= 100 * score) & (100 * score <= high * goal[i, p]) & np.isfinite(floor[i, p])
+                found.append((i[fit] * places + p, score[fit], ids[j[fit]]))
+            best.add(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
     def answers(groups: dict) -> Iterator[pa.RecordBatch]:
         for _, numbers, floor, _, _, _, best in groups.values():
-            of, place = np.divmod(best.group, floor.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(numbers["anchor"][of]), pa.array(place.astype(np.int32)), pa.array(best.score), pa.array(best.id)], names=["anchor", "place", "score", "id"])
+            of, place = np.divmod(np.nonzero(best.filled)[0], floor.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers["anchor"][of]), pa.array(place.astype(np.int32)), pa.array(best.score[best.filled]), pa.array(best.id[best.filled])], names=["anchor", "place", "score", "id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, anchors, groups = None, [], None
+        task, anchors, groups, seen = None, [], None, 0
         for batch in batches:
             for row in batch.to_pylist():
                 if row["task"] != task:
                     yield from answers(groups or {})
-                    task, anchors, groups = row["task"], [], None
+                    task, anchors, groups, seen = row["task"], [], None, 0
                 if row["ids"] is None:
                     anchors.append(row)
                     continue
                 groups = of_task(anchors) if groups is None else groups
                 if row["dims"] in groups:
-                    meet(groups[row["dims"]], row)
+                    meet(groups[row["dims"]], row, seen)
+                    seen += len(row["ids"])
         yield from answers(groups or {})
 
     return run

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -120,6 +121,20 @@ def test_negatives_equal_brute_force(spark, positives, negatives, dims):
     assert sorted(map(tuple, got.collect())) == plain_negatives(rows, positives, negatives)
 
 
+def test_best_looks_at_no_other_groups():
+    groups, k = 40_000, 10
+    rng = np.random.default_rng(3)
+    best = rotated_bits.Best(groups, k)
+    best.add(np.repeat(np.arange(groups), k), np.tile(np.arange(k), groups), np.arange(groups * k))
+    rows = [(int(s), i) for i, s in enumerate(rng.integers(-5, 12, 3000))]
+    begun = time.perf_counter()
+    for a in range(0, len(rows), 20):
+        best.add(np.full(20, 7), np.array([s for s, _ in rows[a : a + 20]]), np.array([-i for _, i in rows[a : a + 20]]))
+    assert time.perf_counter() - begun < 3
+    # the tenth of the best stands last, and other groups are as they were
+    assert best.least[7] == sorted([*range(k), *[s for s, _ in rows]])[-k] and (np.delete(best.least, 7) == 0).all()
+
+
 def test_negatives_of_nothing(spark):
     rows = frame(spark, clustered(1, 120))
     assert hard_negatives(rows, F.lit(False)).count() == 0
