@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,24 @@ _KINDS = {
 }
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def as_map(value: Column) -> Column:
+    """The fields of an object as a map; null if it is none."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def kind_of(value: Column) -> Column:
+    """The same as ``kind`` of a column that is cheap to name again; fields of objects and items of arrays are not looked at."""
+    names = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
+    scalar = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+    found = F.when(value.isNull(), "missing").when(as_map(value).isNotNull(), "object").when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), "array")
+    return found.otherwise(F.coalesce(F.element_at(names, scalar), F.lit("other")))
+
+
 def kind(value: Column, path: str = "$") -> Column:
     """missing, null, string, boolean, integer, number, object, array or other."""
     names = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])

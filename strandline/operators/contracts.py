@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.variants import kind
+from strandline.functions.variants import as_map, kind_of, once
 
 # fixed values: the schema ids that records carry
 AUDIO_SCHEMA = "lse.audio_manifest.v2"
@@ -70,15 +70,32 @@ def _audio_checks(v: Column) -> Column:
     return _faults(*checks)
 
 
+#: Fields that are looked up besides the required ones.
+OTHERS = ("schema_version", "split", "audio.duration_seconds", "acoustics.snr_db")
+
+
 def audio_violations(record: Column) -> Column:
-    """Faults of a manifest record given as a VARIANT column (not as an expression that parses it). Each field is looked up once."""
-    looked = {_name(path): kind(record, f"$.{path}") for path in REQUIRED}
-    looked |= {f"k_{n}": kind(record, f"$.{p}") for n, p in (("duration", "audio.duration_seconds"), ("snr", "acoustics.snr_db"), ("split", "split"))}
-    looked |= {n: F.try_variant_get(record, f"$.{p}", "string") for n, p in (("schema", "schema_version"), ("noise", "acoustics.noise_type"), ("split", "split"))}
-    looked |= {n: F.try_variant_get(record, f"$.{p}", "double") for n, p in (("rate", "audio.sample_rate"), ("duration", "audio.duration_seconds"), ("snr", "acoustics.snr_db"))}
-    looked["n_actions"] = F.size(F.try_variant_get(record, "$.target.actions", "array<variant>"))
-    once = F.transform(F.array(F.struct(*[c.alias(n) for n, c in looked.items()])), _audio_checks)
-    return F.when(kind(record) == "object", F.element_at(once, 1)).otherwise(F.array(F.lit("record: not object")))
+    """Faults of a manifest record given as a VARIANT column. Each object is opened once, and each field looked up once in it."""
+
+    def opened(top: Column) -> Column:
+        return F.struct(top.alias("top"), *[as_map(F.element_at(top, n)).alias(n) for n in ("audio", "acoustics", "target")])
+
+    def fields(o: Column) -> Column:
+        at = {path: F.element_at(o[path.rpartition(".")[0] or "top"], path.rpartition(".")[2]) for path in (*REQUIRED, *OTHERS)}
+        return F.struct(o["top"].isNotNull().alias("object"), *[v.alias(_name(path)) for path, v in at.items()])
+
+    def looked(f: Column) -> Column:
+        out = {_name(path): kind_of(f[_name(path)]) for path in REQUIRED}
+        out |= {f"k_{n}": kind_of(f[c]) for n, c in (("duration", "audio_duration_seconds"), ("snr", "acoustics_snr_db"), ("split", "split"))}
+        out |= {n: F.try_variant_get(f[c], "$", "string") for n, c in (("schema", "schema_version"), ("noise", "acoustics_noise_type"), ("split", "split"))}
+        out |= {n: F.try_variant_get(f[c], "$", "double") for n, c in (("rate", "audio_sample_rate"), ("duration", "audio_duration_seconds"), ("snr", "acoustics_snr_db"))}
+        out["n_actions"] = F.size(F.try_variant_get(f["target_actions"], "$", "array<variant>"))
+        return F.struct(f["object"].alias("object"), *[c.alias(n) for n, c in out.items()])
+
+    def faults(v: Column) -> Column:
+        return F.when(v["object"], _audio_checks(v)).otherwise(F.array(F.lit("record: not object")))
+
+    return once(once(once(once(as_map(record), opened), fields), looked), faults)
 
 
 def message_violations(messages: Column, need_assistant: bool) -> Column:

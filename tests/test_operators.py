@@ -253,3 +253,14 @@ def test_release_faults(spark):
     assert evaluate.release_faults(matrix, answers, matrix, good, 2).count() == 0
     faults = evaluate.release_faults(matrix.filter("stage <> 'dpo'"), answers.filter("stage <> 'sft'"), matrix, good | {"method": "first", "sample_ids_sha256": "a"}, 2).collect()
     assert sorted(r[0] for r in faults) == ["dpo matrix: no records", "selection: no digest of ids", "selection: not uniform without replacement", "sft predictions: no records"]
+
+
+def test_records_are_opened_once(spark):
+    from strandline.operators import contracts
+
+    found = contracts.audio_violations(F.col("record"))
+    assert str(found).count("record,") == 1
+    rows = spark.createDataFrame([("{}",), ("[1]",), ("null",), (None,), ('{"audio": {"sample_rate": 16000.5}, "target": {"actions": []}, "acoustics": null}',)], "t string")
+    got = [set(r[0]) for r in rows.select(F.parse_json("t").alias("record")).select(found).collect()]
+    assert got[1] == got[2] == got[3] == {"record: not object"} and {"audio: missing", "target: missing"} < got[0]
+    assert {"audio.sample_rate: not integer", "target.actions: empty", "acoustics: not object", "audio.noisy_path: missing"} < got[4] and "acoustics.noise_type: missing" not in got[4]
