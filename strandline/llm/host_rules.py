@@ -120,13 +120,16 @@ def _rates(stats: DataFrame) -> DataFrame:
 def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.6) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns: the verdicts of ``host_verdicts`` taken as a filter.
 
-    Every row is measured once and written with its measures, in one column, so that no name of the input can clash.
+    Only counts by host are written; rows are measured once for them and again when they are returned, as their texts would take as
+    much disk as the input until its owner clears it. A row is held in one column, so that no name of the input can clash.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     held = docs.select(row.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{host_col}`").alias("source"))
-    stats = cut(measure(held).select(F.col("doc_id").alias("row"), _host_key(F.col("host")).alias("host_key"), base_failed().alias("base_failed"), soft_failed().alias("soft_failed")), "quality")
-    good = cut(_rates(stats).filter(F.col("rate") <= max_rate).select("host_key"), "hosts")
-    return join_small(stats.filter("not base_failed").select("row", "host_key"), good, ["host_key"], "left_semi").select("row.*")
+    stats = measure(held).select(F.col("doc_id").alias("row"), _host_key(F.col("host")).alias("host_key"), base_failed().alias("base_failed"), soft_failed().alias("soft_failed"))
+    good = cut(_rates(stats.drop("row")).filter(F.col("rate") <= max_rate).select("host_key"), "hosts")
+    # no filter, which would measure a row for every mention of a measure
+    passed = stats.select(F.inline(F.when(~F.col("base_failed"), F.array(F.struct("row", "host_key")))))
+    return join_small(passed, good, ["host_key"], "left_semi").select("row.*")
 
 
 def host_verdicts(

@@ -316,3 +316,15 @@ def test_numerals_are_no_letters(spark, hard):
     assert got[900] == ("und", 0.0) and got[901][0] != "und" != got[902][0]
     nothing = byte_gru.identify(hard, F.lit(False), keep=["doc_id"]).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
+
+
+def test_passing_writes_counts_only(spark):
+    from pathlib import Path
+
+    from strandline.plans.runtime import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "strandline"
+    before = set(folder.glob("*"))
+    rows = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(500)), "a") for i in range(50)], "doc_id long, text string, source string")
+    assert host_rules.passing(rows).count() == 50
+    assert sum(f.stat().st_size for d in set(folder.glob("*")) - before for f in d.glob("*.parquet")) < 20_000
