@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +53,10 @@ def rows_at_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = True
     for batch in batches:
-        out = [("[" if first and not i else ",") + t for i, t in enumerate(batch.column(0).to_pylist())]
-        first = first and not out
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        texts = batch.column(0)
+        marks = pa.array(["[" if first else ",", ","]).take(pa.array(np.minimum(np.arange(len(texts)), 1)))
+        first = first and not len(texts)
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, texts, "")], names=["value"])
     yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
 
 

@@ -1,9 +1,12 @@
 import json
 import random
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.plans.runtime import shared_dir
 from strandline.sources import arrays, lines
 
 
@@ -77,3 +80,39 @@ def test_positions_of_items(spark, tmp_path):
     wanted = lines.at_positions(rows, spark.range(0, 100, 7))
     assert sorted(json.loads(r["text"])["i"] for r in wanted.collect()) == list(range(0, 100, 7))
     assert rows.filter(F.get_json_object("text", "$.i").cast("long") != F.col("ordinal")).count() == 0
+
+
+@pytest.mark.parametrize("many", [arrays.MANY_SPLITS, 2])
+def test_items_across_splits_and_batches(spark, tmp_path, small_splits, monkeypatch, many):
+    """Items of many splits, splits that begin inside texts full of structure, and states that go on from batch to batch."""
+    monkeypatch.setattr(arrays, "MANY_SPLITS", many)
+    rng = random.Random(11)
+    odd = ["}", '"', "\\", "[{", "]}", "},{", '\\"', "é", "a" * 40]
+    data = [[{"i": i, "v": "".join(rng.choice(odd) for _ in range(rng.choice([0, 3, 700])))} for i in range(n)] for n in (0, 1, 40, 25)]
+    path = write(tmp_path, [json.dumps(d, ensure_ascii=False, separators=(",", ":") if k % 2 else None) for k, d in enumerate(data)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = arrays.read_array(spark, path).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["file"].rsplit("/")[-1], r["position"], json.loads(r["text"])["v"]) for r in got) == sorted((f"f{k}.json", x["i"], x["v"]) for k, d in enumerate(data) for x in d)
+
+
+def test_text_is_neither_written_nor_shuffled(spark, tmp_path):
+    """Besides the pieces at the edges of splits, the text stays where it is read, whatever its size."""
+    shared = Path(shared_dir(spark).removeprefix("file://")) / "strandline"
+    before = {f for f in shared.rglob("*.parquet")}
+    text = json.dumps([{"i": i, "v": random.Random(i).randbytes(400).hex()} for i in range(5000)])
+    rows = arrays.read_array(spark, write(tmp_path, [text]))
+    assert rows.count() == 5000
+    assert sum(f.stat().st_size for f in set(shared.rglob("*.parquet")) - before) < len(text) / 50
+    assert "file, split" not in re.sub(r"#\d+L?", "", "".join(re.findall(r"hashpartitioning\(.*?\)", rows._jdf.queryExecution().executedPlan().toString())))
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}{"b": 2}]', '[{"a": 1}], {"b": 2}]', '[{"a": 1}], [{"b": 2}]', '[{"a": 1}, ["b"], {"c": 3}]'])
+def test_what_stands_between_items_must_be_a_comma(spark, tmp_path, small_splits, text):
+    long = text.replace("1", json.dumps("}" * 500))
+    for at, t in (("short", text), ("long", long)):
+        (tmp_path / at).mkdir()
+        with pytest.raises(Exception, match="no object|not a JSON array"):
+            arrays.read_array(spark, write(tmp_path / at, [t])).collect()
