@@ -39,24 +39,35 @@ _SPLITS = pa.schema(
 )
 
 
-def _states(texts: pa.Array, odd: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of pieces, where each ends, whether the quotes up to there are odd, and the change of depth up to there from outside and from inside a string."""
+def _states(texts: pa.Array, odd: bool, window: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of pieces, where each ends, whether the quotes up to there are odd, and the change of depth up to there from outside and from inside a string.
+
+    ``window`` bytes are looked at together, so a long piece takes no more memory than its text and that.
+    """
     texts = texts.cast(pa.binary()).cast(pa.large_binary())
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
-    at = np.flatnonzero(_MARK[data])
-    mark, order = data[at], np.arange(len(at))
-    after_slash = np.zeros(len(at), bool)
-    after_slash[1:] = (mark[:-1] == ord("\\")) & (at[1:] == at[:-1] + 1)
-    slashes = order - np.maximum.accumulate(np.where(after_slash, 0, order))
-    quotes = np.concatenate([[int(odd)], (mark == ord('"')) & (slashes % 2 == 0)]).cumsum()
-    within = quotes[:-1] % 2 == 1
-    depth = np.zeros((2, len(at) + 1), np.int64)
-    np.cumsum(np.where(within, 0, _STEP[mark]), out=depth[0, 1:])
-    np.cumsum(np.where(within, _STEP[mark], 0), out=depth[1, 1:])
     ends = bounds[1:] - bounds[0]
-    passed = np.searchsorted(at, ends)
-    return data, ends, quotes[passed] % 2 == 1, depth[:, passed]
+    odds, depths = np.full(len(ends), odd), np.zeros((2, len(ends)), np.int64)
+    n_slashes, quotes, depth = 0, np.array([int(odd)]), np.zeros((2, 1), np.int64)
+    for start in range(0, len(data), window):
+        part = data[start : start + window]
+        at = np.flatnonzero(_MARK[part])
+        mark, order = part[at], np.arange(len(at))
+        slash, after_slash = mark == ord("\\"), np.zeros(len(at), bool)
+        after_slash[1:] = slash[:-1] & (at[1:] == at[:-1] + 1)
+        begun = np.maximum.accumulate(np.where(after_slash, 0, order))
+        slashes = order - begun
+        if len(at) and at[0] == 0:
+            slashes[begun == 0] += n_slashes
+        n_slashes = int(slashes[-1]) + 1 if len(at) and slash[-1] and at[-1] == len(part) - 1 else 0
+        quotes = np.concatenate([quotes[-1:] % 2, (mark == ord('"')) & (slashes % 2 == 0)]).cumsum()
+        within, step = quotes[:-1] % 2 == 1, _STEP[mark]
+        depth = np.concatenate([depth[:, -1:], np.where([within, ~within], 0, step)], axis=1).cumsum(axis=1)
+        first, last = np.searchsorted(ends, [start, start + len(part)], "right")
+        passed = np.searchsorted(at, ends[first:last] - start)
+        odds[first:last], depths[:, first:last] = quotes[passed] % 2 == 1, depth[:, passed]
+    return data, ends, odds, depths
 
 
 def _runs(n: int, *changes: np.ndarray) -> list[tuple[int, int]]:

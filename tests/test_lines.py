@@ -3,6 +3,7 @@ import random
 import re
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,23 @@ def test_what_stands_between_items_must_be_a_comma(spark, tmp_path, small_splits
         (tmp_path / at).mkdir()
         with pytest.raises(Exception, match="no object|not a JSON array"):
             arrays.read_array(spark, write(tmp_path / at, [t])).collect()
+
+
+def test_states_do_not_depend_on_the_window():
+    rng = random.Random(5)
+    for _ in range(200):
+        texts = ["".join(rng.choice(['"', "\\", "[", "{", "]", "a", "é"]) for _ in range(rng.randrange(12))) + "}" for _ in range(rng.randrange(1, 9))]
+        odd = rng.random() < 0.5
+        quoted, depth, want = odd, [0, 0], []
+        for t in texts:
+            slashes = 0
+            for c in t:
+                if c == '"' and slashes % 2 == 0:
+                    quoted = not quoted
+                depth[quoted] += (c in "[{") - (c in "]}")
+                slashes = slashes + 1 if c == "\\" else 0
+            want.append((quoted, *depth))
+        for window in (1, 2, 5, 1000):
+            data, ends, odds, depths = arrays._states(pa.array(["x", *texts])[1:], odd, window)
+            assert data.tobytes().decode() == "".join(texts) and ends[-1] == len(data)
+            assert list(zip(odds.tolist(), *depths.tolist(), strict=True)) == want
